@@ -9,6 +9,8 @@ from .common import SPACE_RE, discard, stage
 
 #: Bytes in a block of the lowest level. Texts of up to one block need no pairing.
 BLOCK_BYTES = 1024
+#: A block is hot if it is more than one in so many; fewer blocks than that can be.
+HOT_PARTS = 4000
 
 
 def normalised(col: str = "text") -> Column:
@@ -27,6 +29,13 @@ def _names(keys: DataFrame, by: list[str], bucket: Column) -> DataFrame:
     )
 
 
+def _block_names(blocks: DataFrame) -> DataFrame:
+    """One integer name for each distinct block: the partition that holds the block and its place in the sorted partition.
+
+    Unlike _names this moves each block once only, and leaves it where a join on the block needs it."""
+    return blocks.select("block").distinct().sortWithinPartitions("block").withColumn("name", F.monotonically_increasing_id() + 1)
+
+
 def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """The identity (level, name) of every text: equal for two rows exactly if their normalised texts are equal.
 
@@ -41,9 +50,19 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("_b") / F.lit(block_bytes))).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("i"), F.substring("_b", i * block_bytes + 1, F.lit(block_bytes)).alias("block")))
     blocks = bytes_.select("_id", "_h", count.alias("_n"), F.explode(cut).alias("c")).select("_id", "_h", "_n", "c.i", "c.block")
-    named = _names(blocks, ["block"], F.pmod(F.xxhash64("block"), F.lit(buckets)))
-    # The join keeps its sort-merge form, so that adaptive execution splits the partition of a block that a third of all texts hold.
-    level = stage(blocks.join(named.hint("merge"), "block").select("_id", "_h", "_n", "i", "name"), "blocks")
+    blocks = blocks.withColumn("_at", F.xxhash64("block"))
+    # Blocks with more than one in HOT_PARTS of all rows are named apart: there are fewer than HOT_PARTS of them, so
+    # their names are broadcast and their rows, which may be most of the table, stay where they are.
+    counts = stage(blocks.groupBy("_at").agg(F.count(F.lit(1)).alias("n")), "block-counts")
+    least = max(100, counts.agg(F.sum("n")).first()[0] // HOT_PARTS) if not counts.isEmpty() else 0
+    hot = F.broadcast(counts.filter(F.col("n") > least).select("_at"))
+    cold = blocks.join(hot, "_at", "left_anti").drop("_at")
+    hot = blocks.join(hot, "_at", "left_semi").drop("_at")
+    keep = ["_id", "_h", "_n", "i", "name"]
+    cold = cold.join(_block_names(cold).hint("merge"), "block").select(*keep)
+    hot = hot.join(F.broadcast(_block_names(hot)), "block").select(*keep[:-1], (-F.col("name")).alias("name"))
+    level = stage(cold.unionByName(hot), "blocks")
+    discard(counts)
     done, depth, staged = [], 0, [level]
     while True:
         done.append(level.filter("_n = 1").select("_id", "_h", F.lit(depth).alias("level"), "name").distinct())
