@@ -111,14 +111,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased (A-Z) words of all texts in order, and the n + 1 word offsets of the texts.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the lower-cased (A-Z) words of all texts in order, and the n + 1 word offsets of the texts; then
+    hashes of each word's first bytes, for every number in prefixes. A number below zero stands for the last bytes.
 
     The hash is a polynomial over random byte codes modulo 2**64, taken from prefix sums, so that no word passes
     through Python."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
     word = ~IS_SPACE[data]
     first = np.zeros(n + 1, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
@@ -129,8 +130,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends[:-1] &= ~word[1:] | first[1:n]
     ends = np.flatnonzero(ends) + 1
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
     hashes = np.empty(len(starts), np.uint64)
+    heads = [np.empty(len(starts), np.uint64) for _ in prefixes]
     # Prefix sums restart at every block of words, so the powers stay in one small table; a longer word is hashed alone.
     w = 0
     while w < len(starts):
@@ -142,6 +144,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                 part = _CODES[data[a : min(ends[w], a + _BLOCK)]]
                 h = (h * 0xC2B2AE3D27D4EB4F + int((part * _POW[: len(part)]).sum(dtype=np.uint64)) + 1) % 2**64
             hashes[w] = h
+            for k, head in zip(prefixes, heads):
+                part = _CODES[data[lo : lo + k] if k > 0 else data[ends[w] + k : ends[w]]]
+                head[w] = (part * _POW[: len(part)]).sum(dtype=np.uint64)
             w += 1
             continue
         hi = ends[e - 1]
@@ -149,8 +154,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         np.cumsum(_CODES[data[lo:hi]] * _POW[: hi - lo], out=sums[1:])
         s = starts[w:e] - lo
         hashes[w:e] = (sums[ends[w:e] - lo] - sums[s]) * _INV[s]
+        for k, head in zip(prefixes, heads):
+            a, b = (s, np.minimum(ends[w:e] - lo, s + k)) if k > 0 else (np.maximum(s, ends[w:e] - lo + k), ends[w:e] - lo)
+            head[w:e] = (sums[b] - sums[a]) * _INV[a]
         w = e
-    return mix(hashes), np.searchsorted(starts, offsets)
+    return mix(hashes), np.searchsorted(starts, offsets), *(mix(h ^ np.uint64(k % 256)) for k, h in zip(prefixes, heads))
 
 
 def batches_of(it: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -101,7 +101,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rows = rows.join(names.withColumnRenamed("_id", "_nid").withColumnRenamed("_h", "_nh"), F.col("_id").eqNullSafe(F.col("_nid")) & (F.col("_h") == F.col("_nh"))).drop("_nid", "_nh")
     order = F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("id"))
-    groups = rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
+    # Written first, so that the join below can split the rows of a large group among tasks.
+    groups = stage(rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best")), "groups")
     out = rows.join(groups.hint("merge"), ["level", "name"])
     same = F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_len") == -F.col("best.l"))
     return out.select(F.col("_id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", same.alias("kept"), "text_sha256")
