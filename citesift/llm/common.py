@@ -22,6 +22,7 @@ IS_SPACE[list(SPACE_BYTES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
@@ -40,7 +41,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage at a table that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Shuffle files go as soon as the table is written: nothing reads them again.
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out

@@ -87,7 +87,7 @@ def _round_node(level: int):
     return run
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), seed: int = 7, draw_col: str | None = None) -> DataFrame:
     """How many copies of each document a mix takes, so that the words of every source come to its target.
 
     A document's size is its number of words. Sources take the weights in turn by code point order, null last; targets
@@ -97,12 +97,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     FAN_IN, up to a root for each source. The table of sources, one row each, is read by the driver.
 
     Returns one row for each input row: doc_id, size, source_size, target, taken, copies, source. Null and wordless texts have
-    size 0 and are taken 0 times over. Repeated rows are documents of their own. Reruns agree: all draws are hashes.
+    size 0 and are taken 0 times over. Repeated rows are documents of their own. Reruns agree: all draws
+    are hashes of draw_col (the id, unless given) and size.
     """
     # Words end before white space or the text's end; counting ends keeps the match short for any text.
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]++")).cast("long")
-    rows = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
+    rows = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(draw_col or id_col).alias("draw")), "sizes")
     spark = docs.sparkSession
     sources = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     sources.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -114,7 +115,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rows = rows.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor(F.col("rate") + _EPS).cast("int")
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
+    key = F.xxhash64(F.lit(seed), "draw", "size")
     leaf = rows.select(
         "doc_id", "size", "source_no", F.when(F.col("size") > 0, whole).otherwise(0).alias("whole"),
         F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("rate") - whole)).otherwise(0.0).alias("part"),

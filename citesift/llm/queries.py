@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, simhash
-from .common import read_documents
+from . import bpe, exact_dedup, langid, lm, mixing, quality, simhash, suffix_dedup, toxicity, warc
+from .common import crc_bucket, read_documents
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    held = crc_bucket() == 0
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    scored = toxicity.score_documents(docs.select("doc_id", "lang", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_rejected").alias("rejected"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    held = crc_bucket() == 0
+    found = langid.identify(docs, langid.fit(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +43,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_documents(spark, sf_dir))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("block")
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_documents(spark, sf_dir)).drop("first")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read_documents(spark, sf_dir), crc_bucket() != 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_mix_sources, op4_exact_dedup, op5_byte_bpe, op6_quality_rules, op9_simhash_near_dedup]
+    found = [
+        op1_toxicity, op2_language_id, op3_mix_sources, op4_exact_dedup, op5_byte_bpe, op6_quality_rules,
+        op7_warc_derivatives, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_lm_scoring,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -42,4 +73,4 @@ r AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM r
 """
 
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op7_warc_derivatives": warc.ORACLE_SQL}
