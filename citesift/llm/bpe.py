@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, text_bytes
 
 #: Transitions and words held in memory before they are built anew.
-MAX_TRANSITIONS, MAX_WORDS = 400_000, 300_000
+MAX_TRANSITIONS, MAX_WORDS = 500_000, 500_000
 #: Sure tokens are emitted as soon as a hypothesis holds more than this.
 MAX_HELD = 6
 _NEVER = 1 << 60
@@ -82,9 +83,32 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple] = [((0, (-1,)),)]
-        self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.delta: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # The tokens that a hypothesis holds are a chain; chain 0 holds none. A hypothesis is node << 32 | chain.
+        self.parent, self.token, self.depth = [-1], [-1], [0]
+        self.chain: dict[int, int] = {}
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.number: dict[tuple[int, ...], int] = {(0,): 0}
+        #: state << 8 | byte to the next state, or to -1 - place in self.outputs where tokens are emitted.
+        self.delta: dict[int, int] = {}
+        self.outputs: list[tuple[int, tuple[int, ...]]] = []
+
+    def _held(self, chain: int) -> list[int]:
+        """The tokens of a chain, the last sure one first."""
+        out = []
+        while chain >= 0:
+            out.append(self.token[chain])
+            chain = self.parent[chain]
+        return out[::-1]
+
+    def _linked(self, chain: int, token: int) -> int:
+        key = chain << 32 | token + 1
+        found = self.chain.get(key)
+        if found is None:
+            found = self.chain[key] = len(self.parent)
+            self.parent.append(chain)
+            self.token.append(token)
+            self.depth.append(self.depth[chain] + 1 if chain >= 0 else 0)
+        return found
 
     def _edges(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
         """Parts that stand at the token's right and at its left edge while merges rebuild it, each with the rank of
@@ -119,34 +143,47 @@ class Transducer:
             self.fits[a << 32 | b] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        trie, ends, inner = self.trie, self.ends, self.inner
-        moved, closed = [], None
-        for node, held in self.states[state]:
-            to = trie.get(node << 8 | byte)
+    def _step(self, state: int, byte: int) -> int:
+        trie, ends, inner, token, fits = self.trie, self.ends, self.inner, self.token, self.fits
+        moved, closed = [], -1
+        for hypothesis in self.states[state]:
+            to = trie.get(hypothesis >> 32 << 8 | byte)
             if to is not None:
+                chain = hypothesis & 0xFFFFFFFF
                 if inner[to]:
-                    moved.append((to, held))
-                if closed is None and ends[to] >= 0 and self.follows(held[-1], ends[to]):
-                    closed = (*held, ends[to])
-        if closed is None:
+                    moved.append(to << 32 | chain)
+                end = ends[to]
+                if end >= 0 and closed < 0:
+                    last = token[chain]
+                    if last < 0 or fits.get(last << 32 | end) or self.follows(last, end):
+                        closed = self._linked(chain, end)
+        if closed < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        moved.append((0, closed))
+        moved.append(closed)
         out: tuple[int, ...] = ()
-        if len(closed) > MAX_HELD:
+        if self.depth[closed] > MAX_HELD:
             # Every hypothesis holds its last sure token first; what follows in all of them is sure as well.
-            sure, shortest = 0, min(len(held) for _, held in moved)
-            while sure + 1 < shortest and all(held[sure + 1] == closed[sure + 1] for _, held in moved):
+            held = [self._held(h & 0xFFFFFFFF) for h in moved]
+            sure, shortest = 0, min(map(len, held))
+            while sure + 1 < shortest and all(x[sure + 1] == held[-1][sure + 1] for x in held):
                 sure += 1
-            out = closed[1 : sure + 1]
-            moved = [(node, held[sure:]) for node, held in moved]
+            out = tuple(held[-1][1 : sure + 1])
+            if sure:
+                for i, x in enumerate(held):
+                    chain = -1
+                    for t in x[sure:]:
+                        chain = self._linked(chain, t)
+                    moved[i] = moved[i] >> 32 << 32 | chain
         key = tuple(moved)
         at = self.number.get(key)
         if at is None:
             at = self.number[key] = len(self.states)
             self.states.append(key)
-        self.delta[state << 8 | byte] = (at, out)
-        return at, out
+        if out:
+            self.outputs.append((at, out))
+            at = -len(self.outputs)
+        self.delta[state << 8 | byte] = at
+        return at
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece; a piece that is a token is that token."""
@@ -154,12 +191,16 @@ class Transducer:
             return (self.ranks[piece],)
         if len(self.delta) > MAX_TRANSITIONS:
             self.reset()
-        out, state, delta = [], 0, self.delta
+        out, state, known = [], 0, self.delta.get
         for byte in piece:
-            found = delta.get(state << 8 | byte) or self._step(state, byte)
-            state = found[0]
-            out.extend(found[1])
-        out.extend(self.states[state][-1][1][1:])  # the hypothesis that ends here comes last
+            to = known(state << 8 | byte)
+            if to is None:
+                to = self._step(state, byte)
+            if to < 0:
+                to, tokens = self.outputs[-1 - to]
+                out.extend(tokens)
+            state = to
+        out.extend(self._held(self.states[state][-1])[1:])  # the hypothesis that ends here comes last
         return tuple(out)
 
 
@@ -230,6 +271,18 @@ def decode_stream(ids: Iterable[int], tokens: dict[int, bytes], step: int = 4096
     yield stream.close()
 
 
+_ENCODERS: dict[tuple[int, int, str], Encoder] = {}
+
+
+def _encoder(ranks: dict[bytes, int], key: int, pattern: str) -> Encoder:
+    """The encoder of this Python worker, kept from task to task with the states and pieces it knows."""
+    at = (key, len(ranks), pattern)
+    if at not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[at] = Encoder(ranks, pattern)
+    return _ENCODERS[at]
+
+
 def _ranks_column(spark: SparkSession, path: str):
     """The vocabulary, read by the driver and sent once to each executor: some hundred KB, whatever the corpus."""
     return spark.sparkContext.broadcast(load_ranks(path))
@@ -238,9 +291,10 @@ def _ranks_column(spark: SparkSession, path: str):
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for every row. Null and empty texts have no ids; texts are taken whole."""
     ranks = _ranks_column(docs.sparkSession, path)
+    key = zlib.crc32(repr(sorted(ranks.value.items())).encode())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = _encoder(ranks.value, key, pattern)
         for batch in batches_of(it, "_text", 4 << 20):
             ids = [encoder.encode(t.decode("utf-8", "replace")) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -268,9 +322,10 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     The ids digest is that of decimal ids joined by commas; the decoded digest that of the bytes, which equal the
     text's."""
     ranks = _ranks_column(docs.sparkSession, path)
+    key = zlib.crc32(repr(sorted(ranks.value.items())).encode())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = _encoder(ranks.value, key, pattern)
         tokens, names = encoder.transducer.tokens, {rank: str(rank) for rank in ranks.value.values()}
         for batch in batches_of(it, "_text", 4 << 20):
             n, a, b = [], [], []
