@@ -19,8 +19,8 @@ from .common import batches_of, discard, mix, stage, text_bytes
 LENGTH, GRAM = 50, 20
 _SPAN = LENGTH - GRAM + 1  # grams in a window
 #: Bytes of text for each group of anchors, and for each group of passages.
-ANCHOR_GROUP_BYTES, PASSAGE_GROUP_BYTES = 16 << 20, 2 << 20
-_BATCH, _PIECE = 4 << 20, 64 << 20
+ANCHOR_GROUP_BYTES, PASSAGE_GROUP_BYTES = 16 << 20, 512 << 10
+_BATCH, _PIECE = 2 << 20, 64 << 20
 _POS_BITS = 28
 _R = np.random.default_rng(8).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
