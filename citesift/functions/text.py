@@ -27,11 +27,12 @@ def utf16_length(c: Column) -> Column:
 
 def utf16_left(c: Column, n: int) -> Column:
     """The first n UTF-16 units; a character cut in half is dropped."""
-    supplementary = F.regexp_count(F.substring(c, 1, n), F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    short = F.when(supplementary == 0, F.substring(c, 1, n))
-    # Every character beyond the basic plane uses a unit more; decoding the cut bytes finds the place.
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-16BE"), 1, 2 * n), "UTF-16BE"), r"\x{FFFD}\z", "")
-    return F.coalesce(short, cut)
+    units = F.encode(c, "UTF-16BE")
+    last = F.hex(F.substring(units, 2 * n - 1, 2))
+    whole = F.when(last.between("D800", "DBFF"), 2 * n - 2).otherwise(2 * n)
+    # Most texts hold no such character, and characters are then units.
+    plain = F.octet_length(units) == 2 * F.length(c)
+    return F.when(plain, F.substring(c, 1, n)).otherwise(F.decode(F.substring(units, F.lit(1), whole), "UTF-16BE"))
 
 
 def normalise(c: Column) -> Column:

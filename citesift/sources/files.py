@@ -55,7 +55,8 @@ def _read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text, truncated, error) of the files at path. A file that can't be read is a row with its error."""
+    """(path, kind, text, truncated, error) of the files at path. A file that can't be read is a row with its error;
+    Spark's file source gives no row for a file without bytes."""
     files = spark.read.format("binaryFile").load(path)
     size_error = documents.file_error(F.col("length"))
     files = files.select("path", "content", documents.sniff(F.col("content")).alias("kind"), size_error.alias("_size_error"))

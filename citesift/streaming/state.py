@@ -30,6 +30,11 @@ def strip_step(inside: bool, pending: str, chunk: str) -> tuple[bool, str, str]:
         return inside, text[len(text) - hold :], "".join(out)
 
 
+def _plain(values: list) -> pd.Series:
+    """Strings as objects: the state operator takes no chunked string arrays."""
+    return pd.Series(values, dtype=object)
+
+
 class Buckets(StatefulProcessor):
     """One token bucket for each key; a bucket that would be full again is forgotten by its time to live."""
 
@@ -51,7 +56,7 @@ class Buckets(StatefulProcessor):
             allowed.append(ok)
             wait.append(retry)
         self.bucket.update((float(tokens), int(updated)))
-        yield pd.DataFrame({"key": [key[0]] * len(pdf), "id": pdf["id"].to_numpy(), "allowed": allowed, "retry_after": wait})
+        yield pd.DataFrame({"key": _plain([key[0]] * len(pdf)), "id": pdf["id"].to_numpy(), "allowed": allowed, "retry_after": wait})
 
     def close(self) -> None:
         pass
@@ -77,7 +82,7 @@ class Answers(StatefulProcessor):
             inside, pending, out = strip_step(bool(inside), pending or "", chunk or "")
             seq = n
             if out:
-                yield pd.DataFrame({"request_id": [key[0]], "seq": [n], "text": [out]})
+                yield pd.DataFrame({"request_id": [key[0]], "seq": [n], "text": _plain([out])})
         self.held.update((bool(inside), pending, int(seq)))
 
     def close(self) -> None:
@@ -101,7 +106,7 @@ class Lines(StatefulProcessor):
         line, n = (state[0] or "", state[1]) if state is not None else ("", 0)
         *lines, line = (line + "".join(x or "" for x in pdf["chunk"])).split("\n")
         self.rest.update((line, n + len(lines)))
-        yield pd.DataFrame({"request_id": [key[0]] * len(lines), "n": range(n, n + len(lines)), "line": lines})
+        yield pd.DataFrame({"request_id": [key[0]] * len(lines), "n": range(n, n + len(lines)), "line": _plain(lines)})
 
     def close(self) -> None:
         pass
