@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, byte_views, discard, mix, stage, text_bytes, word_hashes
+from .common import batches_of, byte_views, mix, stage, text_bytes, word_hashes
 
 #: Words whose counts the executors hold, at most; the counts of all others are joined.
 HOT_WORDS = 1 << 17

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, discard, stage
+from .common import discard, stage
 
 #: Copies of a document at most.
 MAX_COPIES = 3
@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Words end before white space or the text's end; counting ends keeps the match short for any text.
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]++")).cast("long")
-    rows = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(draw_col or id_col).alias("draw")), "sizes")
+    sizes_table = rows = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(draw_col or id_col).alias("draw")), "sizes")
     spark = docs.sparkSession
     sources = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     sources.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -122,11 +122,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         key.alias("key"), F.pmod(F.xxhash64(key), F.col("leaves")).cast("int").alias("salt"), F.lit(False).alias("is_open"),
     )
     schema = _NODE.format(id=dict(docs.dtypes)[id_col])
-    level, closed, most, staged = leaf, [], max([-(-r.n // LEAF_ROWS) for r in sources], default=1), []
+    level, closed, most = leaf, [], max([-(-r.n // LEAF_ROWS) for r in sources], default=1)
     depth = 0
     while True:
         level = stage(level.groupBy("source_no", "salt").applyInPandas(_round_node(depth), schema), "mix")
-        staged.append(level)
         closed.append(level.filter("not is_open"))
         rest = level.filter("is_open")
         if most <= 1:
@@ -137,6 +136,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         most = -(-most // FAN_IN)
         level = rest.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int"))
         depth += 1
+    discard(sizes_table)
     out = closed[0]
     for df in closed[1:]:
         out = out.unionByName(df)

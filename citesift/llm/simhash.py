@@ -95,6 +95,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     roots = components(links(fps.select("fp")))
     classed = stage(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    discard(fps)
     ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classed.join(ids.hint("merge"), "root").select("fp", "component_id")
     out = rows.join(by_fp.hint("merge"), "fp")
