@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, text_bytes
 
 #: Transitions and words held in memory before they are built anew.
-MAX_TRANSITIONS, MAX_WORDS = 500_000, 500_000
+MAX_TRANSITIONS, MAX_WORDS = 200_000, 300_000
 #: Sure tokens are emitted as soon as a hypothesis holds more than this.
 MAX_HELD = 6
 _NEVER = 1 << 60
