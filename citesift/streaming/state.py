@@ -36,13 +36,13 @@ def _plain(values: list) -> pd.Series:
 
 
 class Buckets(StatefulProcessor):
-    """One token bucket for each key; a bucket that would be full again is forgotten by its time to live."""
+    """One token bucket for each key. With forget, a bucket not used for a window is dropped: it would be full again."""
 
-    def __init__(self, capacity: float, window_ms: int, cost: float = 1.0, forget: bool = True):
+    def __init__(self, capacity: float, window_ms: int, cost: float = 1.0, forget: bool = False):
         self.capacity, self.window_ms, self.cost, self.forget = capacity, window_ms, cost, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, updated_ms long")
+        self.bucket = handle.getValueState("bucket", "tokens double, updated_ms long", self.window_ms if self.forget else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts_ms", "id"], kind="stable")
@@ -62,9 +62,13 @@ class Buckets(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(requests: DataFrame, capacity: float, window_ms: int, cost: float = 1.0) -> DataFrame:
-    """(key, id, allowed, retry_after) for a stream of (key string, ts_ms long, id long)."""
-    return requests.groupBy("key").transformWithStateInPandas(Buckets(capacity, window_ms, cost), "key string, id long, allowed boolean, retry_after int", "append", "none")
+def rate_limit_stream(requests: DataFrame, capacity: float, window_ms: int, cost: float = 1.0, forget: bool = False) -> DataFrame:
+    """(key, id, allowed, retry_after) for a stream of (key string, ts_ms long, id long).
+
+    forget bounds the state by the keys of the last window. It goes by the clock, so it is for live requests whose ts_ms is
+    the time of arrival; when old requests are replayed, leave it off."""
+    processor = Buckets(capacity, window_ms, cost, forget)
+    return requests.groupBy("key").transformWithStateInPandas(processor, "key string, id long, allowed boolean, retry_after int", "append", "processingTime" if forget else "none")
 
 
 class Answers(StatefulProcessor):
@@ -114,3 +118,39 @@ class Lines(StatefulProcessor):
 
 def lines_stream(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("request_id").transformWithStateInPandas(Lines(), "request_id long, n long, line string", "append", "none")
+
+
+class Idle(StatefulProcessor):
+    """Passes chunks on, and ends a request from which no chunk came for idle_ms: later chunks are dropped."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "timer_ms long, ended boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        state = self.last.get()
+        if state is not None and state[1]:
+            return
+        if state is not None:
+            self.handle.deleteTimer(state[0])
+        at = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+        self.handle.registerTimer(at)
+        self.last.update((at, False))
+        yield pd.DataFrame({"request_id": [key[0]] * len(pdf), "seq": pdf["seq"].to_numpy(), "chunk": _plain(pdf["chunk"].tolist()), "timed_out": [False] * len(pdf)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.update((0, True))
+        yield pd.DataFrame({"request_id": [key[0]], "seq": [-1], "chunk": _plain([None]), "timed_out": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def idle_timeout_stream(chunks: DataFrame, idle_ms: int) -> DataFrame:
+    """(request_id, seq, chunk, timed_out) for a stream of (request_id long, seq long, chunk string): the chunks, and a row
+    with timed_out and seq -1 for a request that fell silent. What came before stays."""
+    return chunks.groupBy("request_id").transformWithStateInPandas(Idle(idle_ms), "request_id long, seq long, chunk string, timed_out boolean", "append", "processingTime")

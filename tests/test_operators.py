@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citesift.functions import text
 from citesift.operators import documents, limiter, routing, scenario, search, sse
 from citesift.sources import files
-from citesift.streaming.state import lines_stream, rate_limit_stream, strip_reasoning_stream, strip_step
+from citesift.streaming.state import idle_timeout_stream, lines_stream, rate_limit_stream, strip_reasoning_stream, strip_step
 
 
 def values(spark, rows, schema, *cols):
@@ -121,16 +121,20 @@ def test_answers_from_chunks(spark):
     assert {r.request_id: r.answer for r in sse.answers(df).collect()} == {1: "Ärger", 2: "yes"}
 
 
-def _streamed(spark, rows, schema, query, tmp_path):
-    """Feed rows as two files, one after the other, and return what the stream wrote."""
-    src, out = str(tmp_path / "in"), []
+def _streamed(spark, rows, schema, query, tmp_path, until=None):
+    """Feed rows as two files, one after the other, and return what the stream wrote. A stream with timers doesn't end by
+    itself: it is stopped when its rows satisfy until."""
+    src = str(tmp_path / "in")
     for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = query(stream).writeStream.format("memory").queryName(tmp_path.name.replace("-", "_")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    out = spark.table(tmp_path.name.replace("-", "_")).collect()
-    return out
+    rows_now = lambda: spark.table(tmp_path.name.replace("-", "_")).collect()  # noqa: E731  a table read once keeps its rows
+    for _ in range(120):
+        if q.awaitTermination(0.5) or (until and until(rows_now())):
+            break
+    q.stop()
+    return rows_now()
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -176,3 +180,16 @@ def test_setup_and_idle(spark):
     df = spark.createDataFrame(rows, "request_id long, seq long, arrived_at_ms long")
     got = {(r.request_id, r.seq, r.timed_out) for r in sse.timely(df, 1000).collect()}
     assert got == {(1, 0, False), (1, 1, True), (2, 0, False)}
+
+
+def test_silent_requests_end(spark, tmp_path):
+    rows = [(1, 0, "a"), (2, 0, "b"), (2, 1, "c"), (2, 2, "d")]
+    got = _streamed(spark, rows, "request_id long, seq long, chunk string", lambda s: idle_timeout_stream(s, 1), tmp_path, lambda got: any(r.timed_out and r.request_id == 1 for r in got) and any(r.request_id == 2 for r in got))
+    assert {(r.request_id, r.seq) for r in got if not r.timed_out} >= {(1, 0), (2, 0)}
+    assert {r.request_id for r in got if r.timed_out} >= {1}
+
+
+def test_forgetful_buckets(spark, tmp_path):
+    rows = [("a", 0, 1), ("a", 1, 2), ("b", 2, 3), ("a", 3, 4)]
+    got = _streamed(spark, rows, "key string, ts_ms long, id long", lambda s: rate_limit_stream(s, 2.0, 600_000, forget=True), tmp_path, lambda got: len(got) == 4)
+    assert {(r.id, r.allowed) for r in got} == {(1, True), (2, True), (3, True), (4, False)}
