@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from citesift.llm import common, minhash
+from citesift.llm import common, exact_dedup, minhash, mixing
 
 
 def shingles(t, k=5):
@@ -60,3 +60,28 @@ def test_stage_drops_edited_copies(spark, sf_dir):
     table = common.stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "edited")
     got = Counter(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, sf_dir).collect())
     assert got == Counter(set(classes(texts)))
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix])
+def test_stages_hold_when_scans_are_cut_anew(spark, sf_dir, monkeypatch, stage):
+    """The splits of a written table change between two plans of a stage, as when an executor is lost or added."""
+    rows = [(i // 2, f"{'long ' * (2000 * (i % 3))} text {i // 4}", "a", str(i)) for i in range(240)]
+    table = common.stage(spark.createDataFrame(rows, "doc_id long, text string, source string, mark string").repartition(4), "cut")
+    want = Counter(tuple(r) for r in stage(spark, table, sf_dir).collect())
+    key, written = "spark.sql.files.maxPartitionBytes", common.stage
+    was, sizes = spark.conf.get(key), [1000, 128 << 20]
+
+    def cut_anew(df, name):
+        out = written(df, name)
+        sizes.reverse()
+        spark.conf.set(key, sizes[0])
+        return out
+    for module in (common, exact_dedup, minhash, mixing):
+        monkeypatch.setattr(module, "stage", cut_anew)
+    try:
+        got = [Counter(tuple(r) for r in stage(spark, table, sf_dir).collect())]
+        spark.conf.set(key, 1000)
+        got.append(Counter(tuple(r) for r in stage(spark, table, sf_dir).collect()))
+    finally:
+        spark.conf.set(key, was)
+    assert got == [want, want]
