@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import public_tokenizers
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from citesift.llm import common, exact_dedup, minhash, mixing
+from citesift.llm import bpe, common, exact_dedup, minhash, mixing
 
 
 def shingles(t, k=5):
@@ -85,3 +87,37 @@ def test_stages_hold_when_scans_are_cut_anew(spark, sf_dir, monkeypatch, stage):
     finally:
         spark.conf.set(key, was)
     assert got == [want, want]
+
+
+def test_stages_after_the_classifier_equal_brute_force(spark, sf_dir):
+    rnd = random.Random(13)
+    rows = [(i, t, "ab"[rnd.randrange(2)]) for i, t in enumerate(edited(rnd, families=12))]
+    rows += [(i + 1000, t.replace(" ", "  "), s) for i, t, s in rows[::4] if t]
+    at = common.stage(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "whole")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        at = common.stage(stage(spark, at, sf_dir), "whole")
+    got = Counter((r.doc_id, r.source, r.n_tokens) for r in at.collect())
+
+    best = {}
+    for i, t, s in rows:
+        key = "".join((t or "").split())
+        best[key] = min(best.get(key, (1, 0)), (-len(t or ""), i))
+    left = [r for r in rows if r[0] in {i for _, i in best.values()}]
+    roots = classes([t for _, t, _ in left])
+    left = [r for k, r in enumerate(left) if roots[k] == k]
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = {i: len((t or "").split()) for i, t, _ in left}
+    sources = sorted({s for *_, s in left})
+    sizes = [sum(words[i] for i, _, s in left if s == x) for x in sources]
+    targets = mixing.water_fill(sizes, [1, 2, 3][: len(sources)])
+    assert {k[0] for k in got} <= set(words)
+    for x, size, target in zip(sources, sizes, targets):
+        taken = 0
+        for i, t, s in left:
+            if s == x:
+                copies = got.pop((i, s, len(library.encode_ordinary(t or ""))), 0)
+                assert copies in ({int(target / size), int(target / size) + 1} if words[i] else {0})
+                taken += copies * words[i]
+        assert abs(taken - target) < max(words.values())
+    assert not got
