@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -16,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import batches_of, text_bytes
 
 #: Transitions and words held in memory before they are built anew.
-MAX_TRANSITIONS, MAX_WORDS = 200_000, 300_000
-#: Sure tokens are emitted as soon as a hypothesis holds more than this.
-MAX_HELD = 6
+MAX_TRANSITIONS, MAX_WORDS = 600_000, 300_000
+#: Places of a piece that wait at most, before the sure tokens are emitted; well above the longest token.
+MAX_HELD = 4096
 _NEVER = 1 << 60
 
 
@@ -54,19 +56,22 @@ class Transducer:
     """Merges compiled to a finite-state transducer from bytes to tokens.
 
     The tokens of a prefix are fixed by its last token: a token may follow another exactly if the two, merged alone,
-    stay as they are. A hypothesis is a place where a token may begin: its node in the trie of tokens, and the tokens
-    before it that aren't emitted yet. A state is the set of open hypotheses; a byte moves all of them, closes the one
-    token that may end here, and emits tokens that all hypotheses agree on. Lookahead is bounded by the longest
-    token. States and transitions are made when first met.
+    stay as they are. A hypothesis is a place where a token may begin: its node in the trie of tokens, and the token that
+    ends before it. A state is the set of open hypotheses, whatever came before them, so that states recur in unlike
+    words. A byte moves all of them and closes the one token that may end here. The token that each place closes leads
+    back to the place before it; tokens are emitted when all open hypotheses lead back to one place. Lookahead is
+    bounded by the longest token. States and transitions are made when first met.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         # The trie of tokens: node << 8 | byte gives the next node; inner nodes have children.
         self.trie: dict[int, int] = {}
         self.ends: list[int] = [-1]
         self.inner: list[bool] = [True]
+        self.deep: list[int] = [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
@@ -76,6 +81,7 @@ class Transducer:
                     child = self.trie[node << 8 | b] = len(self.ends)
                     self.ends.append(-1)
                     self.inner.append(False)
+                    self.deep.append(self.deep[node] + 1)
                 node = child
             self.ends[node] = rank
         self.edges: dict[int, tuple] = {}
@@ -83,32 +89,12 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        # The tokens that a hypothesis holds are a chain; chain 0 holds none. A hypothesis is node << 32 | chain.
-        self.parent, self.token, self.depth = [-1], [-1], [0]
-        self.chain: dict[int, int] = {}
+        # A hypothesis is node << 32 | token + 1. The newest comes last: it begins here, after the token closed here.
         self.states: list[tuple[int, ...]] = [(0,)]
         self.number: dict[tuple[int, ...], int] = {(0,): 0}
-        #: state << 8 | byte to the next state, or to -1 - place in self.outputs where tokens are emitted.
+        self.closed: list[int] = [-1]
+        #: state << 8 | byte to the next state.
         self.delta: dict[int, int] = {}
-        self.outputs: list[tuple[int, tuple[int, ...]]] = []
-
-    def _held(self, chain: int) -> list[int]:
-        """The tokens of a chain, the last sure one first."""
-        out = []
-        while chain >= 0:
-            out.append(self.token[chain])
-            chain = self.parent[chain]
-        return out[::-1]
-
-    def _linked(self, chain: int, token: int) -> int:
-        key = chain << 32 | token + 1
-        found = self.chain.get(key)
-        if found is None:
-            found = self.chain[key] = len(self.parent)
-            self.parent.append(chain)
-            self.token.append(token)
-            self.depth.append(self.depth[chain] + 1 if chain >= 0 else 0)
-        return found
 
     def _edges(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
         """Parts that stand at the token's right and at its left edge while merges rebuild it, each with the rank of
@@ -132,7 +118,7 @@ class Transducer:
             return True
         known = self.fits.get(a << 32 | b)
         if known is None:
-            if len(self.fits) > MAX_TRANSITIONS:
+            if len(self.fits) > MAX_TRANSITIONS // 2:
                 self.fits.clear()
             rank, known = self.ranks.get, True
             for x, x_until in self._edges(a)[0]:
@@ -144,64 +130,88 @@ class Transducer:
         return known
 
     def _step(self, state: int, byte: int) -> int:
-        trie, ends, inner, token, fits = self.trie, self.ends, self.inner, self.token, self.fits
         moved, closed = [], -1
         for hypothesis in self.states[state]:
-            to = trie.get(hypothesis >> 32 << 8 | byte)
+            to = self.trie.get(hypothesis >> 32 << 8 | byte)
             if to is not None:
-                chain = hypothesis & 0xFFFFFFFF
-                if inner[to]:
-                    moved.append(to << 32 | chain)
-                end = ends[to]
-                if end >= 0 and closed < 0:
-                    last = token[chain]
-                    if last < 0 or fits.get(last << 32 | end) or self.follows(last, end):
-                        closed = self._linked(chain, end)
+                before = hypothesis & 0xFFFFFFFF
+                if self.inner[to]:
+                    moved.append(to << 32 | before)
+                end = self.ends[to]
+                if end >= 0 and closed < 0 and self.follows(before - 1, end):
+                    closed = end
         if closed < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        moved.append(closed)
-        out: tuple[int, ...] = ()
-        if self.depth[closed] > MAX_HELD:
-            # Every hypothesis holds its last sure token first; what follows in all of them is sure as well.
-            held = [self._held(h & 0xFFFFFFFF) for h in moved]
-            sure, shortest = 0, min(map(len, held))
-            while sure + 1 < shortest and all(x[sure + 1] == held[-1][sure + 1] for x in held):
-                sure += 1
-            out = tuple(held[-1][1 : sure + 1])
-            if sure:
-                for i, x in enumerate(held):
-                    chain = -1
-                    for t in x[sure:]:
-                        chain = self._linked(chain, t)
-                    moved[i] = moved[i] >> 32 << 32 | chain
+        moved.append(closed + 1)
         key = tuple(moved)
         at = self.number.get(key)
         if at is None:
             at = self.number[key] = len(self.states)
             self.states.append(key)
-        if out:
-            self.outputs.append((at, out))
-            at = -len(self.outputs)
+            self.closed.append(closed)
         self.delta[state << 8 | byte] = at
         return at
 
+    def _back(self, tokens: list[int], end: int) -> list[int]:
+        """The tokens that lead back from a place, the last one first."""
+        out, length = [], self.length
+        while end > 0:
+            t = tokens[end - 1]
+            out.append(t)
+            end -= length[t]
+        return out
+
+    def _sure(self, state: int, tokens: list[int]) -> int:
+        """The last place that all open hypotheses lead back to."""
+        common: set[int] | None = None
+        for hypothesis in self.states[state]:
+            end = len(tokens) - self.deep[hypothesis >> 32]
+            places = {end}
+            for t in self._back(tokens, end):
+                end -= self.length[t]
+                places.add(end)
+            common = places if common is None else common & places
+        return max(common or {0})
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece; a piece that is a token is that token."""
         if piece in self.ranks:
             return (self.ranks[piece],)
         if len(self.delta) > MAX_TRANSITIONS:
             self.reset()
-        out, state, known = [], 0, self.delta.get
+        out: list[int] = []
+        tokens: list[int] = []  # the token closed at each place that isn't emitted yet
+        state, known, closed = 0, self.delta.get, self.closed
         for byte in piece:
             to = known(state << 8 | byte)
-            if to is None:
-                to = self._step(state, byte)
-            if to < 0:
-                to, tokens = self.outputs[-1 - to]
-                out.extend(tokens)
-            state = to
-        out.extend(self._held(self.states[state][-1])[1:])  # the hypothesis that ends here comes last
-        return tuple(out)
+            state = self._step(state, byte) if to is None else to
+            tokens.append(closed[state])
+            if len(tokens) == MAX_HELD:
+                sure = self._sure(state, tokens)
+                out += self._back(tokens, sure)[::-1]
+                del tokens[:sure]
+        return (*out, *self._back(tokens, len(tokens))[::-1])
+
+
+def latin_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern with the letters, numbers and white space among the first 256 characters written out, so that the
+    standard library's faster engine matches texts of these characters alike; None if it holds other escapes."""
+    def members(kind: str) -> str:
+        some = (c for c in map(chr, range(256)) if (c in "\t\n\v\f\r \x85\xa0" if kind == "s" else unicodedata.category(c)[0] == kind))
+        return "".join(map(re.escape, some))
+
+    known = {r"\p{L}": members("L"), r"\p{N}": members("N"), r"\s": members("s")}
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        if part in known:
+            part = known[part] if inside else f"[{known[part]}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{known[chr(92) + 's']}]"
+        elif part[0] == "\\" and part[1:] not in ("r", "n", "t"):
+            return None
+        inside = part == "[" or inside and part != "]"
+        out.append(part)
+    return re.compile("".join(out))
 
 
 class Encoder:
@@ -209,9 +219,20 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
-        self.pieces = regex.compile(pattern).findall
+        self.any_pieces = regex.compile(pattern).findall
+        latin = latin_pattern(pattern)
+        self.latin_pieces = latin.findall if latin else None
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        if self.latin_pieces:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.any_pieces(text)
+            return self.latin_pieces(text)
+        return self.any_pieces(text)
+
     def _of(self, piece: str) -> tuple[int, ...]:
         found = self.transducer.encode(piece.encode())
         if len(piece) <= 64:
@@ -261,13 +282,9 @@ class Utf8Stream:
 
 def decode_stream(ids: Iterable[int], tokens: dict[int, bytes], step: int = 4096) -> Iterator[str]:
     """The text of token ids, piece by piece, without waiting for the end."""
-    stream, part = Utf8Stream(), []
-    for i in ids:
-        part.append(tokens[i])
-        if len(part) >= step:
-            yield stream.feed(b"".join(part))
-            part.clear()
-    yield stream.feed(b"".join(part))
+    stream, ids = Utf8Stream(), iter(ids)
+    while part := b"".join(map(tokens.__getitem__, islice(ids, step))):
+        yield stream.feed(part)
     yield stream.close()
 
 
@@ -320,7 +337,9 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """Encode and decode every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     The ids digest is that of decimal ids joined by commas; the decoded digest that of the bytes, which equal the
-    text's."""
+    text's. Null texts count as empty: no tokens, digests of nothing. Repeated rows give repeated rows, an empty table
+    none. Texts are taken whole, however long; a batch holds about 4 MB of them or a single longer one. Only the id and
+    text columns are read, so further columns may have any name."""
     ranks = _ranks_column(docs.sparkSession, path)
     key = zlib.crc32(repr(sorted(ranks.value.items())).encode())
 
