@@ -268,4 +268,25 @@ def test_derivatives_round_trip(spark, tmp_path, sf_dir):
     for r in want:
         got = back[r.record_id]
         assert bytes(got.block).decode() == r.block and got.headers["warc-refers-to"] == r.refers_to and got.headers["warc-block-digest"] == r.block_digest
+    assert all(r.whole for r in back.values())
     assert warc.derivatives(warc.responses(odd.limit(0))).count() == 0
+
+
+def test_text_of_entities_and_hidden_elements():
+    assert warc.plain_text("<p>a&#8217;s &#x2014; &amp;#39; &#39;b&#39; &#0;&#xD800;&nbsp; c</p>") == "a’s — &#39; 'b' &#0;&#xD800; c"
+    assert warc.plain_text("<NOSCRIPT >x</noscript\n><template>y</template><style a=1>z</style>t<!-- u --><br/>v") == "t\nv"
+
+
+def test_responses_of_a_warc_file_keep_headers_and_digests(spark, tmp_path):
+    http = b"HTTP/1.1 404 Not Found\r\nServer: old\r\nX-Long: a\r\n b\r\nContent-Type: text/html\r\n\r\n<title> T </title>gone\r\n\r\nand done"
+    head = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:uuid:{}>\r\nWARC-Date: 2020-02-02T00:00:00Z\r\nWARC-Target-URI: http://x/\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: {}\r\n\r\n"
+    record = lambda kind, i, block: head.format(kind, i, len(block)).encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record("warcinfo", 0, b"software: x\r\n") + record("response", 1, http) + record("request", 2, b"GET / HTTP/1.1\r\n\r\n"))
+    records = warc.read_records(spark, str(tmp_path))
+    assert sorted(r.headers["warc-type"] for r in records.filter("whole").collect()) == ["request", "response", "warcinfo"]
+    made = {r.record_type: r for r in warc.derivatives(warc.recorded_responses(records)).collect()}
+    meta = made["metadata"].block
+    assert "http-status: 404\r\nhttp-Server: old\r\nhttp-X-Long: a\r\n b\r\nhttp-Content-Type: text/html\r\n" in meta and "payload-digest: sha1:ABC\r\n" in meta
+    for r in made.values():
+        assert r.refers_to == "<urn:uuid:1>" and r.source_digest == "sha1:ABC" and r.date == "2020-02-02T00:00:00Z" and r.target_uri == "http://x/"
+    assert made["conversion"].block == "T gone\n and done".replace("\n ", "\n")
