@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ _START = CONTEXT_WORDS + CLASSES
 ROWS = 1 << 15
 FEATURES = 4
 ROUNDS, STEP, RATE = 2, 4096, 0.1
+#: Tasks whose weights one node of the reduction sums.
+FAN_IN = 32
 #: The token that ends every text.
 END = np.uint64(0xE0F5_1A7E_57ED_0001)
 _COUNTS = "h long, tail int, n long"
@@ -158,52 +161,59 @@ def features(ctx: np.ndarray, cls: np.ndarray, offsets: np.ndarray) -> np.ndarra
 def _rows(f: np.ndarray, group: np.ndarray | None) -> np.ndarray:
     if group is not None:
         f = mix(f + (group.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return (f & np.uint64(ROWS - 1)).astype(np.int32)
+    return (f & np.uint64(ROWS - 1)).astype(np.uint16)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _activations(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Sums of the rows named for each token, and the bias, less the largest in each line."""
+    z = table.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += table.take(r, axis=0)
+    z += bias
+    z -= z.max(axis=1, keepdims=True)
+    return z
 
 
-def class_log_probs(w: Weights, f: np.ndarray, cls: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+def class_log_probs(w: Weights, f: np.ndarray, cls: np.ndarray, step: int = 1 << 13) -> np.ndarray:
     """Natural log probability of each token's class in its context."""
     out = np.empty(len(cls), np.float32)
     for lo in range(0, len(cls), step):
         g, c = np.divmod(cls[lo : lo + step], BRANCH)
-        zg, zc = w.group_bias[None, :].repeat(len(g), 0), w.within_bias[g]
-        for k in range(FEATURES):
-            part = f[k, lo : lo + step]
-            zg += w.group[_rows(part, None)]
-            zc += w.within[_rows(part, g)]
-        at = np.arange(len(g))
-        out[lo : lo + step] = _log_softmax(zg)[at, g] + _log_softmax(zc)[at, c]
+        part, at = f[:, lo : lo + step], np.arange(len(g))
+        z = _activations(w.group, _rows(part, None), w.group_bias)
+        y = _activations(w.within, _rows(part, g), w.within_bias.take(g, axis=0))
+        out[lo : lo + step] = z[at, g] + y[at, c] - np.log(np.exp(z).sum(axis=1) * np.exp(y).sum(axis=1))
     return out
 
 
 def _descend(rows: np.ndarray, grad: np.ndarray, table: np.ndarray, squares: np.ndarray) -> None:
-    """One AdaGrad step on the rows named, each with the sum of its gradients."""
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    heads = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    g = np.add.reduceat(grad[order], heads, axis=0)
-    at = sorted_rows[heads]
-    squares[at] += g * g
-    table[at] -= RATE * g / np.sqrt(squares[at])
+    """One AdaGrad step: each row that rows (features x tokens) names, with the sum of the gradients of its tokens."""
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")  # a radix sort, for numbers of 16 bits
+    by_row = flat[order]
+    last = np.flatnonzero(np.append(by_row[1:] != by_row[:-1], True))
+    # Sums of runs are differences of running sums.
+    sums = np.cumsum(grad.take(order % len(grad), axis=0), axis=0, dtype=np.float64)[last]
+    sums[1:] -= sums[:-1].copy()
+    g, at = sums.astype(np.float32), by_row[last]
+    total = squares.take(at, axis=0)
+    total += g * g
+    squares[at] = total
+    g *= RATE
+    g /= np.sqrt(total)
+    table[at] -= g
 
 
 def local_updates(w: Weights, f: np.ndarray, cls: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
     """Follow the gradient of the log loss over the tokens in steps of STEP, in place."""
     for lo in range(0, len(cls), STEP):
         g, c = np.divmod(cls[lo : lo + STEP], BRANCH)
-        rg = [_rows(f[k, lo : lo + STEP], None) for k in range(FEATURES)]
-        rc = [_rows(f[k, lo : lo + STEP], g) for k in range(FEATURES)]
-        at = np.arange(len(g))
-        for bias, rows, table, square, y in ((w.group_bias[None, :], rg, w.group, squares[0], g), (w.within_bias[g], rc, w.within, squares[1], c)):
-            z = sum(table[r] for r in rows) + bias
-            d = np.exp(_log_softmax(z))
+        part, at = f[:, lo : lo + STEP], np.arange(len(g))
+        for bias, rows, table, square, y in ((w.group_bias, _rows(part, None), w.group, squares[0], g), (w.within_bias.take(g, axis=0), _rows(part, g), w.within, squares[1], c)):
+            d = np.exp(_activations(table, rows, bias))
+            d /= d.sum(axis=1, keepdims=True)
             d[at, y] -= 1
-            _descend(np.concatenate(rows), np.concatenate([d] * FEATURES), table, square)
+            _descend(rows, d, table, square)
 
 
 def _trainer(lex_sent, weights_sent):
@@ -222,20 +232,20 @@ def _trainer(lex_sent, weights_sent):
             block = ROWS // 16
             for i in range(16):
                 part = np.stack([t[i * block : (i + 1) * block] - s[i * block : (i + 1) * block] for t, s in ((w.group, start.group), (w.within, start.within))])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([seen % 64], pa.int32()), pa.array([seen], pa.int64()), pa.array([(part * seen).astype(np.float32).tobytes()], pa.binary())], names=["block", "salt", "seen", "delta"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([(part * seen).astype(np.float32).tobytes()], pa.binary())], names=["block", "salt", "seen", "delta"])
     return run
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, np.float32) for x in pdf["delta"])
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": [0], "seen": [int(pdf["seen"].sum())], "delta": [total.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "seen": [int(pdf["seen"].sum())], "delta": [total.astype(np.float32).tobytes()]})
 
 
 def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", rounds: int = ROUNDS) -> Weights:
     """Fit the class softmaxes to all texts of docs, a part of them in each round.
 
     Every task follows the gradient over its share of the round's texts from the weights sent to it; their changes,
-    weighted by tokens, are averaged in a two-level reduction and sent out anew. The weights have a fixed size."""
+    weighted by tokens, are summed in a tree of FAN_IN at a node and sent out anew. The weights have a fixed size."""
     spark = docs.sparkSession
     w = initial_weights(lex)
     lex_sent = spark.sparkContext.broadcast(lex)
@@ -245,7 +255,13 @@ def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", rounds: int = R
         sent = spark.sparkContext.broadcast(w)
         part = slim.filter(F.pmod(F.xxhash64("_text"), F.lit(rounds)) == r)
         got = part.mapInArrow(_trainer(lex_sent, sent), schema)
-        got = got.groupBy("block", "salt").applyInPandas(_summed, schema).groupBy("block").applyInPandas(_summed, schema).collect()
+        tasks = part.rdd.getNumPartitions()
+        while True:
+            got = got.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).groupBy("block", "salt").applyInPandas(_summed, schema)
+            tasks = -(-tasks // FAN_IN)
+            if tasks <= 1:
+                break
+        got = got.collect()
         new = Weights(w.group.copy(), w.within.copy(), w.group_bias, w.within_bias)
         size = ROWS // 16
         for row in got:
@@ -263,7 +279,9 @@ def score_documents(docs: DataFrame, use: Column, id_col: str = "doc_id", text_c
     Tokens are lower-cased (A-Z) words and one end for each text. Returns for every row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. The model gives a token the probability of its class after the words before it, times its
     share of the class, where a word never seen in training has half a count. Null and empty texts are an end alone.
-    Repeated rows are texts of their own. Without training rows N and V are 0 and all tokens are unknown.
+    Repeated rows are texts of their own. Without training rows N and V are 0 and all tokens are unknown; an empty table gives no
+    rows. Texts are taken whole; a batch holds about 8 MB of them or a single longer one. Only the id, the text and the
+    columns of use are read.
     """
     train_docs = docs.filter(use)
     vocab = stage(count_words(train_docs, text_col), "vocab")
