@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +45,31 @@ def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / 2**53
 
 
-def pivotal(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
-    """Round parts in (0, 1) to 0 or 1 but for one, keeping sum(sizes * parts).
+def pivotal(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray, draws_apart: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """Round parts in (0, 1) to 0 or 1 but for one, keeping sum(sizes * parts). Entries come in descending order of size.
 
     Two open entries meet at a time: mass moves from one to the other, in a direction drawn so that neither expectation
-    changes, until one of them is integral. Returns the parts and the index of the entry still open, or -1."""
-    x = parts.astype(float).tolist()
-    a = sizes.tolist()
-    held = -1
-    for i in range(len(x)):
+    changes, until one of them is integral. Against a much shorter partner it is always the short one that settles, so
+    a long entry would stay open to the end. One that meets an entry of less than half its size is therefore drawn by itself, and
+    what it takes or leaves is shared by size among all later entries, where their parts have room for it.
+    Returns the parts and the index of the entry still open, or -1."""
+    draws_apart = draws if draws_apart is None else draws_apart
+    x, a = parts.astype(float), sizes.astype(float)
+    open_ = (x > _EPS) & (x < 1 - _EPS)
+    x[~open_] = np.round(x[~open_])
+    at = np.flatnonzero(open_)
+    later = np.cumsum(a[at][::-1])[::-1].tolist()
+    least = np.minimum.accumulate(x[at][::-1])[::-1].tolist()
+    most = np.maximum.accumulate(x[at][::-1])[::-1].tolist()
+    x, a, held, shift = x.tolist(), a.tolist(), -1, 0.0
+    for k, i in enumerate(at.tolist()):
+        if held >= 0 and a[held] > 2 * a[i]:
+            # There must be room whichever way it falls, or the draw would favour one of them.
+            low, high = ((x[held] - taken) * a[held] / later[k] + shift for taken in (1.0, 0.0))
+            if least[k] + low >= 0 and most[k] + high <= 1:
+                x[held], shift = (1.0, low) if draws_apart[held] < x[held] else (0.0, high)
+                held = -1
+        x[i] += shift
         if x[i] <= _EPS or x[i] >= 1 - _EPS:
             x[i] = float(round(x[i]))
             continue
@@ -77,13 +93,16 @@ _NODE = "doc_id {id}, size long, source_no int, whole int, part double, key long
 
 
 def _round_node(level: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        size, key, part = (table[c].to_numpy() for c in ("size", "key", "part"))
         # Long documents settle first, so that what stays open at the end is short.
-        pdf = pdf.sort_values(["size", "key", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        x, held = pivotal(pdf["size"].to_numpy(), pdf["part"].to_numpy(), _uniform(pdf["key"].to_numpy().view(np.uint64), level))
-        pdf["part"] = x
-        pdf["is_open"] = np.arange(len(pdf)) == held
-        return pdf
+        order = np.lexsort((part, key, -size))
+        keys = key[order].view(np.uint64)
+        x, held = pivotal(size[order], part[order], _uniform(keys, level), _uniform(keys, level + 1000))
+        table = table.take(pa.array(order))
+        for name, values in (("part", pa.array(x)), ("is_open", pa.array(np.arange(len(x)) == held))):
+            table = table.set_column(table.schema.get_field_index(name), name, values)
+        return table
     return run
 
 
@@ -92,13 +111,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document's size is its number of words. Sources take the weights in turn by code point order, null last; targets
     see water_fill. Every document of a source asks for the same real number of copies; its fraction is rounded by
-    pivotal sampling with the words as mass, so a source misses its target by less than one document, mostly a short one. Leaves hold
+    pivotal sampling with the words as mass, so a source misses its target by less than one document, a short one unless
+    few long ones hold most of its words. Leaves hold
     about LEAF_ROWS documents dealt by a hash of id and size, and each passes its one open entry to a node of about
     FAN_IN, up to a root for each source. The table of sources, one row each, is read by the driver.
 
     Returns one row for each input row: doc_id, size, source_size, target, taken, copies, source. Null and wordless texts have
-    size 0 and are taken 0 times over. Repeated rows are documents of their own. Reruns agree: all draws
-    are hashes of draw_col (the id, unless given) and size.
+    size 0 and are taken 0 times over; an empty table gives no rows; texts are counted whole. Repeated rows are documents of
+    their own. Reruns agree: all draws are hashes of draw_col (the id, unless given) and size. Ids pass through Arrow
+    unchanged. Only the columns named are read, so further ones may have any name.
     """
     # Words end before white space or the text's end; counting ends keeps the match short for any text.
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -125,7 +146,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     level, closed, most = leaf, [], max([-(-r.n // LEAF_ROWS) for r in sources], default=1)
     depth = 0
     while True:
-        level = stage(level.groupBy("source_no", "salt").applyInPandas(_round_node(depth), schema), "mix")
+        level = stage(level.groupBy("source_no", "salt").applyInArrow(_round_node(depth), schema), "mix")
         closed.append(level.filter("not is_open"))
         rest = level.filter("is_open")
         if most <= 1:

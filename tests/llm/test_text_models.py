@@ -146,6 +146,31 @@ def test_mix(docs, real):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_large_ids_beside_null(spark):
+    rows = [(2**60 + 1, "a b c", "s"), (2**60 + 3, "a b", "s"), (None, "a", "s"), (5, "b " * 9, "t")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got} == {2**60 + 1, 2**60 + 3, None, 5} and {r.doc_id: r.size for r in got}[2**60 + 3] == 2
+
+
+def test_pivotal_ends_on_a_short_document():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        sizes = np.sort(np.ceil(rng.lognormal(4, 1.5, 400)))[::-1]
+        part = rng.uniform(0.3, 0.7)
+        x, held = mixing.pivotal(sizes, np.full(400, part), rng.uniform(size=400), rng.uniform(size=400))
+        assert abs((sizes * x).sum() - part * sizes.sum()) < 1e-6 * sizes.sum() and ((x < 1e-9) | (x > 1 - 1e-9)).sum() >= 399
+        assert held < 0 or sizes[held] <= np.median(sizes)
+
+
+def test_pivotal_keeps_expectations():
+    rng = np.random.default_rng(6)
+    sizes, parts = np.array([900.0, 400, 390, 60, 50, 50, 9, 4, 3, 1]), np.full(10, 0.37)
+    mean = np.zeros(10)
+    for _ in range(6000):
+        mean += mixing.pivotal(sizes, parts, rng.uniform(size=10), rng.uniform(size=10))[0] / 6000
+    assert np.abs(mean - 0.37).max() < 0.03
+
+
 # BPE
 
 
