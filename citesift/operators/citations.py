@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EDGE_AFTER, EDGE_BEFORE, SPACE, WIDE_SPACE, escaped, js_trim, uri_component
+from ..functions.text import EDGE_AFTER, EDGE_BEFORE, SPACE, WIDE_SPACE, escaped, js_trim
 from ..plans import registry
 
-# The shape of a number, the key words before it, and the last words of statute names.
+# The shape of a number, the key words before it, the last words of statute names, and the three patterns.
 NUMBER = r"\d{1,3}[A-Za-z]{0,2}(?:\(\d+[a-z]?\))?"
 KEYWORD = r"(?:sections?|sec\.?|s\.)"
 CASED_KEYWORD = r"(?:[Ss]ections?|[Ss]ec\.?|[Ss]\.)"
@@ -24,84 +27,100 @@ ANY_STATUTE = rf"{EDGE_BEFORE}{CASED_KEYWORD}{SPACE}*({NUMBER}){SPACE}+of{SPACE}
 #: Every pattern needs a key word before a digit.
 CANDIDATE = rf"(?i)s(?:ec(?:tions?)?)?\.?{SPACE}*\d"
 
-CITATION = "struct<raw:string,act_id:string,number:string,status:string,heading:string,url:string,caution:string>"
 VERIFIED, UNKNOWN, UNRECOGNISED = "verified", "unknown-section", "unrecognised"
 
 
+def _map(pairs: Iterable[tuple[str, str]]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it: lambdas share no subexpressions."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def resolve_act(name: Column) -> Column:
     """The id of the act whose longest alias the name contains, or null."""
     needle = F.regexp_replace(F.lower(name), "[,.]", " ")
     needle = F.regexp_replace(needle, rf"{EDGE_BEFORE}(?:19|20)\d{{2}}{EDGE_AFTER}", " ")
     needle = js_trim(F.regexp_replace(needle, f"{SPACE}+", " "))
     known = F.array(*(F.struct(F.lit(act).alias("act"), F.lit(alias).alias("alias")) for act, alias in registry.sorted_aliases()))
-    return F.get(F.filter(known, lambda a: F.contains(needle, a["alias"])), 0)["act"]
+    held = F.element_at(F.transform(F.array(needle), lambda n: F.get(F.filter(known, lambda a: F.contains(n, a["alias"])), 0)["act"]), 1)
+    # A name that is an alias contains no longer one.
+    return F.coalesce(F.try_element_at(_map((alias, act) for act, alias in registry.sorted_aliases()), F.lower(name)), held)
 
 
 def source_url(act_id: Column) -> Column:
-    urls = F.create_map(*(x for a in registry.ACTS for x in (F.lit(a[0]), F.lit(f"{a[2]} {a[3]}"))))
-    return F.concat(F.lit(registry.SOURCE_BASE), uri_component(F.try_element_at(urls, act_id)))
-
-
-def _headings() -> Column:
-    return F.create_map(*(x for act, number, heading, _ in registry.SECTIONS for x in (F.lit(f"{act}:{number.upper()}"), F.lit(heading))))
-
-
-def _short_name(act_id: Column) -> Column:
-    return F.try_element_at(F.create_map(*(x for a in registry.ACTS for x in (F.lit(a[0]), F.lit(a[1])))), act_id)
+    # Characters that browsers leave as they are, besides letters and digits.
+    return F.try_element_at(_map((a[0], registry.SOURCE_BASE + quote(f"{a[2]} {a[3]}", safe="-_.!~*'()")) for a in registry.ACTS), act_id)
 
 
 def verify(raw: Column, act_id: Column, number: Column) -> Column:
     """The citation of a section of an act: exact, else by its parent with a caution, else unknown; unrecognised without an act."""
-    number = F.upper(js_trim(number))
-    headings = _headings()
-    exact = F.try_element_at(headings, F.concat_ws(":", act_id, number))
-    parent_number = F.regexp_extract(number, r"^(\d{1,3}[A-Z]{0,2})\(", 1)
-    parent = F.when(parent_number != "", F.try_element_at(headings, F.concat_ws(":", act_id, parent_number)))
-    name = _short_name(act_id)
-    caution = (
-        F.when(act_id.isNull(), F.lit("This law isn't in the registry, so the reference couldn't be checked."))
-        .when(exact.isNotNull(), F.lit(None).cast("string"))
-        .when(parent.isNotNull(), F.concat(F.lit("Section "), parent_number, F.lit(" of the "), name, F.lit(" is confirmed; its sub-clause wasn't checked.")))
-        .otherwise(F.concat(F.lit("The registry doesn't hold Section "), number, F.lit(" of the "), name, F.lit("; check it at the source.")))
-    )
-    status = F.when(act_id.isNull(), UNRECOGNISED).when(exact.isNotNull() | parent.isNotNull(), VERIFIED).otherwise(UNKNOWN)
-    return F.struct(
-        raw.alias("raw"), act_id.alias("act_id"), number.alias("number"), status.alias("status"),
-        F.coalesce(exact, parent).alias("heading"), F.when(act_id.isNotNull(), source_url(act_id)).alias("url"), caution.alias("caution"),
-    )
+    headings = _map((f"{act}:{n.upper()}", heading) for act, n, heading, _ in registry.SECTIONS)
+    names = _map((a[0], a[1]) for a in registry.ACTS)
+    heading = lambda act, n: F.try_element_at(headings, F.concat_ws(":", act, n))
+    above = F.when(F.contains(number, F.lit("(")), F.nullif(F.regexp_extract(number, r"^(\d{1,3}[A-Z]{0,2})\(", 1), F.lit("")))
+    found = F.struct(raw.alias("raw"), act_id.alias("act"), number.alias("n"), heading(act_id, number).alias("exact"), above.alias("above"))
+
+    def cited(c: Column) -> Column:
+        by_parent = F.when(c["exact"].isNull() & c["above"].isNotNull(), heading(c["act"], c["above"]))
+        return F.struct(*(c[k].alias(k) for k in ("raw", "act", "n", "exact", "above")), by_parent.alias("parent"), F.try_element_at(names, c["act"]).alias("name"))
+
+    def citation(c: Column) -> Column:
+        caution = (
+            F.when(c["act"].isNull(), F.lit("This law isn't in the registry, so the reference couldn't be checked."))
+            .when(c["exact"].isNotNull(), F.lit(None).cast("string"))
+            .when(c["parent"].isNotNull(), F.concat(F.lit("Section "), c["above"], F.lit(" of the "), c["name"], F.lit(" is confirmed; its sub-clause wasn't checked.")))
+            .otherwise(F.concat(F.lit("The registry doesn't hold Section "), c["n"], F.lit(" of the "), c["name"], F.lit("; check it at the source.")))
+        )
+        heading = F.coalesce(c["exact"], c["parent"])
+        status = F.when(c["act"].isNull(), UNRECOGNISED).when(heading.isNotNull(), VERIFIED).otherwise(UNKNOWN)
+        return F.struct(
+            c["raw"].alias("raw"), c["act"].alias("act_id"), c["n"].alias("number"), status.alias("status"),
+            heading.alias("heading"), source_url(c["act"]).alias("url"), caution.alias("caution"),
+        )
+
+    return _once(_once(found, cited), citation)
 
 
 def verify_citation(raw: Column, act_name: Column, number: Column) -> Column:
-    return verify(raw, resolve_act(act_name), number)
+    return verify(raw, resolve_act(act_name), F.upper(js_trim(number)))
 
 
 def matches(text: Column, pattern: str, act_group: int, number_group: int) -> Column:
-    """All matches of one pattern, left to right: raw, act name, number."""
-    part = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    zipped = F.arrays_zip(part(0).alias("raw"), part(act_group).alias("act"), part(number_group).alias("number"))
-    return F.transform(zipped, lambda m: F.struct(js_trim(m["raw"]).alias("raw"), m["act"].alias("act"), m["number"].alias("number")))
+    """All matches of one pattern, left to right: raw, act (its name), number. The text is searched once; a match alone gives
+    the same groups again, as nothing outside it was looked at but the edges of words."""
+    part = lambda raw, group: F.regexp_extract(raw, pattern, group)
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda raw: F.struct(raw.alias("raw"), part(raw, act_group).alias("act"), F.upper(part(raw, number_group)).alias("number")),
+    )
 
 
-def extract(text: Column) -> Column:
-    """The citations of a text as an array, in the order of pattern and place; of equal ones the first stays, and
-    unresolved fragments of longer resolved ones go. Null texts have none."""
+def mentions(text: Column) -> Column:
+    """The references of a text as an array (raw, act_id, number), in the order of pattern and place; of equal ones the first
+    stays, and unresolved fragments of longer resolved ones go. Null texts have none."""
     found = F.concat(matches(text, NUMBER_FIRST, 2, 1), matches(text, ACT_FIRST, 1, 2), matches(text, ANY_STATUTE, 2, 1))
-    cites = F.transform(found, lambda m: verify(m["raw"], resolve_act(m["act"]), m["number"]))
-    key = lambda c: F.when(c["act_id"].isNotNull(), F.concat_ws(":", c["act_id"], c["number"])).otherwise(F.lower(c["raw"]))
-    keyed = F.transform(cites, lambda c: F.struct(key(c).alias("k"), c.alias("c")))
-    none = F.lit(None).cast(f"array<struct<k:string,c:{CITATION}>>")
-    # aggregate() binds the array once, so that patterns aren't matched again for every element.
+    found = F.transform(found, lambda m: F.struct(m["raw"].alias("raw"), resolve_act(m["act"]).alias("act_id"), m["number"].alias("number")))
+    key = lambda c: F.coalesce(F.concat(c["act_id"], F.lit(":"), c["number"]), F.lower(c["raw"]))
+
     def unique(found: Column) -> Column:
-        keys = F.transform(found, lambda x: x["k"])
-        firsts = F.filter(found, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-        return F.transform(firsts, lambda x: x["c"])
+        def firsts(keys: Column) -> Column:
+            return F.filter(found, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        return F.when(F.size(found) < 2, found).otherwise(_once(F.transform(found, key), firsts))
 
     def unshadowed(cs: Column) -> Column:
-        return F.filter(cs, lambda c: c["act_id"].isNotNull() | ~F.exists(cs, lambda o: o["act_id"].isNotNull() & (F.length(o["raw"]) > F.length(c["raw"])) & F.contains(o["raw"], c["raw"])))
+        held = lambda c: F.exists(cs, lambda o: o["act_id"].isNotNull() & (F.length(o["raw"]) > F.length(c["raw"])) & F.contains(o["raw"], c["raw"]))
+        return F.filter(cs, lambda c: c["act_id"].isNotNull() | ~held(c))
 
-    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    kept = once(once(F.coalesce(keyed, none), unique), unshadowed)
-    return F.when(text.rlike(CANDIDATE), kept).otherwise(F.array().cast(f"array<{CITATION}>"))
+    none = F.array().cast("array<struct<raw:string,act_id:string,number:string>>")
+    return F.when(text.rlike(CANDIDATE), _once(_once(found, unique), unshadowed)).otherwise(none)
+
+
+def extract(text: Column) -> Column:
+    """The citations of a text as an array: its mentions, verified."""
+    return F.transform(mentions(text), lambda m: verify(m["raw"], m["act_id"], m["number"]))
 
 
 def audit(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -117,6 +136,11 @@ def rows(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return cited.select(id_col, "c.*")
 
 
+def mention_rows(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, raw, act_id, number): a row for each mention, not yet verified; texts without any have no row."""
+    return docs.select(F.col(id_col), F.explode_outer(mentions(F.col(text_col))).alias("m")).select(id_col, "m.*").filter("raw is not null")
+
+
 def verify_rows(cited: DataFrame) -> DataFrame:
     """The relational form: a table with act_id and number, joined to the registry (52 rows, broadcast) exactly, then by parent."""
     spark = cited.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,22 +25,22 @@ def take(tokens: float, updated_ms: int, now_ms: int, capacity: float, window_ms
 def rate_limit(requests: DataFrame, capacity: float, window_ms: float, key_col: str = "key", ts_col: str = "ts_ms", id_col: str = "id", cost: float = 1.0) -> DataFrame:
     """requests with allowed and retry_after (seconds), as one bucket for each key decides in the order of time, then id.
 
-    Keys are dealt to tasks and sorted there; a task holds one bucket at a time, however many requests a key has. A null key is a key."""
+    Keys are dealt to tasks and sorted there; a task holds one bucket at a time, however many requests a key has. A null key is a key.
+    Columns pass through Arrow unchanged, 64-bit integers beside nulls too."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens, updated = object(), capacity, 0
-        for pdf in it:
+        for batch in it:
             allowed, wait = [], []
-            for key, ts in zip(pdf[key_col].tolist(), pdf[ts_col].tolist()):
-                key = None if key is None or key != key else key
+            for key, ts in zip(batch.column(key_col).to_pylist(), batch.column(ts_col).to_pylist()):
                 if key != last:
                     last, tokens, updated = key, capacity, ts
                 tokens, ok, retry = take(tokens, updated, ts, capacity, window_ms, cost)
                 updated = ts
                 allowed.append(ok)
                 wait.append(retry)
-            yield pdf.assign(allowed=allowed, retry_after=wait)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(wait, pa.int32())], names=[*batch.schema.names, "allowed", "retry_after"])
 
     dealt = requests.repartition(F.col(key_col)).sortWithinPartitions(F.col(key_col), F.col(ts_col), F.col(id_col))
-    return dealt.mapInPandas(run, f"{fields}, allowed boolean, retry_after int")
+    return dealt.mapInArrow(run, f"{fields}, allowed boolean, retry_after int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, js_trim
+from ..functions.text import SPACE, js_trim, masked_key
 from .documents import document_status, question_status
 from .scenario import match
 
@@ -83,6 +83,22 @@ def request_body(provider_id: Column, model: Column, system: Column, user: Colum
     return F.when(provider_id == "google", google).when(provider_id == "openai", chat("max_completion_tokens")).when(provider_id == "local", chat("max_tokens")).when(provider_id == "anthropic", anthropic)
 
 
+# The addresses of the hosted protocols, and the headers that carry a key.
+GOOGLE_URL = "https://generativelanguage.googleapis.com/v1beta/models/{}:streamGenerateContent?alt=sse"
+OPENAI_URL, ANTHROPIC_URL = "https://api.openai.com/v1/chat/completions", "https://api.anthropic.com/v1/messages"
+KEY_HEADERS = {"google": "x-goog-api-key", "openai": "authorization", "local": "authorization", "anthropic": "x-api-key"}
+
+
+def request_target(provider_id: Column, model: Column, base_url: Column, key: Column) -> Column:
+    """url, header and its value for each provider's protocol. The key is never part of the URL, and the value shows its ends only."""
+    before, after = GOOGLE_URL.split("{}")
+    local = F.concat(F.regexp_replace(base_url, "/+$", ""), F.lit("/chat/completions"))
+    url = F.when(provider_id == "google", F.concat(F.lit(before), model, F.lit(after))).when(provider_id == "openai", OPENAI_URL).when(provider_id == "anthropic", ANTHROPIC_URL).when(provider_id == "local", local)
+    header = F.coalesce(*(F.when(provider_id == name, header) for name, header in KEY_HEADERS.items()))
+    shown = F.when(header == "authorization", F.concat(F.lit("Bearer "), masked_key(key))).otherwise(masked_key(key))
+    return F.struct(url.alias("url"), header.alias("header"), F.when(header.isNotNull(), shown).alias("value"))
+
+
 def json_reply(payload: Column, status: Column) -> Column:
     return F.struct(F.to_json(payload).alias("body"), status.cast("int").alias("status"))
 

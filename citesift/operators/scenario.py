@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import registry
@@ -19,3 +19,9 @@ def match(question: Column) -> Column:
     ]
     best = F.greatest(*scored)
     return F.when(best["hits"] >= MIN_SIGNALS, best["id"])
+
+
+def answered(questions: DataFrame, question_col: str = "question") -> DataFrame:
+    """questions with scenario_id and the scenario's label and answer, null where none matches."""
+    known = registry.scenarios(questions.sparkSession).select("scenario_id", "label", "answer")
+    return questions.withColumn("scenario_id", match(F.col(question_col))).join(F.broadcast(known), "scenario_id", "left")

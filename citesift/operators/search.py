@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
@@ -34,6 +34,13 @@ def search_sections(queries: DataFrame, query_col: str = "query") -> DataFrame:
     return _needles(queries, query_col).join(F.broadcast(both), (F.col("_needle") != "") & F.contains("_hay", "_needle")).drop("_hay", "_needle")
 
 
+def shown_sections(found: DataFrame, by: list[str], limit: int = SHOWN) -> DataFrame:
+    """The first sections of each query's results, in the order of the registry, with total: how many there are in all."""
+    w = Window.partitionBy(*by)
+    ranked = found.withColumns({"rank": F.row_number().over(w.orderBy("section_ordinal")), "total": F.count(F.lit(1)).over(w)})
+    return ranked.filter(F.col("rank") <= limit)
+
+
 def result_line(acts: Column, sections: Column) -> Column:
     """The line above the results, with plurals."""
     some = lambda n, one: F.concat(n.cast("string"), F.lit(f" {one}"), F.when(n == 1, "").otherwise("s"))

@@ -64,3 +64,24 @@ def setup_timed_out(requested_at_ms: Column, first_at_ms: Column, limit_ms: int
 def latest(requests: DataFrame) -> DataFrame:
     """The latest request of each session; earlier ones are abandoned."""
     return requests.groupBy("session_id").agg(F.max_by("request_id", F.struct("ts", "request_id")).alias("request_id"))
+
+
+def until_error(chunks: DataFrame, error_col: str = "error") -> DataFrame:
+    """Chunks before a request's first error, and the row that has it, whose chunk becomes null: what came before stays."""
+    w = Window.partitionBy("request_id").orderBy("seq")
+    failed = F.sum(F.col(error_col).isNotNull().cast("int")).over(w)
+    kept = chunks.withColumn("_failed", failed).filter((F.col("_failed") == 0) | (F.col("_failed") == 1) & F.col(error_col).isNotNull())
+    return kept.withColumn("chunk", F.when(F.col(error_col).isNull(), F.col("chunk"))).drop("_failed")
+
+
+def finished(chunks: DataFrame, error_col: str = "error") -> DataFrame:
+    """(request_id, answer, error) of plain text chunks: whole answers, or what came before the first error."""
+    kept = until_error(chunks, error_col)
+    errors = kept.groupBy("request_id").agg(F.max(error_col).alias("error"))
+    return joined(kept).withColumnRenamed("body", "answer").join(errors, "request_id")
+
+
+def one_shot(answer: Column) -> Column:
+    """An answer that came at once, as a stream of a single chunk; an empty one is an upstream error."""
+    empty = F.coalesce(js_trim(answer), F.lit("")) == ""
+    return F.struct(F.when(empty, 502).otherwise(200).alias("status"), F.when(~empty, answer).alias("chunk"))

@@ -38,8 +38,8 @@ def _values(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS v({names})"
 
 
-SECTIONS_SQL = _values([(i, a, n, h, registry.plain(h), p) for i, (a, n, h, p) in enumerate(registry.SECTIONS)], "ordinal, act_id, number, heading, plain, previously")
-ACTS_SQL = _values([(i, *a[:5], f"Act of {a[3]} on {a[5]} matters, as in force in India.", a[5]) for i, a in enumerate(registry.ACTS)], "ordinal, act_id, short_name, title, year, replaces, summary, domain")
+SECTIONS_SQL = _values(registry.section_rows(), "ordinal, act_id, number, heading, plain, previously, consequence")
+ACTS_SQL = _values(registry.act_rows(), "ordinal, act_id, short_name, title, year, replaces, summary, domain")
 
 _NAMES = ["BNS", "BNSS", "PWDVA", "IT Act", "Fictional Act"]
 _IDS = ["BNS", "BNSS", "PWDVA", "IT", None]
@@ -51,6 +51,10 @@ def _pick(names: list[str], n) -> Column:
 
 def _orders(spark: SparkSession, sf_dir: str, text) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # A file of one row group is one task: its keys, not the texts made from them, are dealt to all cores.
+    cores = spark.sparkContext.defaultParallelism
+    if o.rdd.getNumPartitions() < cores:
+        o = o.repartition(cores)
     return o.withColumn("text", text(F.col("o_orderkey"), F.col("o_custkey")))
 
 
@@ -94,7 +98,7 @@ FROM k LEFT JOIN {s} ON s.act_id = k.act_id AND s.number = k.p || '(' || k.c ||
 def citation_subclause(spark, sf_dir):
     names = ["Consumer Protection Act", "PWDVA", "RERA"]
     df = _orders(spark, sf_dir, lambda o, c: _cat("Section ", o % 40, "(", c % 50 + 1, ") of the ", _pick(names, c), "."))
-    return citations.verify_rows(citations.rows(df, "o_orderkey").select("o_orderkey", "act_id", "number")).select("o_orderkey", "act_id", "number", "status", "by_parent")
+    return citations.verify_rows(citations.mention_rows(df, "o_orderkey")).select("o_orderkey", "act_id", "number", "status", "by_parent")
 
 
 @_query(f"""WITH k AS (SELECT o_orderkey, o_orderkey % 400 AS a, o_custkey % 400 AS b, o_custkey % 5 = 4 AS none FROM orders),
@@ -135,7 +139,7 @@ def act_resolve(spark, sf_dir):
     return p.select("p_partkey", citations.resolve_act(name).alias("act_id"))
 
 
-_SEARCHES = ["", "deposit", "Indian Penal Code", "RERA", "rera", " cheating ", "66", "consumer", "zzzznotalaw", "act"]
+_SEARCHES = ["", "deposit", "Indian Penal Code", "RERA", "rera", " cheating ", "66", "consumer", "zzzznotalaw", "act", "password", "refund"]
 _NEEDLES_SQL = _values([(i, q) for i, q in enumerate(_SEARCHES)], "query_id, query")
 
 
@@ -155,6 +159,33 @@ def registry_search_sections(spark, sf_dir):
     return search.search_sections(_searches(spark)).select("query_id", "act_id", "number")
 
 
+_FOUND_SQL = f"""q AS (SELECT query_id, lower(trim(query)) AS n FROM {_NEEDLES_SQL}), a AS (SELECT * FROM {ACTS_SQL}), s AS (SELECT * FROM {SECTIONS_SQL}),
+f AS (SELECT query_id, act_id, number, ordinal FROM q JOIN (SELECT s.ordinal, s.act_id, s.number, lower(s.number || ' ' || heading || ' ' || plain || ' ' || coalesce(previously, '') || ' ' || short_name || ' ' || title) AS h FROM s JOIN a USING (act_id)) ON n <> '' AND contains(h, n))"""
+
+
+@_query(f"""WITH {_FOUND_SQL} SELECT query_id, act_id, number, rank, total FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM f) WHERE rank <= 25""")
+def registry_search_shown(spark, sf_dir):
+    shown = search.shown_sections(search.search_sections(_searches(spark)), ["query_id"])
+    return shown.select("query_id", "act_id", "number", F.col("rank").cast("long").alias("rank"), "total")
+
+
+@_query(f"""WITH {_FOUND_SQL}, n AS (SELECT query_id, count(*) AS sections FROM f GROUP BY 1),
+m AS (SELECT query_id, count(*) AS acts FROM q JOIN a ON contains(lower(short_name || ' ' || title || ' ' || summary || ' ' || coalesce(replaces, '') || ' ' || domain), n) GROUP BY 1)
+SELECT query_id, coalesce(acts, 0) || ' act' || CASE WHEN coalesce(acts, 0) = 1 THEN '' ELSE 's' END || ', ' || coalesce(sections, 0) || ' section' || CASE WHEN coalesce(sections, 0) = 1 THEN '' ELSE 's' END AS line
+FROM q LEFT JOIN n USING (query_id) LEFT JOIN m USING (query_id)""")
+def registry_result_line(spark, sf_dir):
+    q = _searches(spark)
+    count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    both = q.join(count(search.search_acts(q), "acts"), "query_id", "left").join(count(search.search_sections(q), "sections"), "query_id", "left").fillna(0, ["acts", "sections"])
+    return both.select("query_id", search.result_line(F.col("acts"), F.col("sections")).alias("line"))
+
+
+@_query(f"SELECT act_id, number, plain, consequence FROM {SECTIONS_SQL} WHERE act_id = 'IT'")
+def sections_of_act(spark, sf_dir):
+    return search.sections_of(spark, "IT").select("act_id", "number", "plain", "consequence")
+
+
 @_query(f"SELECT act_id, count(*) AS n_sections FROM {SECTIONS_SQL} GROUP BY 1")
 def sections_per_act(spark, sf_dir):
     return search.sections_per_act(spark)
@@ -320,3 +351,118 @@ def url_question(spark, sf_dir):
     d = _read(spark, sf_dir, "documents")
     url = F.concat(F.lit("https://example.org/?a=1&question=Q"), F.col("doc_id").cast("string"), F.lit("+%26+more&question=second"))
     return d.select("doc_id", documents.query_question(url).alias("question"))
+
+
+@_query("""WITH k AS (SELECT doc_id, (doc_id % 400)::VARCHAR AS number FROM documents)
+SELECT k.doc_id, 'BNS' AS act_id, k.number, CASE WHEN s.number IS NULL THEN 'Unconfirmed section' ELSE 'Verified' END AS label FROM k LEFT JOIN {s} ON s.act_id = 'BNS' AND s.number = k.number""".format(s=SECTIONS_SQL.replace("AS v(", "AS s(")))
+def citation_documents(spark, sf_dir):
+    """A citation planted between two copies of each document's whole text."""
+    d = _read(spark, sf_dir, "documents")
+    t = F.concat("text", F.lit(". See Section "), (F.col("doc_id") % 400).cast("string"), F.lit(" of the BNS. "), "text")
+    found = citations.rows(d.select("doc_id", t.alias("text")), "doc_id").filter("raw is not null")
+    return found.select("doc_id", "act_id", "number", citations.status_label(F.col("status")).alias("label"))
+
+
+@_query("""WITH e AS (SELECT event_id, event_id % 7 <> 0 AS allowed, event_id % 11 <> 0 AS body_ok, event_id % 13 AS q, event_id % 3 = 0 AS offline, CASE WHEN event_id % 5 = 0 THEN 504 END AS up FROM events)
+SELECT event_id, CASE WHEN NOT allowed THEN 429 WHEN NOT body_ok OR q = 0 THEN 400 WHEN event_id % 130 = 1 THEN 413 WHEN offline THEN 503 ELSE coalesce(up, 200) END AS status FROM e""")
+def document_status(spark, sf_dir):
+    i = F.col("event_id")
+    text = F.when(i % 13 == 0, F.repeat(F.lit("x"), 199)).when(i % 130 == 1, F.repeat(F.lit("x"), 120_001)).otherwise(F.repeat(F.lit("x"), 200))
+    return _read(spark, sf_dir, "events").select("event_id", routing.document_route(i % 7 != 0, i % 11 != 0, text, F.when(i % 3 != 0, "local"), F.when(i % 5 == 0, 504)).alias("status"))
+
+
+@_query("""WITH e AS (SELECT event_id, event_id % 3 AS k, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 503 WHEN 3 THEN 404 ELSE 504 END AS s, event_id % 3 + 1 AS n FROM events)
+SELECT event_id, CASE WHEN k = 0 THEN 504 WHEN k = 1 THEN 502 WHEN s IN (429, 503) THEN s ELSE 502 END AS status, s <> 404 AS again, 600.0::DOUBLE * power(2, n - 1) AS wait_ms FROM e""")
+def upstream_policy(spark, sf_dir):
+    i = F.col("event_id")
+    status, kind = F.element_at(F.array(*map(F.lit, (429, 500, 503, 404, 504))), (i % 5).cast("int") + 1), _pick(["timeout", "network", "status"], i)
+    return _read(spark, sf_dir, "events").select("event_id", routing.upstream_error(kind, status).alias("status"), routing.retryable(status).alias("again"), routing.backoff_ms(i % 3 + 1, F.lit(0.0)).alias("wait_ms"))
+
+
+@_query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'google' WHEN 1 THEN 'openai' WHEN 2 THEN 'anthropic' WHEN 3 THEN 'local' END AS p, 'm' || user_id AS m, 'key-' || event_id || '-tail' AS k FROM events)
+SELECT event_id, CASE p WHEN 'google' THEN 'https://generativelanguage.googleapis.com/v1beta/models/' || m || ':streamGenerateContent?alt=sse' WHEN 'openai' THEN 'https://api.openai.com/v1/chat/completions'
+  WHEN 'anthropic' THEN 'https://api.anthropic.com/v1/messages' WHEN 'local' THEN 'http://localhost:11434/v1/chat/completions' END AS url,
+  CASE p WHEN 'google' THEN 'x-goog-api-key' WHEN 'anthropic' THEN 'x-api-key' WHEN 'openai' THEN 'authorization' WHEN 'local' THEN 'authorization' END AS header,
+  CASE WHEN p IN ('openai', 'local') THEN 'Bearer ' ELSE '' END || CASE WHEN p IS NOT NULL THEN left(k, 4) || '…' || right(k, 4) END AS value FROM e""")
+def request_target(spark, sf_dir):
+    i = F.col("event_id")
+    target = routing.request_target(_pick(["google", "openai", "anthropic", "local", None], i), _cat("m", F.col("user_id")), F.lit("http://localhost:11434/v1//"), _cat("key-", i, "-tail"))
+    return _read(spark, sf_dir, "events").select("event_id", target.alias("t")).select("event_id", "t.*")
+
+
+@_query("""SELECT event_id, '{"model":"m","stream":true,' || CASE event_id % 3 WHEN 0 THEN '"max_completion_tokens":64,"messages":[{"role":"system","content":"s"},{"role":"user","content":"q' || event_id || '"}]}'
+  WHEN 1 THEN '"max_tokens":64,"messages":[{"role":"system","content":"s"},{"role":"user","content":"q' || event_id || '"}]}' ELSE '"max_tokens":64,"system":"s","messages":[{"role":"user","content":"q' || event_id || '"}]}' END AS body FROM events""")
+def request_bodies(spark, sf_dir):
+    i = F.col("event_id")
+    body = routing.request_body(_pick(["openai", "local", "anthropic"], i), F.lit("m"), F.lit("s"), _cat("q", i), F.lit(64))
+    return _read(spark, sf_dir, "events").select("event_id", body.alias("body"))
+
+
+@_query("""SELECT conv_id, turn, '{"conv_id":' || conv_id || ',"turn":' || turn || '}' AS body, 200 AS status, left(repeat(text, 3), 500) AS line FROM conversations""")
+def reply_rows(spark, sf_dir):
+    reply = routing.json_reply(F.struct("conv_id", "turn"), F.lit(200))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("r"), routing.log_line(F.repeat("text", 3)).alias("line")).select("conv_id", "turn", "r.*", "line")
+
+
+@_query(f"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '{documents.DEFAULT_QUESTION}' ELSE left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1000) END AS question FROM conversations""")
+def question_default(spark, sf_dir):
+    q = F.when(F.col("turn") % 3 == 0, F.lit(" why ")).otherwise(F.concat(F.lit(" \n"), "text", F.lit("\t")))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", documents.question_or_default(q).alias("question"))
+
+
+@_query("SELECT doc_id, CASE WHEN lang IN ('en','hi','hinglish','ta','te','mr','bn','kn') THEN lang ELSE 'en' END AS language FROM documents")
+def language_expression(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", routing.language_or_default(F.col("lang")).alias("language"))
+
+
+@_query("""SELECT user_id AS request_id, epoch_ms(min(ts)) - epoch_ms(TIMESTAMP '2024-01-01') > 36 * 3600000 AS timed_out FROM events GROUP BY 1""")
+def setup_timeout(spark, sf_dir):
+    first = _read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("request_id")).agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))).alias("first"))
+    return first.select("request_id", sse.setup_timed_out(F.unix_millis(F.lit("2024-01-01").cast("timestamp")), F.col("first"), 36 * 3_600_000).alias("timed_out"))
+
+
+@_query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 502 ELSE 200 END AS status, CASE WHEN turn % 2 = 0 THEN NULL ELSE text END AS chunk FROM conversations""")
+def one_shot_answer(spark, sf_dir):
+    answer = F.when(F.col("turn") % 2 == 0, F.lit(" \n")).otherwise(F.col("text"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", sse.one_shot(answer).alias("a")).select("conv_id", "turn", "a.*")
+
+
+@_query("""WITH f AS (SELECT conv_id, min(turn) FILTER (turn % 4 = 3) AS bad FROM conversations GROUP BY 1)
+SELECT c.conv_id AS request_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (bad IS NULL OR turn < bad), '') AS answer, CASE WHEN any_value(bad) IS NOT NULL THEN 'broken at ' || any_value(bad) END AS error
+FROM conversations c JOIN f USING (conv_id) GROUP BY 1""")
+def stream_error(spark, sf_dir):
+    """Streams that break after they began: the partial answer stays."""
+    c = _read(spark, sf_dir, "conversations")
+    error = F.when(F.col("turn") % 4 == 3, _cat("broken at ", F.col("turn")))
+    return sse.finished(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"), error.alias("error")))
+
+
+@_query("""WITH c AS (SELECT conv_id, 'Section ' || string_agg((turn * 7 + 80)::VARCHAR || ' BNS; section ', '' ORDER BY turn) AS t, list_distinct(list(((turn * 7 + 80) % 1000)::VARCHAR)) AS ns FROM conversations GROUP BY 1),
+n AS (SELECT conv_id, unnest(ns) AS number FROM c)
+SELECT n.conv_id AS request_id, count(s.number) AS verified, count(*) - count(s.number) AS unverified FROM n LEFT JOIN {s} ON s.act_id = 'BNS' AND s.number = n.number GROUP BY 1""".format(s=SECTIONS_SQL.replace("AS v(", "AS s(")))
+def finished_audit(spark, sf_dir):
+    """The audit of an answer when its last chunk is there; chunks are cut inside section numbers."""
+    c = _read(spark, sf_dir, "conversations")
+    number = (F.col("turn") * 7 + 80).cast("string")
+    cut = F.array(F.struct((F.col("turn") * 2).alias("seq"), F.concat(F.lit("Section "), F.left(number, F.lit(1))).alias("chunk")), F.struct((F.col("turn") * 2 + 1).alias("seq"), F.concat(F.substring(number, 2, 9), F.lit(" BNS; ")).alias("chunk")))
+    chunks = c.select(F.col("conv_id").alias("request_id"), F.explode(cut).alias("x")).select("request_id", "x.*", F.lit(None).cast("string").alias("error"))
+    done = citations.audit(sse.finished(chunks), "answer")
+    return done.select("request_id", F.col("verified").cast("long").alias("verified"), F.col("unverified").cast("long").alias("unverified"))
+
+
+@_query("SELECT * FROM " + _values([(x[0], f"{x[1]}", prompts.registry_list().count(chr(10)) + 1) for x in registry.LANGUAGES], "code, name, acts"))
+def prompt_languages(spark, sf_dir):
+    """The system prompt names the answer's language and every act once."""
+    p = registry.languages(spark).select("code", prompts.system_prompt(F.col("directive")).alias("p"))
+    name = F.regexp_extract("p", r"Write the whole answer in (\w+)\.", 1)
+    return p.select("code", name.alias("name"), F.regexp_count("p", F.lit(r"(?m)^- .*: .*, \d{4}$")).alias("acts"))
+
+
+@_query(f"""WITH q AS (SELECT conv_id, turn, {_values([(i, s) for i, (s, *_) in enumerate(registry.SCENARIOS)], 'i, s').join(['(SELECT s FROM ', ' WHERE i = conv_id % 6)'])} AS scenario_id FROM conversations)
+SELECT conv_id, turn, scenario_id, label FROM q LEFT JOIN {_values([(s, label) for s, label, *_ in registry.SCENARIOS], 'scenario_id, label')} USING (scenario_id)""")
+def scenario_answer(spark, sf_dir):
+    from .descriptions import ANSWERS
+
+    asked = [ANSWERS[s][0] for s, *_ in registry.SCENARIOS] + ["How do I name a boat?"]
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", _pick(asked, F.col("conv_id")).alias("question"))
+    return scenario.answered(c).select("conv_id", "turn", "scenario_id", "label")

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .descriptions import ANSWERS, SUMMARIES
+from .descriptions import SECTIONS as SECTION_TEXTS
+
 # Acts (id, short name, title, year, what it replaces, domain).
 ACTS = [
     ("BNS", "BNS", "Bharatiya Nyaya Sanhita", 2023, "Indian Penal Code, 1860", "criminal"),
@@ -132,18 +135,20 @@ def sorted_aliases() -> list[tuple[str, str]]:
     return sorted(((act, a) for act, names in ALIASES.items() for a in names), key=lambda x: -len(x[1]))
 
 
-def plain(heading: str) -> str:
-    return f"This provision is about: {heading.lower()}. Read the Act for its terms."
+def act_rows() -> list[tuple]:
+    return [(i, *a[:5], SUMMARIES[a[0]], a[5]) for i, a in enumerate(ACTS)]
+
+
+def section_rows() -> list[tuple]:
+    return [(i, act, n, heading, SECTION_TEXTS[act, n][0], before, SECTION_TEXTS[act, n][1]) for i, (act, n, heading, before) in enumerate(SECTIONS)]
 
 
 def acts(spark: SparkSession) -> DataFrame:
-    rows = [(i, *a[:5], f"Act of {a[3]} on {a[5]} matters, as in force in India.", a[5]) for i, a in enumerate(ACTS)]
-    return spark.createDataFrame(rows, "ordinal int, act_id string, short_name string, title string, year int, replaces string, summary string, domain string")
+    return spark.createDataFrame(act_rows(), "ordinal int, act_id string, short_name string, title string, year int, replaces string, summary string, domain string")
 
 
 def sections(spark: SparkSession) -> DataFrame:
-    rows = [(i, a, n, h, plain(h), p) for i, (a, n, h, p) in enumerate(SECTIONS)]
-    return spark.createDataFrame(rows, "ordinal int, act_id string, number string, heading string, plain string, previously string")
+    return spark.createDataFrame(section_rows(), "ordinal int, act_id string, number string, heading string, plain string, previously string, consequence string")
 
 
 def aliases(spark: SparkSession) -> DataFrame:
@@ -155,10 +160,10 @@ def helplines(spark: SparkSession) -> DataFrame:
 
 
 def scenarios(spark: SparkSession) -> DataFrame:
-    rows = [(i, s, label, lines, words) for i, (s, label, lines, words) in enumerate(SCENARIOS)]
-    return spark.createDataFrame(rows, "priority int, scenario_id string, label string, helplines array<string>, signals array<string>")
+    rows = [(i, s, label, lines, words, *ANSWERS[s]) for i, (s, label, lines, words) in enumerate(SCENARIOS)]
+    return spark.createDataFrame(rows, "priority int, scenario_id string, label string, helplines array<string>, signals array<string>, question string, answer string")
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    rows = [(*x, f"Respond in {x[1]}." + ("" if x[0] == "en" else " Keep statute names and section numbers in English.")) for x in LANGUAGES]
+    rows = [(*x, f"Write the whole answer in {x[1]}." + ("" if x[0] == "en" else " Names of acts and numbers of sections stay in English.")) for x in LANGUAGES]
     return spark.createDataFrame(rows, "code string, name string, native_name string, tag string, directive string")

@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.limiter import take
 
-OPEN, CLOSE = "<think>", "</think>"
+#: A closed reasoning block; an open one; and the beginning of its tag at the end of a text.
+_BLOCK, _OPEN, _BEGUN = re.compile(r"<think>.*?</think>", re.S), "<think>", re.compile(r"<(?:t(?:h(?:i(?:nk?)?)?)?)?\Z")
+#: What can be held of an open block: all but the last letter of its closing tag.
+_TAIL = len("</think>") - 1
 
 
-def strip_step(inside: bool, pending: str, chunk: str) -> tuple[bool, str, str]:
-    """Take one chunk: whether a reasoning block is open, what is held back as a tag's beginning, and the text to emit."""
-    text, out = pending + chunk, []
-    while True:
-        tag = CLOSE if inside else OPEN
-        at = text.find(tag)
-        if at >= 0:
-            if not inside:
-                out.append(text[:at])
-            text, inside = text[at + len(tag) :], not inside
-            continue
-        hold = next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if text.endswith(tag[:n])), 0)
-        if not inside:
-            out.append(text[: len(text) - hold])
-        return inside, text[len(text) - hold :], "".join(out)
+def strip_step(held: str, chunk: str) -> tuple[str, str]:
+    """Take one chunk: what is held back from now on, and the text to emit.
+
+    Closed blocks go. After the last of them an open block holds back its tag and the end of what it says so far, in which
+    the closing tag may have begun; else the beginning of a tag at the very end is held."""
+    *shown, rest = _BLOCK.split(held + chunk)
+    at = rest.find(_OPEN)
+    if at >= 0:
+        return _OPEN + rest[at + len(_OPEN) :][-_TAIL:], "".join(shown) + rest[:at]
+    begun = _BEGUN.search(rest)
+    at = begun.start() if begun else len(rest)
+    return rest[at:], "".join(shown) + rest[:at]
 
 
 def _plain(values: list) -> pd.Series:
@@ -76,18 +78,17 @@ class Answers(StatefulProcessor):
     later batch; what is held back when a request ends is dropped, as an unfinished tag is."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "inside boolean, pending string, seq long")
+        self.held = handle.getValueState("held", "held string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
         state = self.held.get()
-        inside, pending, seq = state if state is not None else (False, "", -1)
+        held = (state[0] or "") if state is not None else ""
         for n, chunk in zip(pdf["seq"].tolist(), pdf["chunk"].tolist()):
-            inside, pending, out = strip_step(bool(inside), pending or "", chunk or "")
-            seq = n
+            held, out = strip_step(held, chunk or "")
             if out:
                 yield pd.DataFrame({"request_id": [key[0]], "seq": [n], "text": _plain([out])})
-        self.held.update((bool(inside), pending, int(seq)))
+        self.held.update((held,))
 
     def close(self) -> None:
         pass
@@ -99,7 +100,8 @@ def strip_reasoning_stream(chunks: DataFrame) -> DataFrame:
 
 
 class Lines(StatefulProcessor):
-    """Whole lines of a request's chunks; the unfinished last line waits for the next chunk."""
+    """Whole lines of a request's chunks; the unfinished last line waits for the next chunk, or for the row without a chunk
+    that ends the request, which passes it on."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rest = handle.getValueState("rest", "line string, n long")
@@ -109,6 +111,8 @@ class Lines(StatefulProcessor):
         state = self.rest.get()
         line, n = (state[0] or "", state[1]) if state is not None else ("", 0)
         *lines, line = (line + "".join(x or "" for x in pdf["chunk"])).split("\n")
+        if line and pdf["chunk"].isna().any():
+            lines, line = [*lines, line], ""
         self.rest.update((line, n + len(lines)))
         yield pd.DataFrame({"request_id": [key[0]] * len(lines), "n": range(n, n + len(lines)), "line": _plain(lines)})
 
@@ -117,9 +121,48 @@ class Lines(StatefulProcessor):
 
 
 def lines_stream(chunks: DataFrame) -> DataFrame:
+    """(request_id, n, line) for a stream of (request_id long, seq long, chunk string); a null chunk ends a request."""
     return chunks.groupBy("request_id").transformWithStateInPandas(Lines(), "request_id long, n long, line string", "append", "none")
 
 
+class Finished(StatefulProcessor):
+    """The whole answer of a request, once: at the row without a chunk that ends it. An error ends it too, and what came before stays."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getListState("parts", "text string")
+        self.ended = handle.getValueState("ended", "ended boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.ended.exists():
+            return
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for chunk, error in zip(pdf["chunk"].tolist(), pdf["error"].tolist()):
+            if isinstance(chunk, str) and not isinstance(error, str):
+                self.parts.appendValue((chunk,))
+                continue
+            text = "".join(x[0] for x in self.parts.get())
+            self.parts.clear()
+            self.ended.update((True,))
+            yield pd.DataFrame({"request_id": [key[0]], "answer": _plain([text]), "error": _plain([error if isinstance(error, str) else None])})
+            return
+
+    def close(self) -> None:
+        pass
+
+
+def finished_stream(chunks: DataFrame) -> DataFrame:
+    """(request_id, answer, error) when a request ends, for a stream of (request_id long, seq long, chunk string, error string). A row
+    without a chunk ends it, as does one with an error, whose partial answer is kept. Nothing is passed on before, so an audit of the
+    answers never sees half a section number."""
+    return chunks.groupBy("request_id").transformWithStateInPandas(Finished(), "request_id long, answer string, error string", "append", "none")
+
+
+def write_answers(answers: DataFrame, provider: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of answers to Parquet with the provider that gave them, and stop when the input is read."""
+    named = answers.withColumn("provider", F.lit(provider))
+    return named.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 class Idle(StatefulProcessor):
     """Passes chunks on, and ends a request from which no chunk came for idle_ms: later chunks are dropped."""
 
