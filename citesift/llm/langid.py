@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,20 +22,25 @@ ACCEPT_QUANTILE, MARGIN = 0.995, 0.25
 SHARPNESS = 50
 _SPACE, _EDGE = 32, 1
 _TABLE: np.ndarray | None = None
+_MARK: np.ndarray | None = None
 
 
 def alphabet() -> np.ndarray:
-    """Code points to symbols: letters to their lower case, all others to a space, NUL to a text's edge."""
-    global _TABLE
+    """Code points to symbols: letters to their lower case, marks (vowel signs, accents) as they are, all others to a space, NUL to a
+    text's edge."""
+    global _TABLE, _MARK
     if _TABLE is None:
         table = np.full(0x110000, _SPACE, np.uint32)
+        marks = np.zeros(0x110000, bool)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()
                 table[cp] = ord(low) if len(low) == 1 else cp
+            elif unicodedata.category(c)[0] == "M":
+                table[cp], marks[cp] = cp, True
         table[0] = _EDGE
-        _TABLE = table
+        _TABLE, _MARK = table, marks
     return _TABLE
 
 
@@ -194,7 +200,7 @@ def cross_entropies(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray,
         heads = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
         sums[d[heads]] += np.add.reduceat(lp, heads, axis=0, dtype=np.float64)
     n = np.diff(offs) - (ORDER - 1)
-    letters = np.concatenate([[0], np.cumsum((s != _SPACE) & ~is_edge)])
+    letters = np.concatenate([[0], np.cumsum((s != _SPACE) & ~is_edge & ~_MARK[s])])
     return -sums / n[:, None], n, letters[offs[1:]] > letters[offs[:-1]]
 
 
@@ -218,11 +224,12 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "t
     """Learn a model of each language from the documents where use holds and the language isn't null.
 
     About SAMPLE_ROWS documents of each language are taken, by a hash of the id; grams are counted on the executors. A
-    fifth of the sample sets the rejection limits. Empty and null texts teach nothing. No documents: no languages."""
+    fifth of the sample sets the rejection limits. Empty and null texts teach nothing. No documents: no languages. The table of
+    languages, a row for each, is broadcast, so texts aren't shuffled by language."""
     base = docs.filter(use & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(5), F.col(id_col).cast("string")).alias("h"), text_bytes(text_col).alias("_text"))
     share = base.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.least(F.lit(1.0), SAMPLE_ROWS / F.col("n"))).select("lang", "part")
     unit = F.col("h").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
-    sample = stage(base.join(share, "lang").filter(unit < F.col("part")).select("lang", "h", "_text"), "langid-sample")
+    sample = stage(base.join(F.broadcast(share), "lang").filter(unit < F.col("part")).select("lang", "h", "_text"), "langid-sample")
     held = F.pmod(F.shiftright("h", 40), F.lit(5)) == 0
     counted = sample.filter(~held).select("lang", "_text").mapInArrow(_gram_counts, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
@@ -260,7 +267,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     The language of the lowest cross-entropy by symbol; its score is its share among the languages' likelihoods of
     SHARPNESS symbols (fewer if the text is shorter). rejected: the text fits even that language worse than the
     calibration allows. Null texts and those without a letter are und, with score 0 and rejected. Ties go to the
-    language first in order. A model without languages calls all texts und."""
+    language first in order. A model without languages calls all texts und. Repeated rows are judged alike, an empty table gives no
+    rows. Texts are taken whole; a batch holds about 4 MB of them or a single longer one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

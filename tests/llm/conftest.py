@@ -8,12 +8,18 @@ ROWS = [
     (6, "zwei Zeilen für id fünf", "de", "c"), (None, "zwei Zeilen für id fünf", "de", "b"), (None, None, "de", "b"), (7, LONG, "en", "c"), (8, LONG + "x", "en", "c"),
     (9, "x" * 100_000, "en", "c"), (10, "ünïcödé 😀 " * 20, "fr", "b"), (11, "...!?123", "en", "b"),
 ]
+#: Columns named as the operators name theirs inside.
+CLASHES = {
+    "name": "clash", "level": "clash", "fp": 1, "size": 2, "_row": 3, "copies": 4, "_text": "own", "_lang": "own", "_key": 5, "_both": 6, "_copy": 7, "_score": 8, "_rejected": 9, "key": 10,
+    "rid": 11, "h": 12, "block": 13, "first": 14, "_input0": 15,
+}
 
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    rows = [(*r, 0, "clash", "clash", 1, 2) for r in ROWS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, name string, level string, fp long, size long").repartition(3)
+    rows = [(*r, 0, *CLASHES.values()) for r in ROWS]
+    extra = ", ".join(f"{name} {'string' if isinstance(value, str) else 'long'}" for name, value in CLASHES.items())
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(3)
 
 
 @pytest.fixture(scope="session")

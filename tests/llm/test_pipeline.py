@@ -9,7 +9,7 @@ import tiktoken
 
 import corpus_pipeline
 from citesift.llm import bpe, common, queries
-from tests.llm.conftest import ROWS
+from tests.llm.conftest import CLASHES, ROWS
 from tests.test_queries import rows
 
 
@@ -26,13 +26,28 @@ def test_stages_on_odd_rows(spark, docs, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         out = common.stage(stage(spark, at, sf_dir), name)
         if name != corpus_pipeline.STAGES[-1][0]:
-            assert out.columns == docs.columns
+            assert out.columns == docs.columns and out.select(*CLASHES).distinct().collect() == [tuple(CLASHES.values())], name
         at = out
     empty = common.stage(docs.limit(0), "empty")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0, name
 
 
+def test_rows_keep_their_numbers_when_the_cores_change(spark, real):
+    """Numbers are written with the table: other splits, as after the loss of an executor, don't move them."""
+    table = common.stage(real.select("*", corpus_pipeline._row()), "numbered")
+    before = {r.doc_id: r[corpus_pipeline.ROW] for r in table.collect()}
+    gone = common.stage(table.filter("doc_id % 3 = 0").select(corpus_pipeline.ROW), "gone")
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", 64)
+    try:
+        again = spark.read.parquet(table._stage_path)
+        assert {r.doc_id: r[corpus_pipeline.ROW] for r in again.collect()} == before
+        left = again.join(gone, corpus_pipeline.ROW, "left_anti").collect()
+        assert left and all(r.doc_id % 3 for r in left) and len(left) + gone.count() == len(before)
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
 def test_copies_leave_one_row(spark, docs, sf_dir):
     got = corpus_pipeline.drop_copies(spark, common.stage(docs, "odd"), sf_dir).collect()
     key = lambda t: "".join((t or "").split())
