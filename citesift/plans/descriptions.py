@@ -101,7 +101,7 @@ A reserved place is yours for the journey on your ticket. Whoever enters a compa
 This is general information, not advice on your case.""",
     ),
     "tenant-deposit": (
-        "I moved out weeks ago and the owner keeps the deposit. How do I get it back?",
+        "I left the flat weeks ago and the owner keeps the deposit. How do I get it back?",
         """## What the law says
 What you paid as security stays your money; an owner may keep back only what your agreement allows, such as unpaid rent or damage beyond wear. In states that follow the model law, the sum is capped and is due when you hand over the home (**Section 11 of the Model Tenancy Act**), and disputes go to rent authorities and rent courts (**Section 32 of the Model Tenancy Act**). Other states have rent laws of their own, so check yours. Money kept dishonestly can be a breach of trust under **Section 316 of the BNS**, but a civil claim is the usual way.
 
@@ -114,7 +114,7 @@ What you paid as security stays your money; an owner may keep back only what you
 This is general information, not advice on your case.""",
     ),
     "upi-fraud": (
-        "Somebody posing as my bank got my code and emptied my account. What now?",
+        "A fraud posing as my bank got my code and emptied my account. What now?",
         """## What the law says
 Pretending to be someone else by phone or computer to cheat you is an offence under **Section 66D of the IT Act**, and misusing your password or code is one under **Section 66C of the IT Act**. Cheating you out of money is also punished by **Section 318 of the BNS**, and cheating in another's name by **Section 319 of the BNS**. Police must record your report wherever you make it (**Section 173 of the BNSS**). A company that was careless with your data can owe you damages (**Section 43A of the IT Act**).
 

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from citesift.operators import citations
+from citesift.operators import citations, scenario
 from citesift.plans import registry
 
 CASES = [
@@ -112,3 +112,8 @@ def test_plan_resolves_each_mention_once(spark):
     df = spark.createDataFrame([("Section 85 BNS",)], "text string")
     plan = citations.audit(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 10 and plan.count("regexp_extract_all(") == 3
+
+
+def test_canned_questions_find_their_scenario(spark):
+    rows = registry.scenarios(spark).select("scenario_id", scenario.match(F.col("question")).alias("found")).collect()
+    assert all(r.scenario_id == r.found for r in rows)
