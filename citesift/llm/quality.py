@@ -16,7 +16,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Words in repeated windows, per cent of all words, at most.
 MAX_REPEAT_PCT = 50
-#: A line goes if more than this share of its host's distinct texts hold it, and more than MIN_DOCS of them.
+#: A line goes if more than this share of its host's documents hold it, and more than MIN_DOCS of them.
 MAX_LINE_SHARE, MIN_DOCS = 0.05, 10
 #: A document is depleted if fewer words are left, or a smaller share of its words.
 MIN_LEFT, MIN_LEFT_SHARE = 20, 0.5
@@ -80,11 +80,12 @@ def _profiles(fields: pa.Schema):
     return run
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_share: float = MAX_LINE_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_share: float = MAX_LINE_SHARE, min_docs: int = MIN_DOCS, texts_only: bool = False) -> DataFrame:
     """Base counts of each text and the verdict of the line rule.
 
-    Lines are compared by a hash of their lower-cased words. For each host the distinct texts that hold a line are
-    counted, so exact copies count once and a copied clean document isn't taken for boilerplate; a line above both limits is removed from all documents of the host. A document is kept if
+    Lines are compared by a hash of their lower-cased words. For each host the documents (rows) that hold a line are counted,
+    each once however often it has the line; with texts_only equal texts count once, so that many copies of a clean document
+    don't turn its lines into boilerplate. A line above both limits is removed from all documents of the host. A document is kept if
     its base counts pass and, where lines went, at least MIN_LEFT words and MIN_LEFT_SHARE of them are left.
 
     Returns for each input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
@@ -95,10 +96,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_bytes(text_col).alias("_text"))
     rows = slim.mapInArrow(_profiles(_PROFILE), f"doc_id {id_type}, host string, {_PROFILE_DDL}")
     rows = stage(rows.withColumn("host", F.coalesce(F.col("host"), F.lit("\0"))), "profiles")
-    in_host = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    held = rows.select("host", "text_hash", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    held = rows.select("host", "text_hash", F.explode("lines").alias("line"))
+    whole, held = (rows.select("host", "text_hash").distinct(), held.distinct()) if texts_only else (rows, held)
+    in_host = whole.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    held = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     # At most (lines of a text) / max_line_share lines of a host pass; Spark sees their size and picks the join.
-    hot = held.filter(F.col("n") > min_docs).join(in_host, "host").filter(F.col("n") > max_line_share * F.col("texts")).select("host", "line")
+    hot = held.filter(F.col("n") > min_docs).join(in_host, "host").filter(F.col("n") > max_line_share * F.col("docs")).select("host", "line")
     lines = rows.select("host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
     # Texts that are equal lose the same lines, so one row of each is enough.
     gone = lines.distinct().join(hot, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("w").alias("gone"))

@@ -54,13 +54,10 @@ def test_op3_keeps_its_contract(spark, sf_dir, table):
 
 def test_op6_equals_brute_force(spark, sf_dir, table):
     key = lambda line: " ".join(w for w in words_of(line) if w).translate({c: c + 32 for c in range(65, 91)})
-    texts, held = defaultdict(set), defaultdict(set)
+    docs, held = Counter(r.source for r in table), Counter()
     for r in table:
-        texts[r.source].add(r.text or "")
-        for line in (r.text or "").split("\n"):
-            if key(line):
-                held[r.source, key(line)].add(r.text or "")
-    hot = {k for k, v in held.items() if len(v) > quality.MIN_DOCS and len(v) > quality.MAX_LINE_SHARE * len(texts[k[0]])}
+        held.update({(r.source, key(line)) for line in (r.text or "").split("\n") if key(line)})
+    hot = {k for k, n in held.items() if n > quality.MIN_DOCS and n > quality.MAX_LINE_SHARE * docs[k[0]]}
     want = {}
     for r in table:
         words = [w for w in words_of(r.text) if w]

@@ -238,8 +238,12 @@ def test_quality(spark, docs):
     banner = "accept all cookies to go on " * 20
     rows = [(i, "\n".join([banner if i % 2 else line(), *(line() for _ in range(1 if i % 4 == 1 else 30))]), "h") for i in range(200)]
     rows += [(1000 + i, rows[0][1], "h") for i in range(100)]  # copies of a clean text
-    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(table, texts_only=True).collect()}
     assert all(kept[i] == (i % 4 != 1) for i in range(200)) and all(kept[1000 + i] for i in range(100))
+    # Counted by documents, lines of 101 of 300 go.
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(table).collect()}
+    assert all(kept[i] == (i % 4 != 1 and i != 0) for i in range(200)) and not any(kept[1000 + i] for i in range(100))
 
 
 # scoring
