@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, hub_join, stage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return hub_join(both.filter("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of these. Every edge has u > v here."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = hub_join(edges, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (columns u and v, long); root is the smallest node reachable.
 
-    Each round is written to the shared folder; rounds grow as the logarithm of the longest path. No links: no rows."""
+    Each round is written to the shared folder; rounds grow as the logarithm of the longest path. The edges of a node with
+    many stay where they are (hub_join). No links: no rows."""
     edges = stage(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
+    before, total = None, edges.count()
     while True:
-        after = stage(_small_star(_large_star(edges).distinct()).distinct(), "links")
+        # The large star makes one edge of each.
+        after = stage(_small_star(_large_star(edges, total).distinct(), total).distinct(), "links")
         discard(edges)
         edges = after
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == before:
             break
-        before = tuple(seen)
+        before, total = tuple(seen), seen[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

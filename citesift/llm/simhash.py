@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, stage, text_bytes
+from .common import batches_of, class_members, discard, stage, text_bytes
 from .components import components
 
 #: Fingerprints link at this many differing bits or fewer; two segments then leave one with a single differing bit at most.
@@ -92,11 +92,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included; null ids are ignored unless there are no others), first (this row's id is that). Copies share a fingerprint, which is indexed once.
     """
     rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    roots = components(links(fps.select("fp")))
-    classed = stage(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fps")
+    out = class_members(rows, fps, components(links(fps.select("fp"))))
     discard(fps)
-    ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = classed.join(ids.hint("merge"), "root").select("fp", "component_id")
-    out = rows.join(by_fp.hint("merge"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from citesift.llm import components, exact_dedup, simhash, suffix_dedup
+from pyspark.sql import functions as F
+
+from citesift.llm import common, components, exact_dedup, simhash, suffix_dedup
 from tests.llm.conftest import ROWS
 
 
@@ -114,6 +116,22 @@ def test_long_chain_is_one_component(spark):
     assert got == dict.fromkeys(range(n + 1), 0)
 
 
+def test_hub_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUBS", 4)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 300), (3, 30), (4, 1), (5, 0)) for i in range(n)], "k long, i long")
+    values = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    joined = common.hub_join(rows, values, "k", rows.count())
+    assert sorted(map(tuple, joined.collect())) == sorted((r.k, r.i, r.top) for r in rows.join(values, "k").collect())
+    assert common.hub_join(rows.limit(0), values.limit(0), "k", 0).count() == 0
+
+
+def test_hub_is_one_component(spark):
+    n = 3000
+    links = spark.createDataFrame([(n // 2, i) for i in range(n)] + [(n + i, n + i + 1) for i in range(20)], "u long, v long")
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert got == {**dict.fromkeys(range(n), 0), **dict.fromkeys(range(n, n + 21), n)}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(300):
