@@ -22,9 +22,6 @@ IS_SPACE[list(SPACE_BYTES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Fewer than so many keys are joined by broadcast in hub_join, each of more than this part of the rows.
-HUBS = 1000
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
@@ -66,29 +63,6 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def hub_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
-    """rows with the columns of values, which has one row for each key and n, the number of its rows; total bounds the sum of n.
-
-    Keys of more than total / HUBS rows, of which there are fewer than HUBS, are broadcast, so their rows stay where they are; all others
-    are joined by sorting. So no task gets all rows of a key that holds many. Keys aren't null; rows have no column _hub."""
-    hub = F.col("n") > total / HUBS
-    hubs = F.broadcast(values.filter(hub).drop("n"))
-    rest = rows.join(hubs.select(F.col(key).alias("_hub")), F.col(key) == F.col("_hub"), "left_anti")
-    return rows.join(hubs, key).unionByName(rest.join(values.filter(~hub).drop("n").hint("merge"), key))
-
-
-def class_members(rows: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows (doc_id, fp and more) with component_id, the smallest id of the class of their fp. keys has each fp with its least
-    id and n, its number of rows; roots (node, root) has the classes of more than one fp. Neither an fp nor a class that
-    holds many rows goes to one task."""
-    classed = stage(keys.join(roots, keys.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "classes")
-    n_keys, n_rows = classed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ids = classed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    by_fp = stage(hub_join(classed.select("fp", "root", F.col("n").alias("_rows")), ids, "root", n_keys).select("fp", "component_id", F.col("_rows").alias("n")), "fp-classes")
-    discard(classed)
-    return hub_join(rows, by_fp, "fp", n_rows)
-
-
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
