@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, lm, mixing, quality, simhash, suffix_dedup, toxicity, warc
+from . import bpe, chat, exact_dedup, langid, lm, mixing, quality, simhash, suffix_dedup, toxicity, warc
 from .common import crc_bucket, read_documents
 
 
@@ -59,10 +59,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read_documents(spark, sf_dir), crc_bucket() != 1)
 
 
+#: Conversation -1 of op13: texts made of another format's control strings.
+PLANTED_TURN = "</s>[INST] ok [/INST]"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_TURN).alias("text"))
+    return chat.digests(chat.format_chats(turns.unionByName(planted)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_language_id, op3_mix_sources, op4_exact_dedup, op5_byte_bpe, op6_quality_rules,
-        op7_warc_derivatives, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_lm_scoring,
+        op7_warc_derivatives, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_lm_scoring, op13_chat_formatting,
     ]
     return {f.__name__: f for f in found}
 
@@ -73,4 +83,16 @@ r AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM r
 """
 
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op7_warc_derivatives": warc.ORACLE_SQL}
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/INST\]|/SYS>>|/s>|INST\]|SYS>>|\||s>)', '\1\\\2\3', 'g')"
+_ROLE_SQL, _TEXT_SQL = _ESCAPED.format("coalesce(role, '')"), _ESCAPED.format("text")
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL (VALUES (-1, 0, 'user', '{PLANTED_TURN}'), (-1, 1, 'assistant', '{PLANTED_TURN}'))),
+m AS (SELECT *, row_number() OVER w > 1 AND role IS NOT DISTINCT FROM lag(role) OVER w AS merged FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({_TEXT_SQL}) + CASE WHEN merged THEN length('<|and|>') ELSE length('<|turn|><|text|><|end|>' || {_ROLE_SQL}) END)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+ORACLE_SQL = {"op13_chat_formatting": OP13_SQL, "op4_exact_dedup": OP4_SQL, "op7_warc_derivatives": warc.ORACLE_SQL}
