@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, lm, mixing, quality, simhash, suffix_dedup, toxicity, warc
+from . import bpe, chat, exact_dedup, langid, lm, mixing, negatives, quality, simhash, suffix_dedup, toxicity, warc
 from .common import crc_bucket, read_documents
 
 
@@ -59,6 +59,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read_documents(spark, sf_dir), crc_bucket() != 1)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.select("vec_id", "embedding", label.alias("label")), lambda vec_id: vec_id % 100 == 0)
+
+
 #: Conversation -1 of op13: texts made of another format's control strings.
 PLANTED_TURN = "</s>[INST] ok [/INST]"
 
@@ -72,7 +78,7 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_language_id, op3_mix_sources, op4_exact_dedup, op5_byte_bpe, op6_quality_rules,
-        op7_warc_derivatives, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_lm_scoring, op13_chat_formatting,
+        op7_warc_derivatives, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_lm_scoring, op12_hard_negatives, op13_chat_formatting,
     ]
     return {f.__name__: f for f in found}
 
@@ -95,4 +101,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr
 FROM m GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op13_chat_formatting": OP13_SQL, "op4_exact_dedup": OP4_SQL, "op7_warc_derivatives": warc.ORACLE_SQL}
+OP12_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY rank <= 5
+"""
+
+ORACLE_SQL = {"op12_hard_negatives": OP12_SQL, "op13_chat_formatting": OP13_SQL, "op4_exact_dedup": OP4_SQL, "op7_warc_derivatives": warc.ORACLE_SQL}
