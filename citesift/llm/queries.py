@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, lm, mixing, negatives, quality, simhash, suffix_dedup, toxicity, warc
+from . import alignment, bpe, chat, exact_dedup, langid, lm, mixing, negatives, quality, simhash, suffix_dedup, toxicity, warc
 from .common import crc_bucket, read_documents
 
 
@@ -59,6 +59,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read_documents(spark, sf_dir), crc_bucket() != 1)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -78,7 +82,7 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_language_id, op3_mix_sources, op4_exact_dedup, op5_byte_bpe, op6_quality_rules,
-        op7_warc_derivatives, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_lm_scoring, op12_hard_negatives, op13_chat_formatting,
+        op7_warc_derivatives, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_lm_scoring, op11_alignment, op12_hard_negatives, op13_chat_formatting,
     ]
     return {f.__name__: f for f in found}
 
