@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: White space of browser strings as members of a character class; the plain \s of Java and RE2 is ASCII only.
 WIDE_SPACE = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE = f"[{WIDE_SPACE}]"
+#: The same characters, for Python's strip.
+SPACE_CHARS = "\t\n\x0b\x0c\r \xa0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Edges of ASCII words.
 EDGE_BEFORE, EDGE_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 ELLIPSIS = "…"

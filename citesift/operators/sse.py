@@ -57,6 +57,41 @@ def timely(chunks: DataFrame, idle_ms: int = IDLE_MS["cloud"]) -> DataFrame:
     return out.filter("_late = 0").drop("_late")
 
 
+def ended(requests: DataFrame, chunks: DataFrame, setup_ms: dict[str, int] = SETUP_MS, idle_ms: dict[str, int] = IDLE_MS) -> DataFrame:
+    """(session_id, request_id, provider, status, answer, error, chunks, ended_at): how each request ended, by the rules of the stream form
+    (streaming.requests.answers_stream, which has the columns and the rules), from whole tables."""
+    at = lambda c: F.unix_millis(F.col(c))
+    local = lambda limits: F.when(F.col("provider") == "local", limits["local"]).otherwise(limits["cloud"])
+    session = F.coalesce("session_id", F.concat(F.lit("request "), F.col("request_id").cast("string")))
+    asked = requests.select(session.alias("session_id"), "request_id", "provider", at("requested_at").alias("_asked"))
+    asked = asked.withColumn("_cancel", F.lead("_asked").over(Window.partitionBy("session_id").orderBy("_asked", "request_id")))
+    w = Window.partitionBy("request_id").orderBy("seq")
+    sent = chunks.dropDuplicates(["request_id", "seq"]).select("request_id", "seq", F.col("chunk").cast("binary").alias("chunk"), "error", at("arrived_at").alias("_at"))
+    rows = sent.join(asked.select("request_id", "provider", "_asked"), "request_id")
+    rows = rows.withColumn("_last", F.greatest("_asked", F.max("_at").over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    rows = rows.withColumns({"_gap": F.col("seq") != F.row_number().over(w) - 1, "_limit": F.when(F.col("seq") == 0, local(setup_ms)).otherwise(local(idle_ms))})
+    stop = F.when(F.col("_gap") | (F.col("_at") - F.col("_last") > F.col("_limit")), "late").when(F.col("error").isNotNull(), "error").when(F.col("chunk").isNull(), "done")
+    rows = rows.withColumn("_stop", stop).withColumn("_stops", F.count("_stop").over(w))
+    # Rows up to the first that stops the request, and that one.
+    rows = rows.filter((F.col("_stops") == 0) | (F.col("_stops") == 1) & F.col("_stop").isNotNull())
+    flowing = F.col("_stop").isNull()
+    parts = F.array_sort(F.collect_list(F.when(flowing, F.struct("seq", F.hex("chunk").alias("c")))))
+    ends = rows.groupBy("request_id").agg(
+        F.count_if(flowing).alias("chunks"), F.max(F.when(flowing, F.col("_at"))).alias("_at"), F.max("_stop").alias("_stop"), F.max("error").alias("error"),
+        F.max(F.when(F.col("_stop").isin("error", "done"), F.col("_at"))).alias("_ended"), F.unhex(F.array_join(F.transform(parts, lambda x: x["c"]), "")).alias("_body"),
+    )
+    out = asked.join(ends, "request_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    quiet = F.when(F.col("chunks") > 0, F.greatest("_asked", "_at") + local(idle_ms)).otherwise(F.col("_asked") + local(setup_ms))
+    out = out.withColumn("_ended", F.coalesce("_ended", quiet))
+    status = F.when(F.col("_cancel") <= F.col("_ended"), "cancelled").when(F.col("_stop").isin("error", "done"), F.col("_stop")).when(F.col("chunks") > 0, "idle").otherwise("setup")
+    out = out.withColumns({"status": status, "_ended": F.when(status == "cancelled", F.col("_cancel")).otherwise(F.col("_ended"))})
+    text = F.make_valid_utf8(F.coalesce("_body", F.lit(b"")).cast("string"))
+    text = F.when(F.col("status") == "error", F.regexp_replace(text, r"[^\n]*\z", "")).otherwise(text)
+    deltas = F.transform(payloads(text), lambda p: F.coalesce(delta(p, F.col("provider")), F.lit("")))
+    answer = F.when(F.col("status").isin("done", "idle", "error"), strip_reasoning(F.array_join(deltas, "")))
+    return out.select("session_id", "request_id", "provider", "status", answer.alias("answer"), F.when(F.col("status") == "error", F.col("error")).alias("error"), "chunks", F.timestamp_millis("_ended").alias("ended_at"))
+
+
 def setup_timed_out(requested_at_ms: Column, first_at_ms: Column, limit_ms: int = SETUP_MS["cloud"]) -> Column:
     return first_at_ms.isNull() | (first_at_ms - requested_at_ms > limit_ms)
 

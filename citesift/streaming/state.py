@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.limiter import take
 
+#: How long a finished request is known as such, by the clock.
+LINGER_MS = 600_000
 #: A closed reasoning block; an open one; and the beginning of its tag at the end of a text.
 _BLOCK, _OPEN, _BEGUN = re.compile(r"<think>.*?</think>", re.S), "<think>", re.compile(r"<(?:t(?:h(?:i(?:nk?)?)?)?)?\Z")
 #: What can be held of an open block: all but the last letter of its closing tag.
@@ -64,18 +67,68 @@ class Buckets(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(requests: DataFrame, capacity: float, window_ms: int, cost: float = 1.0, forget: bool = False) -> DataFrame:
+class OrderedBuckets(StatefulProcessor):
+    """One token bucket for each key, by the times of the requests: each waits until the watermark has passed it, so that all before it have been
+    decided, and a bucket goes when the watermark passes the time at which it is full again."""
+
+    def __init__(self, capacity: float, window_ms: int, cost: float = 1.0):
+        self.capacity, self.window_ms, self.cost = capacity, window_ms, cost
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens double, updated_ms long")
+        self.waiting = handle.getMapState("waiting", "ts_ms long, id long", "times int")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for row in rows:
+            at = (row.ts_ms, row.id)
+            self.waiting.updateValue(at, ((self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else 0) + 1,))
+            self.handle.registerTimer(row.ts_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted((tuple(at), times[0]) for at, times in self.waiting.iterator() if at[0] <= now)
+        state = self.bucket.get()
+        tokens, updated = (state[0], state[1]) if state is not None else (self.capacity, now)
+        for (ts, request), times in due:
+            if state is None:
+                state, updated = (), ts
+            for _ in range(times):
+                tokens, allowed, wait = take(tokens, updated, ts, self.capacity, self.window_ms, self.cost)
+                updated = ts
+                yield Row(key=key[0], id=request, allowed=allowed, retry_after=wait)
+            self.waiting.removeKey((ts, request))
+        rate = self.capacity / self.window_ms
+        if tokens + (now - updated) * rate >= self.capacity:  # a full bucket is like none
+            self.bucket.clear()
+            return
+        if due:
+            self.bucket.update((float(tokens), int(updated)))
+        # At once, if rounding left a little of the time that it takes to fill.
+        self.handle.registerTimer(max(now + 1, updated + math.ceil((self.capacity - tokens) / rate)))
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(requests: DataFrame, capacity: float, window_ms: int, cost: float = 1.0, forget: bool = False, lateness: str | None = None) -> DataFrame:
     """(key, id, allowed, retry_after) for a stream of (key string, ts_ms long, id long).
 
-    forget bounds the state by the keys of the last window. It goes by the clock, so it is for live requests whose ts_ms is
-    the time of arrival; when old requests are replayed, leave it off."""
+    With lateness, as for a watermark, requests are decided in the order of ts_ms, then id, however they arrive, once they are that much older
+    than the newest; so a replay decides as the batch form does, and a bucket's state ends when it is full. Requests later than that are dropped.
+    Without it each micro-batch is decided at once. forget then bounds the state by the keys of the last window. It goes by the clock, so it is for
+    live requests whose ts_ms is the time of arrival."""
+    if lateness is not None:
+        timed = requests.withColumn("_ts", F.timestamp_millis("ts_ms")).withWatermark("_ts", lateness)
+        return timed.groupBy("key").transformWithState(OrderedBuckets(capacity, window_ms, cost), "key string, id long, allowed boolean, retry_after int", "append", "eventTime")
     processor = Buckets(capacity, window_ms, cost, forget)
     return requests.groupBy("key").transformWithStateInPandas(processor, "key string, id long, allowed boolean, retry_after int", "append", "processingTime" if forget else "none")
 
 
 class Answers(StatefulProcessor):
-    """Chunks of an answer to lines and text without reasoning, whatever the cuts between chunks. Lines may end in a
-    later batch; what is held back when a request ends is dropped, as an unfinished tag is."""
+    """Chunks of an answer to text without reasoning, whatever the cuts between chunks. What is held back when a request ends,
+    by a row without a chunk, is dropped, as an unfinished tag is; its state ends with it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "held string")
@@ -88,20 +141,23 @@ class Answers(StatefulProcessor):
             held, out = strip_step(held, chunk or "")
             if out:
                 yield pd.DataFrame({"request_id": [key[0]], "seq": [n], "text": _plain([out])})
-        self.held.update((held,))
+        if pdf["chunk"].isna().any():
+            self.held.clear()
+        else:
+            self.held.update((held,))
 
     def close(self) -> None:
         pass
 
 
 def strip_reasoning_stream(chunks: DataFrame) -> DataFrame:
-    """(request_id, seq, text) for a stream of (request_id long, seq long, chunk string)."""
+    """(request_id, seq, text) for a stream of (request_id long, seq long, chunk string); a null chunk ends a request and its state."""
     return chunks.groupBy("request_id").transformWithStateInPandas(Answers(), "request_id long, seq long, text string", "append", "none")
 
 
 class Lines(StatefulProcessor):
     """Whole lines of a request's chunks; the unfinished last line waits for the next chunk, or for the row without a chunk
-    that ends the request, which passes it on."""
+    that ends the request, which passes it on and ends the state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rest = handle.getValueState("rest", "line string, n long")
@@ -111,9 +167,11 @@ class Lines(StatefulProcessor):
         state = self.rest.get()
         line, n = (state[0] or "", state[1]) if state is not None else ("", 0)
         *lines, line = (line + "".join(x or "" for x in pdf["chunk"])).split("\n")
-        if line and pdf["chunk"].isna().any():
-            lines, line = [*lines, line], ""
-        self.rest.update((line, n + len(lines)))
+        if pdf["chunk"].isna().any():
+            lines = [*lines, line] if line else lines
+            self.rest.clear()
+        else:
+            self.rest.update((line, n + len(lines)))
         yield pd.DataFrame({"request_id": [key[0]] * len(lines), "n": range(n, n + len(lines)), "line": _plain(lines)})
 
     def close(self) -> None:
@@ -126,11 +184,12 @@ def lines_stream(chunks: DataFrame) -> DataFrame:
 
 
 class Finished(StatefulProcessor):
-    """The whole answer of a request, once: at the row without a chunk that ends it. An error ends it too, and what came before stays."""
+    """The whole answer of a request, once: at the row without a chunk that ends it. An error ends it too, and what came before stays.
+    Of a finished request the id stays for a while, against late chunks, then nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.parts = handle.getListState("parts", "text string")
-        self.ended = handle.getValueState("ended", "ended boolean")
+        self.ended = handle.getValueState("ended", "ended boolean", LINGER_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.ended.exists():
@@ -154,7 +213,7 @@ def finished_stream(chunks: DataFrame) -> DataFrame:
     """(request_id, answer, error) when a request ends, for a stream of (request_id long, seq long, chunk string, error string). A row
     without a chunk ends it, as does one with an error, whose partial answer is kept. Nothing is passed on before, so an audit of the
     answers never sees half a section number."""
-    return chunks.groupBy("request_id").transformWithStateInPandas(Finished(), "request_id long, answer string, error string", "append", "none")
+    return chunks.groupBy("request_id").transformWithStateInPandas(Finished(), "request_id long, answer string, error string", "append", "processingTime")
 
 
 def write_answers(answers: DataFrame, provider: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -164,10 +223,11 @@ def write_answers(answers: DataFrame, provider: str, path: str, checkpoint: str)
 
 
 class Idle(StatefulProcessor):
-    """Passes chunks on, and ends a request from which no chunk came for idle_ms: later chunks are dropped."""
+    """Passes chunks on, and ends a request from which no chunk came for idle_ms: later chunks are dropped for a while. A row without a chunk
+    ends a request, too, and its state."""
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int, linger_ms: int = LINGER_MS):
+        self.idle_ms, self.linger_ms = idle_ms, linger_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -180,13 +240,21 @@ class Idle(StatefulProcessor):
             return
         if state is not None:
             self.handle.deleteTimer(state[0])
-        at = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
-        self.handle.registerTimer(at)
-        self.last.update((at, False))
+        if pdf["chunk"].isna().any():
+            self.last.clear()
+        else:
+            at = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(at)
+            self.last.update((at, False))
         yield pd.DataFrame({"request_id": [key[0]] * len(pdf), "seq": pdf["seq"].to_numpy(), "chunk": _plain(pdf["chunk"].tolist()), "timed_out": [False] * len(pdf)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.update((0, True))
+        if self.last.get()[1]:
+            self.last.clear()
+            return
+        at = timerValues.getCurrentProcessingTimeInMs() + self.linger_ms
+        self.handle.registerTimer(at)
+        self.last.update((at, True))
         yield pd.DataFrame({"request_id": [key[0]], "seq": [-1], "chunk": _plain([None]), "timed_out": [True]})
 
     def close(self) -> None:
