@@ -66,6 +66,9 @@ class Aligner:
         self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes, default=0) + 1, np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
+        for i, x in self.a_bytes.items():
+            self.a_sizes[i] = len(x)
         self.cuts = type(self.a.pre_tokenizer).__name__ == "ByteLevel" and not any("▁" in p.lstrip("▁") for p in pieces)
         self.forget()
 
@@ -73,47 +76,74 @@ class Aligner:
         self.units: dict[str, int] = {}
         self.unit_groups: list[list[int]] = []
         self.unit_text: list[str] = []
-        #: A tokens, B tokens, links, and 1 if the bytes differ from the text.
-        self.unit_sizes: list[tuple[int, int, int, int]] = []
+        #: A tokens, B tokens, links, and whether the bytes differ from the text.
+        self.unit_sizes: list[tuple[int, int, int, bool]] = []
         self.groups: dict[bytes, int] = {}
         self.group_keys: list[bytes] = []
+        self.group_text: list[str] = []
 
     def learn(self, units: list[str]) -> None:
         """Tokenize and group new units, each without the space before it."""
-        whole = [f" {u}" for u in units]
-        for unit, text, a, b in zip(units, whole, self.a.encode_batch(whole, add_special_tokens=False), self.b.encode(units, num_threads=1)):
-            self._add(unit, text.encode(), a.ids, b)
-
-    def _add(self, unit: str, text: bytes, a: list[int], b: list[int]) -> None:
-        self.units[unit] = len(self.unit_groups)
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != text or b"".join(b_parts) != text:
-            self.unit_groups.append([])
-            self.unit_text.append("")
-            self.unit_sizes.append((0, 0, 0, 1))
+        if not units:
             return
-        codes, texts, links, i, j = [], [], 0, 0, 0
-        while i < len(a):
-            i0, j0, ends, other = i, j, len(a_parts[i]), len(b_parts[j])
-            i, j = i + 1, j + 1
-            while ends != other:
-                if ends < other:
-                    ends += len(a_parts[i])
-                    i += 1
-                else:
-                    other += len(b_parts[j])
-                    j += 1
-            x, y = a[i0:i], b[j0:j]
-            links += len(x) * len(y)
-            key = group_key(x, y)
-            code = self.groups.setdefault(key, len(self.group_keys))
-            if code == len(self.group_keys):
-                self.group_keys.append(key)
-            codes.append(code)
-            texts.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-        self.unit_groups.append(codes)
-        self.unit_text.append(";".join(texts))
-        self.unit_sizes.append((len(a), len(b), links, 0))
+        whole = [f" {u}" for u in units]
+        a = [x.ids for x in self.a.encode_batch(whole, add_special_tokens=False)]
+        b = self.b.encode(units, num_threads=1)
+        texts = [w.encode() for w in whole]
+        sizes = np.array([(len(x), len(y), len(t)) for x, y, t in zip(a, b, texts)], np.int64)
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64, int(n)) for x, n in ((a, sizes[:, 0].sum()), (b, sizes[:, 1].sum())))
+        good = self._same(a_ids, sizes[:, 0], self.a_bytes, self.a_sizes, texts) & self._same(b_ids, sizes[:, 1], self.b_bytes, self.b_sizes, texts)
+        a_ids, b_ids = a_ids[np.repeat(good, sizes[:, 0])], b_ids[np.repeat(good, sizes[:, 1])]
+        codes, per_unit, links = self._grouped(a_ids, b_ids, np.where(good, sizes[:, 2], 0))
+        at = np.concatenate([[0], np.cumsum(per_unit)]).tolist()
+        flat, text = codes.tolist(), self.group_text
+        first = len(self.unit_groups)
+        for k, (unit, s, e) in enumerate(zip(units, at, at[1:])):
+            self.units[unit] = first + k
+            held = flat[s:e]
+            self.unit_groups.append(held)
+            self.unit_text.append(";".join([text[c] for c in held]))
+        sizes = np.where(good[:, None], sizes, 0)
+        self.unit_sizes += zip(sizes[:, 0].tolist(), sizes[:, 1].tolist(), links.tolist(), (~good).tolist())
+
+    @staticmethod
+    def _same(ids: np.ndarray, counts: np.ndarray, token_bytes: dict | list, token_sizes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Whether the joined bytes of each unit's tokens are its text."""
+        at = np.concatenate([[0], np.cumsum(counts)])
+        sizes = np.concatenate([[0], np.cumsum(token_sizes[ids])])[at]
+        fits = np.diff(sizes) == np.array([len(t) for t in texts])
+        joined, text = (np.frombuffer(b"".join(x), np.uint8) for x in (map(token_bytes.__getitem__, ids[np.repeat(fits, counts)].tolist()), [t for t, f in zip(texts, fits.tolist()) if f]))
+        wrong = np.searchsorted(np.cumsum(np.diff(sizes)[fits]), np.flatnonzero(joined != text), side="right")
+        fits[np.flatnonzero(fits)[np.unique(wrong)]] = False
+        return fits
+
+    def _grouped(self, a: np.ndarray, b: np.ndarray, text_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The codes of all groups of units one after the other, each unit's number of groups, and of links."""
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_last, b_last = np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)
+        a_first, b_first = (np.concatenate([[0], x[:-1] + 1]) if len(x) else x for x in (a_last, b_last))
+        n_a, n_b = a_last - a_first + 1, b_last - b_first + 1
+        of = np.searchsorted(np.cumsum(text_sizes), both)
+        per_unit, links = np.bincount(of, minlength=len(text_sizes)), np.bincount(of, n_a * n_b, len(text_sizes)).astype(np.int64)
+        codes = np.zeros(len(both), np.int64)
+        # Groups of one token each are most; they are told apart as numbers, the others by their names.
+        single = (n_a == 1) & (n_b == 1)
+        pairs, which = np.unique(a[a_last[single]] << 32 | b[b_last[single]], return_inverse=True)
+        codes[single] = np.array([self._code([p >> 32], [p & 0xFFFFFFFF]) for p in pairs.tolist()], np.int64)[which]
+        rest = np.flatnonzero(~single)
+        a_list, b_list = a.tolist(), b.tolist()
+        codes[rest] = [self._code(a_list[s : e + 1], b_list[u : v + 1]) for s, e, u, v in zip(*(x[rest].tolist() for x in (a_first, a_last, b_first, b_last)))]
+        return codes, per_unit, links
+
+    def _code(self, a: list[int], b: list[int]) -> int:
+        key = group_key(a, b)
+        code = self.groups.get(key)
+        if code is None:
+            code = self.groups[key] = len(self.group_keys)
+            self.group_keys.append(key)
+            self.group_text.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+        return code
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The units of all texts in order as numbers into a list of distinct ones, and the n + 1 unit offsets of the texts."""
@@ -124,9 +154,9 @@ class Aligner:
         offsets, words = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
         offsets, codes, names = offsets - offsets[0], words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
         # Characters that some tables count as white space and others don't are kept away from cuts.
-        plain = lambda c: not c.isspace() and c not in "\u180e\u200b\ufeff"
-        opens = np.array([bool(w) and plain(w[0]) for w in names], bool)
-        closes = np.array([bool(w) and plain(w[-1]) for w in names], bool)
+        heads, tails = [w[:1] for w in names], [w[-1:] for w in names]
+        plain = {c: c != "" and not c.isspace() and c not in "\u180e\u200b\ufeff" for c in {*heads, *tails}}
+        opens, closes = np.array([plain[c] for c in heads], bool), np.array([plain[c] for c in tails], bool)
         first = np.zeros(len(codes), bool)
         first[offsets[:-1]] = True
         starts = first.copy()
