@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.text import EDGE_AFTER, EDGE_BEFORE, SPACE, WIDE_SPACE, escaped, js_trim
-from ..plans import registry
+from ..sources import registry
 
 # The shape of a number, the key words before it, the last words of statute names, and the three patterns.
 NUMBER = r"\d{1,3}[A-Za-z]{0,2}(?:\(\d+[a-z]?\))?"
@@ -34,16 +35,16 @@ def _map(pairs: Iterable[tuple[str, str]]) -> Column:
     return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f names it: lambdas share no subexpressions."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+def act_needle(name: Column) -> Column:
+    """An act's name as its aliases are looked for in it: lower case, without commas, stops and years, single spaces."""
+    needle = F.regexp_replace(F.lower(name), "[,.]", " ")
+    needle = F.regexp_replace(needle, rf"{EDGE_BEFORE}(?:19|20)\d{{2}}{EDGE_AFTER}", " ")
+    return js_trim(F.regexp_replace(needle, f"{SPACE}+", " "))
 
 
 def resolve_act(name: Column) -> Column:
     """The id of the act whose longest alias the name contains, or null."""
-    needle = F.regexp_replace(F.lower(name), "[,.]", " ")
-    needle = F.regexp_replace(needle, rf"{EDGE_BEFORE}(?:19|20)\d{{2}}{EDGE_AFTER}", " ")
-    needle = js_trim(F.regexp_replace(needle, f"{SPACE}+", " "))
+    needle = act_needle(name)
     known = F.array(*(F.struct(F.lit(act).alias("act"), F.lit(alias).alias("alias")) for act, alias in registry.sorted_aliases()))
     held = F.element_at(F.transform(F.array(needle), lambda n: F.get(F.filter(known, lambda a: F.contains(n, a["alias"])), 0)["act"]), 1)
     # A name that is an alias contains no longer one.
@@ -81,7 +82,7 @@ def verify(raw: Column, act_id: Column, number: Column) -> Column:
             heading.alias("heading"), source_url(c["act"]).alias("url"), caution.alias("caution"),
         )
 
-    return _once(_once(found, cited), citation)
+    return once(once(found, cited), citation)
 
 
 def verify_citation(raw: Column, act_name: Column, number: Column) -> Column:
@@ -108,14 +109,14 @@ def mentions(text: Column) -> Column:
     def unique(found: Column) -> Column:
         def firsts(keys: Column) -> Column:
             return F.filter(found, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-        return F.when(F.size(found) < 2, found).otherwise(_once(F.transform(found, key), firsts))
+        return F.when(F.size(found) < 2, found).otherwise(once(F.transform(found, key), firsts))
 
     def unshadowed(cs: Column) -> Column:
         held = lambda c: F.exists(cs, lambda o: o["act_id"].isNotNull() & (F.length(o["raw"]) > F.length(c["raw"])) & F.contains(o["raw"], c["raw"]))
         return F.filter(cs, lambda c: c["act_id"].isNotNull() | ~held(c))
 
     none = F.array().cast("array<struct<raw:string,act_id:string,number:string>>")
-    return F.when(text.rlike(CANDIDATE), _once(_once(found, unique), unshadowed)).otherwise(none)
+    return F.when(text.rlike(CANDIDATE), once(once(found, unique), unshadowed)).otherwise(none)
 
 
 def extract(text: Column) -> Column:

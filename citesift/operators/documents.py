@@ -43,6 +43,11 @@ def question_status(question: Column) -> Column:
     return F.when(short, 400).when(utf16_length(question) > MAX_QUESTION, 413).otherwise(200)
 
 
+def may_ask(question: Column) -> Column:
+    """Whether a client sends a question at all: at least five UTF-16 units when trimmed."""
+    return F.coalesce(utf16_length(js_trim(question)) >= MIN_QUESTION, F.lit(False))
+
+
 def document_status(text: Column) -> Column:
     short = text.isNull() | (utf16_length(js_trim(text)) < MIN_DOCUMENT)
     return F.when(short, 400).when(utf16_length(text) > MAX_DOCUMENT, 413).otherwise(200)

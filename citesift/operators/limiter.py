@@ -26,14 +26,17 @@ def rate_limit(requests: DataFrame, capacity: float, window_ms: float, key_col:
     """requests with allowed and retry_after (seconds), as one bucket for each key decides in the order of time, then id.
 
     Keys are dealt to tasks and sorted there; a task holds one bucket at a time, however many requests a key has. A null key is a key.
-    Columns pass through Arrow unchanged, 64-bit integers beside nulls too."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+    Columns pass through Arrow unchanged, 64-bit integers beside nulls too, whatever their names."""
+    names = requests.columns
+    key_at, ts_at, id_at = (names.index(c) for c in (key_col, ts_col, id_col))
+    # Names with dots and such don't pass through Arrow, so columns go by place.
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(requests.schema.fields))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens, updated = object(), capacity, 0
         for batch in it:
             allowed, wait = [], []
-            for key, ts in zip(batch.column(key_col).to_pylist(), batch.column(ts_col).to_pylist()):
+            for key, ts in zip(batch.column(key_at).to_pylist(), batch.column(ts_at).to_pylist()):
                 if key != last:
                     last, tokens, updated = key, capacity, ts
                 tokens, ok, retry = take(tokens, updated, ts, capacity, window_ms, cost)
@@ -42,5 +45,5 @@ def rate_limit(requests: DataFrame, capacity: float, window_ms: float, key_col:
                 wait.append(retry)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(wait, pa.int32())], names=[*batch.schema.names, "allowed", "retry_after"])
 
-    dealt = requests.repartition(F.col(key_col)).sortWithinPartitions(F.col(key_col), F.col(ts_col), F.col(id_col))
-    return dealt.mapInArrow(run, f"{fields}, allowed boolean, retry_after int")
+    dealt = requests.toDF(*(f"c{i}" for i in range(len(names)))).repartition(F.col(f"c{key_at}")).sortWithinPartitions(f"c{key_at}", f"c{ts_at}", f"c{id_at}")
+    return dealt.mapInArrow(run, f"{fields}, allowed boolean, retry_after int").toDF(*names, "allowed", "retry_after")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans import registry
+from ..sources import registry
 
 REMOVED = "[removed]"
 
@@ -28,6 +28,11 @@ def document_prompt(directive: Column) -> Column:
     return system_prompt(directive, task)
 
 
+def new_fence() -> Column:
+    """A fence that nobody can guess: a random UUID for each row. Keep it in a column; each use of the expression draws another."""
+    return F.uuid()
+
+
 def fenced(document: Column, question: Column, fence: Column) -> Column:
     """The question and the document between two fences; the fence's own text inside the document is removed."""
     safe = F.replace(document, fence, F.lit(REMOVED))

@@ -39,21 +39,23 @@ def provider(env: Column, override: Column | None = None) -> Column:
     )
 
 
-def chat_route(allowed: Column, body_ok: Column, question: Column, provider_id: Column, upstream: Column) -> Column:
+def chat_route(allowed: Column, body_ok: Column, question: Column, provider_id: Column, upstream: Column, body_null: Column | None = None) -> Column:
     """status, mode and scenario of a question: limit, form, offline answer, stream, fallback answer, error.
 
-    upstream: null if the stream began, else the error status."""
+    upstream: null if the stream began, else the error status. body_null: the body is JSON's null, which has no fields to read and ends the request with a 500."""
     gate = question_status(question)
     scenario = match(question)
-    status = F.when(~allowed, 429).when(~body_ok, 400).when(gate != 200, gate).when(provider_id.isNull() | upstream.isNull() | scenario.isNotNull(), 200).otherwise(upstream)
+    null = body_null if body_null is not None else F.lit(False)
+    body_ok = body_ok & ~null
+    status = F.when(~allowed, 429).when(null, 500).when(~body_ok, 400).when(gate != 200, gate).when(provider_id.isNull() | upstream.isNull() | scenario.isNotNull(), 200).otherwise(upstream)
     passed = allowed & body_ok & (gate == 200)
     mode = F.when(~passed, "error").when(provider_id.isNull(), "offline").when(upstream.isNull(), "stream").when(scenario.isNotNull(), "fallback").otherwise("error")
     return F.struct(status.alias("status"), mode.alias("mode"), F.when(mode.isin("offline", "fallback"), scenario).alias("scenario_id"))
 
 
-def document_route(allowed: Column, body_ok: Column, text: Column, provider_id: Column, upstream: Column) -> Column:
+def document_route(allowed: Column, body_ok: Column, text: Column, provider_id: Column, upstream: Column, body_null: Column | None = None) -> Column:
     gate = document_status(text)
-    return F.when(~allowed, 429).when(~body_ok, 400).when(gate != 200, gate).when(provider_id.isNull(), 503).when(upstream.isNull(), 200).otherwise(upstream)
+    return F.when(~allowed, 429).when(body_null if body_null is not None else F.lit(False), 500).when(~body_ok, 400).when(gate != 200, gate).when(provider_id.isNull(), 503).when(upstream.isNull(), 200).otherwise(upstream)
 
 
 def upstream_error(kind: Column, status: Column) -> Column:
@@ -108,6 +110,6 @@ def log_line(detail: Column) -> Column:
 
 
 def language_or_default(code: Column) -> Column:
-    from ..plans.registry import LANGUAGES
+    from ..sources.registry import LANGUAGES
 
     return F.when(code.isin(*(x[0] for x in LANGUAGES)), code).otherwise("en")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import registry
+from ..sources import registry
 
 MIN_SIGNALS = 2
 

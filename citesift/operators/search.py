@@ -1,15 +1,18 @@
-"""Substring search of the registry, for many queries at once."""
+"""Substring search, for many queries at once: of the registry, and of texts of any number by postings of their trigrams."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.text import js_trim
-from ..plans import registry
+from ..sources import registry
 
 #: Sections shown for a query; the count is that of all.
 SHOWN = 25
+#: Characters of an index entry.
+GRAM = 3
 
 
 def _needles(queries: DataFrame, query_col: str) -> DataFrame:
@@ -47,6 +50,40 @@ def result_line(acts: Column, sections: Column) -> Column:
     return F.concat(some(acts, "act"), F.lit(", "), some(sections, "section"))
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of so many characters in a text. The text is cut into characters once."""
+    runs = lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - size), lambda i: F.concat(*(F.get(cs, i + k) for k in range(size))))
+    return F.when(F.length(text) >= size, F.array_distinct(once(F.filter(F.split(text, ""), lambda c: c != ""), runs)))
+
+
+def contained(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str, text_col: str = "text", needle_col: str = "needle") -> DataFrame:
+    """(needle_id, text_id): every needle with every text that contains it, as they are written, without a nested loop over both.
+
+    Texts are indexed by their distinct trigrams (single characters and pairs for needles as short as that). Each distinct needle is
+    looked up by the one of its grams that fewest texts have; a needle with a gram that no text has drops out; what the gram
+    finds is verified. An empty needle asks for nothing and finds nothing; null texts and needles have no rows."""
+    known = needles.select(F.col(needle_id).alias("_of"), F.col(needle_col).alias("_needle")).filter("_needle is not null")
+    held = texts.select(F.col(text_id).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
+    distinct = known.select("_needle").filter("_needle <> ''").distinct()
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in distinct.select(size).distinct().collect())  # at most GRAM numbers
+    grams = F.concat(*(F.coalesce(_grams(F.col("_text"), k), F.array().cast("array<string>")) for k in sizes)) if sizes else F.array().cast("array<string>")
+    postings = held.select("_id", F.explode(grams).alias("_gram"))
+    often = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    cut = F.coalesce(*(F.when(size == k, _grams(F.col("_needle"), k)) for k in sizes)) if sizes else F.array().cast("array<string>")
+    asked = distinct.select("_needle", F.explode(cut).alias("_gram")).join(often, "_gram", "left")
+    rarest = asked.groupBy("_needle").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_without")).filter("_without = 0")
+    candidates = rarest.join(postings, "_gram").select("_needle", "_id")
+    found = candidates.join(held, "_id").filter(F.contains("_text", "_needle")).select("_needle", "_id")
+    return known.join(found, "_needle").select(F.col("_of").alias(needle_id), F.col("_id").alias(text_id))
+
+
+def sections_of_acts(asked: DataFrame, act_col: str = "act_id") -> DataFrame:
+    """asked with number, heading and section_ordinal: a row for each section of the act that a row names, in the order of the registry."""
+    known = registry.sections(asked.sparkSession).select(F.col("act_id").alias("_act"), "number", "heading", F.col("ordinal").alias("section_ordinal"))
+    return asked.join(F.broadcast(known), F.col(act_col) == F.col("_act")).drop("_act")
+
+
 def sections_per_act(spark) -> DataFrame:
     return registry.sections(spark).groupBy("act_id").agg(F.count(F.lit(1)).alias("n_sections"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import once, running_starts
-from ..plans import registry
+from ..sources import registry
 from .citations import ACT_FIRST, ANY_STATUTE, CANDIDATE, NUMBER_FIRST, UNKNOWN, UNRECOGNISED, VERIFIED, resolve_act
 
 #: A private character that marks the ends of matches; a text's own count as another character of the same length.

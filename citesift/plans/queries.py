@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
-from ..operators import citations, documents, limiter, prompts, routing, scenario, search, sse
-from . import registry
+from ..operators import checks, citations, documents, limiter, prompts, routing, scenario, search, sse, strict, terms
+from ..sources import files, registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,33 +140,38 @@ def act_resolve(spark, sf_dir):
 
 
 _SEARCHES = ["", "deposit", "Indian Penal Code", "RERA", "rera", " cheating ", "66", "consumer", "zzzznotalaw", "act", "password", "refund"]
-_NEEDLES_SQL = _values([(i, q) for i, q in enumerate(_SEARCHES)], "query_id, query")
+_LIST_SQL = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+_NEEDLES_SQL = f"""(SELECT doc_id AS query_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN {_LIST_SQL(_SEARCHES)}[doc_id % {len(_SEARCHES)} + 1] ELSE substring(text, (1 + doc_id % 7)::INTEGER, (2 + doc_id % 3)::INTEGER) END,
+  '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g') AS query FROM documents)"""
 
 
-def _searches(spark):
-    return spark.createDataFrame(list(enumerate(_SEARCHES)), "query_id int, query string")
+def _searches(spark, sf_dir):
+    """A search for each document: a given one, or some letters of its text."""
+    i = F.col("doc_id")
+    letters = F.substring("text", (i % 7 + 1).cast("int"), (i % 3 + 2).cast("int"))
+    return _read(spark, sf_dir, "documents").select(i.alias("query_id"), F.when(i % 3 == 0, _pick(_SEARCHES, i)).otherwise(letters).alias("query"))
 
 
-@_query(f"""WITH q AS (SELECT query_id, lower(trim(query)) AS n FROM {_NEEDLES_SQL}), a AS (SELECT * FROM {ACTS_SQL})
+@_query(f"""WITH q AS (SELECT query_id, lower(query) AS n FROM {_NEEDLES_SQL}), a AS (SELECT * FROM {ACTS_SQL})
 SELECT query_id, act_id FROM q JOIN a ON contains(lower(short_name || ' ' || title || ' ' || summary || ' ' || coalesce(replaces, '') || ' ' || domain), n)""")
 def registry_search_acts(spark, sf_dir):
-    return search.search_acts(_searches(spark)).select("query_id", "act_id")
+    return search.search_acts(_searches(spark, sf_dir)).select("query_id", "act_id")
 
 
-@_query(f"""WITH q AS (SELECT query_id, lower(trim(query)) AS n FROM {_NEEDLES_SQL}), a AS (SELECT * FROM {ACTS_SQL}), s AS (SELECT * FROM {SECTIONS_SQL})
+@_query(f"""WITH q AS (SELECT query_id, lower(query) AS n FROM {_NEEDLES_SQL}), a AS (SELECT * FROM {ACTS_SQL}), s AS (SELECT * FROM {SECTIONS_SQL})
 SELECT query_id, act_id, number FROM q JOIN (SELECT s.act_id, s.number, lower(s.number || ' ' || heading || ' ' || plain || ' ' || coalesce(previously, '') || ' ' || short_name || ' ' || title) AS h FROM s JOIN a USING (act_id)) ON n <> '' AND contains(h, n)""")
 def registry_search_sections(spark, sf_dir):
-    return search.search_sections(_searches(spark)).select("query_id", "act_id", "number")
+    return search.search_sections(_searches(spark, sf_dir)).select("query_id", "act_id", "number")
 
 
-_FOUND_SQL = f"""q AS (SELECT query_id, lower(trim(query)) AS n FROM {_NEEDLES_SQL}), a AS (SELECT * FROM {ACTS_SQL}), s AS (SELECT * FROM {SECTIONS_SQL}),
+_FOUND_SQL = f"""q AS (SELECT query_id, lower(query) AS n FROM {_NEEDLES_SQL}), a AS (SELECT * FROM {ACTS_SQL}), s AS (SELECT * FROM {SECTIONS_SQL}),
 f AS (SELECT query_id, act_id, number, ordinal FROM q JOIN (SELECT s.ordinal, s.act_id, s.number, lower(s.number || ' ' || heading || ' ' || plain || ' ' || coalesce(previously, '') || ' ' || short_name || ' ' || title) AS h FROM s JOIN a USING (act_id)) ON n <> '' AND contains(h, n))"""
 
 
 @_query(f"""WITH {_FOUND_SQL} SELECT query_id, act_id, number, rank, total FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM f) WHERE rank <= 25""")
 def registry_search_shown(spark, sf_dir):
-    shown = search.shown_sections(search.search_sections(_searches(spark)), ["query_id"])
+    shown = search.shown_sections(search.search_sections(_searches(spark, sf_dir)), ["query_id"])
     return shown.select("query_id", "act_id", "number", F.col("rank").cast("long").alias("rank"), "total")
 
 
@@ -175,36 +180,51 @@ m AS (SELECT query_id, count(*) AS acts FROM q JOIN a ON contains(lower(short_na
 SELECT query_id, coalesce(acts, 0) || ' act' || CASE WHEN coalesce(acts, 0) = 1 THEN '' ELSE 's' END || ', ' || coalesce(sections, 0) || ' section' || CASE WHEN coalesce(sections, 0) = 1 THEN '' ELSE 's' END AS line
 FROM q LEFT JOIN n USING (query_id) LEFT JOIN m USING (query_id)""")
 def registry_result_line(spark, sf_dir):
-    q = _searches(spark)
+    q = _searches(spark, sf_dir)
     count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
     both = q.join(count(search.search_acts(q), "acts"), "query_id", "left").join(count(search.search_sections(q), "sections"), "query_id", "left").fillna(0, ["acts", "sections"])
     return both.select("query_id", search.result_line(F.col("acts"), F.col("sections")).alias("line"))
 
 
-@_query(f"SELECT act_id, number, plain, consequence FROM {SECTIONS_SQL} WHERE act_id = 'IT'")
+_ACT_IDS = [a[0] for a in registry.ACTS]
+_ACT_OF = lambda key: f"{_LIST_SQL(_ACT_IDS)}[{key} % {len(_ACT_IDS)} + 1]"
+
+
+@_query(f"SELECT o_orderkey, number, heading FROM (SELECT o_orderkey, {_ACT_OF('o_custkey')} AS act_id FROM orders) JOIN {SECTIONS_SQL} USING (act_id)")
 def sections_of_act(spark, sf_dir):
-    return search.sections_of(spark, "IT").select("act_id", "number", "plain", "consequence")
+    asked = _read(spark, sf_dir, "orders").select("o_orderkey", _pick(_ACT_IDS, F.col("o_custkey")).alias("act_id"))
+    return search.sections_of_acts(asked).select("o_orderkey", "number", "heading")
 
 
-@_query(f"SELECT act_id, count(*) AS n_sections FROM {SECTIONS_SQL} GROUP BY 1")
+@_query(f"SELECT p_partkey, act_id, count(*) AS n_sections FROM (SELECT p_partkey, {_ACT_OF('p_partkey')} AS act_id FROM part) JOIN {SECTIONS_SQL} USING (act_id) GROUP BY ALL")
 def sections_per_act(spark, sf_dir):
-    return search.sections_per_act(spark)
+    p = _read(spark, sf_dir, "part").select("p_partkey", _pick(_ACT_IDS, F.col("p_partkey")).alias("act_id"))
+    return p.join(F.broadcast(search.sections_per_act(spark)), "act_id")
 
 
-@_query(f"SELECT act_id, '{registry.SOURCE_BASE}' || replace(replace(url_encode(title || ' ' || year), '%28', '('), '%29', ')') AS url FROM {ACTS_SQL}")
+@_query(f"SELECT p_partkey, '{registry.SOURCE_BASE}' || replace(replace(url_encode(title || ' ' || year), '%28', '('), '%29', ')') AS url FROM (SELECT p_partkey, {_ACT_OF('p_partkey')} AS act_id FROM part) JOIN {ACTS_SQL} USING (act_id)")
 def source_url(spark, sf_dir):
-    return registry.acts(spark).select("act_id", citations.source_url(F.col("act_id")).alias("url"))
+    return _read(spark, sf_dir, "part").select("p_partkey", citations.source_url(_pick(_ACT_IDS, F.col("p_partkey"))).alias("url"))
+
 
+_LINES_SQL, _LINES = _values(registry.HELPLINES, "number, name, is_primary, detail"), [h[0] for h in registry.HELPLINES]
 
-@_query("SELECT number, name FROM " + _values(registry.HELPLINES, "number, name, is_primary") + " WHERE is_primary")
+
+@_query(f"SELECT event_id, number, name, detail FROM (SELECT event_id, {_LIST_SQL(_LINES)}[event_id % {len(_LINES)} + 1] AS number FROM events) JOIN {_LINES_SQL} USING (number) WHERE is_primary")
 def helplines_primary(spark, sf_dir):
-    return registry.helplines(spark).filter("is_primary").select("number", "name")
+    asked = _read(spark, sf_dir, "events").select("event_id", _pick(_LINES, F.col("event_id")).alias("number"))
+    return asked.join(F.broadcast(registry.helplines(spark).filter("is_primary")), "number").select("event_id", "number", "name", "detail")
+
 
+_SCENARIO_IDS = [x[0] for x in registry.SCENARIOS]
 
-@_query("SELECT s.scenario_id, h.number, h.name FROM " + _values([(x[0], n) for x in registry.SCENARIOS for n in x[2]], "scenario_id, number").replace("AS v", "AS s") + " JOIN " + _values(registry.HELPLINES, "number, name, is_primary").replace("AS v", "AS h") + " USING (number)")
+
+@_query(f"""WITH c AS (SELECT conv_id, turn, {_LIST_SQL(_SCENARIO_IDS)}[conv_id % {len(_SCENARIO_IDS)} + 1] AS scenario_id FROM conversations)
+SELECT conv_id, turn, h.number, h.name FROM c JOIN """ + _values([(x[0], n) for x in registry.SCENARIOS for n in x[2]], "scenario_id, number").replace("AS v", "AS s") + f" USING (scenario_id) JOIN {_LINES_SQL.replace('AS v', 'AS h')} USING (number)")
 def scenario_helplines(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", _pick(_SCENARIO_IDS, F.col("conv_id")).alias("scenario_id"))
     s = registry.scenarios(spark).select("scenario_id", F.explode("helplines").alias("number"))
-    return s.join(F.broadcast(registry.helplines(spark)), "number").select("scenario_id", "number", "name")
+    return c.join(F.broadcast(s), "scenario_id").join(F.broadcast(registry.helplines(spark)), "number").select("conv_id", "turn", "number", "name")
 
 
 _WORDS = [w for _, _, _, words in registry.SCENARIOS for w in words]
@@ -450,19 +470,158 @@ def finished_audit(spark, sf_dir):
     return done.select("request_id", F.col("verified").cast("long").alias("verified"), F.col("unverified").cast("long").alias("unverified"))
 
 
-@_query("SELECT * FROM " + _values([(x[0], f"{x[1]}", prompts.registry_list().count(chr(10)) + 1) for x in registry.LANGUAGES], "code, name, acts"))
+@_query(f"SELECT doc_id, coalesce(name, 'English') AS name, {prompts.registry_list().count(chr(10)) + 1} AS acts FROM documents LEFT JOIN " + _values([(x[0], x[1]) for x in registry.LANGUAGES], "code, name") + " ON lang = code")
 def prompt_languages(spark, sf_dir):
-    """The system prompt names the answer's language and every act once."""
-    p = registry.languages(spark).select("code", prompts.system_prompt(F.col("directive")).alias("p"))
+    """The system prompt for each document's language names it, and every act once."""
+    known = registry.languages(spark)
+    d = _read(spark, sf_dir, "documents").select("doc_id", routing.language_or_default(F.col("lang")).alias("code")).join(F.broadcast(known), "code")
+    p = d.select("doc_id", prompts.system_prompt(F.col("directive")).alias("p"))
     name = F.regexp_extract("p", r"Write the whole answer in (\w+)\.", 1)
-    return p.select("code", name.alias("name"), F.regexp_count("p", F.lit(r"(?m)^- .*: .*, \d{4}$")).alias("acts"))
+    return p.select("doc_id", name.alias("name"), F.regexp_count("p", F.lit(r"(?m)^- .*: .*, \d{4}$")).alias("acts"))
 
 
 @_query(f"""WITH q AS (SELECT conv_id, turn, {_values([(i, s) for i, (s, *_) in enumerate(registry.SCENARIOS)], 'i, s').join(['(SELECT s FROM ', ' WHERE i = conv_id % 6)'])} AS scenario_id FROM conversations)
 SELECT conv_id, turn, scenario_id, label FROM q LEFT JOIN {_values([(s, label) for s, label, *_ in registry.SCENARIOS], 'scenario_id, label')} USING (scenario_id)""")
 def scenario_answer(spark, sf_dir):
-    from .descriptions import ANSWERS
+    from ..sources.descriptions import ANSWERS
 
     asked = [ANSWERS[s][0] for s, *_ in registry.SCENARIOS] + ["How do I name a boat?"]
     c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", _pick(asked, F.col("conv_id")).alias("question"))
     return scenario.answered(c).select("conv_id", "turn", "scenario_id", "label")
+
+
+_OLD_SQL = _values(strict.concordance_rows(), "code, old_number, act_id, number, whole")
+
+
+@_query(f"""WITH d AS (SELECT doc_id, (doc_id % 400)::VARCHAR AS a, (doc_id % 40)::VARCHAR AS b, (300 + doc_id % 210)::VARCHAR AS c FROM documents),
+m AS (SELECT doc_id, NULL AS code, 'BNS' AS act_id, a AS number, a AS now FROM d UNION ALL SELECT doc_id, NULL, 'PWDVA', b, b FROM d UNION ALL
+  SELECT doc_id, 'IPC', 'BNS', c, o.number FROM d LEFT JOIN {_OLD_SQL.replace('AS v', 'AS o')} ON o.code = 'IPC' AND o.old_number = c)
+SELECT m.doc_id, m.code, m.act_id, m.number, s.number AS section, CASE WHEN s.number IS NULL THEN 'unknown-section' ELSE 'verified' END AS status
+FROM m LEFT JOIN {SECTIONS_SQL.replace('AS v(', 'AS s(')} ON s.act_id = m.act_id AND s.number = m.now""")
+def strict_citations(spark, sf_dir):
+    """Adjacent citations and old numbers between two copies of each document's whole text: no phantoms, and old numbers find today's sections."""
+    i = F.col("doc_id")
+    planted = _cat(". Section ", i % 400, " of the BNS, Section ", i % 40, " of the PWDVA. Then Section ", i % 210 + 300, " IPC. ")
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.concat("text", planted, "text").alias("text"))
+    return strict.citation_rows(d, "doc_id").select("doc_id", "code", "act_id", "number", "section", "status")
+
+
+@_query("""WITH a AS (SELECT act_id, alias, ordinal FROM {a} UNION ALL SELECT 'brand', lower(p_brand), 1000 FROM part GROUP BY ALL),
+p AS (SELECT p_partkey, 'the ' || b.alias || ' of ' || lower(p_brand) AS name FROM part JOIN a b ON b.ordinal = p_partkey % 33)
+SELECT p_partkey, (SELECT arg_min(a.act_id, -length(a.alias) * 10000 + a.ordinal) FROM a WHERE contains(p.name, a.alias)) AS act_id FROM p""".format(a=_ALIAS_SQL))
+def name_resolution(spark, sf_dir):
+    """Names resolved by a table of aliases: the registry's and every brand of the parts."""
+    p = _read(spark, sf_dir, "part")
+    names = p.select("p_partkey", _cat("The ", _pick([a for _, a in registry.sorted_aliases()], F.col("p_partkey")), " of ", F.col("p_brand")).alias("name"))
+    brands = p.select(F.lit(1000).alias("ordinal"), F.lit("brand").alias("act_id"), F.lower("p_brand").alias("alias")).distinct()
+    return terms.resolve_names(names, registry.aliases(spark).unionByName(brands), "p_partkey", "name")
+
+
+_HELD_SQL = """k AS (SELECT scenario_id, priority, keyword FROM {k} UNION ALL SELECT 'nation ' || n_nationkey, 100 + n_nationkey, w FROM (SELECT n_nationkey, unnest([lower(n_name), substring(lower(n_name), 1, 3)]) AS w FROM nation)),
+q AS (SELECT conv_id, turn, lower(coalesce(text, '')) || ' ' || a.keyword || ' ' || b.keyword AS t FROM conversations c JOIN {w} AS a ON a.i = c.conv_id % {n} JOIN {w} AS b ON b.i = (c.conv_id * 7 + c.turn) % {n})""".format(
+    k=_SIGNAL_SQL, w=_values([(i, w) for i, w in enumerate(_WORDS)], "i, keyword").replace(" AS v(", " AS z(").join(["(SELECT * FROM ", ")"]), n=len(_WORDS)
+)
+
+
+@_query(f"""WITH {_HELD_SQL}, h AS (SELECT conv_id, turn, scenario_id, priority, count(DISTINCT keyword) AS hits FROM q JOIN k ON contains(q.t, k.keyword) GROUP BY ALL HAVING hits >= 2),
+b AS (SELECT conv_id, turn, arg_max(scenario_id, hits * 1000 - priority) AS scenario_id, max(hits) AS hits FROM h GROUP BY ALL) SELECT q.conv_id, q.turn, b.scenario_id, coalesce(b.hits, 0) AS hits FROM q LEFT JOIN b USING (conv_id, turn)""")
+def scenario_signals(spark, sf_dir):
+    """Scenarios of whole conversation texts by a table of key words: the registry's, and two for each nation."""
+    c = _read(spark, sf_dir, "conversations")
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _pick(_WORDS, F.col("conv_id")), F.lit(" "), _pick(_WORDS, F.col("conv_id") * 7 + F.col("turn")))
+    known = registry.scenarios(spark).select("scenario_id", "priority", F.explode("signals").alias("keyword"))
+    n, name = _read(spark, sf_dir, "nation"), F.lower("n_name")
+    nations = n.select(_cat("nation ", F.col("n_nationkey")).alias("scenario_id"), (F.col("n_nationkey") + 100).alias("priority"), F.explode(F.array(name, F.substring(name, 1, 3))).alias("keyword"))
+    asked = c.select(F.struct("conv_id", "turn").alias("id"), t.alias("question"))
+    return terms.match_scenarios(asked, known.unionByName(nations), "id").select("id.conv_id", "id.turn", "scenario_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+_PASSAGE_SQL = "SELECT item_id, substring(text, (1 + item_id % 9)::INTEGER, (item_id % 24 + 1)::INTEGER) AS needle FROM benchmark"
+
+
+@_query(f"WITH n AS ({_PASSAGE_SQL}) SELECT item_id, doc_id FROM n JOIN documents ON needle <> '' AND contains(text, needle)")
+def text_search(spark, sf_dir):
+    """Documents that contain some letters of a benchmark item, by postings of trigrams."""
+    i = F.col("item_id")
+    needles = _read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", (i % 9 + 1).cast("int"), (i % 24 + 1).cast("int")).alias("needle"))
+    return search.contained(_read(spark, sf_dir, "documents"), needles, "doc_id", "item_id")
+
+
+@_query(f"""WITH n AS (SELECT DISTINCT needle AS term FROM ({_PASSAGE_SQL}) WHERE needle <> '')
+SELECT doc_id, term, ((length(text) - length(replace(text, term, ''))) // length(term))::BIGINT > 0 AS held, strpos(text, term)::BIGINT - 1 AS first FROM documents JOIN n ON contains(text, term)""")
+def term_places(spark, sf_dir):
+    """The same letters of all items as one automaton: every document that has some, and where first."""
+    i = F.col("item_id")
+    found = _read(spark, sf_dir, "benchmark").select(F.substring("text", (i % 9 + 1).cast("int"), (i % 24 + 1).cast("int")).alias("term"))
+    hits = terms.term_hits(_read(spark, sf_dir, "documents"), found.filter("term <> ''"), "doc_id")
+    return hits.select("doc_id", "term", (F.col("times") > 0).alias("held"), "first")
+
+
+_LIMITS = {"cloud": 3000, "local": 3000}, {"cloud": 4500, "local": 4500}
+
+
+@_query("""WITH r AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS t0, event_id % 7 * 1000 AS g, event_id % 11 * 1000 AS h, event_id % 5 = 0 AS bad, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS nxt FROM events),
+s AS (SELECT *, CASE WHEN g > 3000 THEN 'setup' WHEN h > 4500 THEN 'idle' WHEN bad THEN 'error' ELSE 'done' END AS s0, CASE WHEN g > 3000 THEN t0 + 3000 WHEN h > 4500 THEN t0 + g + 4500 ELSE t0 + g + h + 100 END AS e0 FROM r)
+SELECT event_id AS request_id, CASE WHEN nxt <= e0 THEN 'cancelled' ELSE s0 END AS status, CASE WHEN nxt <= e0 OR s0 = 'setup' THEN NULL WHEN s0 = 'idle' THEN event_type ELSE event_type || ' ₹ ' || event_type END AS answer,
+  CASE WHEN s0 = 'error' AND NOT coalesce(nxt <= e0, false) THEN 'broken ' || event_id END AS error, CASE WHEN nxt <= e0 THEN nxt ELSE e0 END AS ended_ms FROM s""")
+def request_ends(spark, sf_dir):
+    """Every event as a request whose answer comes in two chunks, cut inside a character: how each ends, by both timeouts, errors and later requests of the user."""
+    e = _read(spark, sf_dir, "events").withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp")))
+    i, user = F.col("event_id"), F.col("user_id").cast("string")
+    at = lambda ms: F.timestamp_millis(F.col("_t") + ms)
+    asked = e.select(user.alias("session_id"), i.alias("request_id"), at(F.lit(0)).alias("requested_at"), F.lit("openai").alias("provider"))
+    event = lambda t: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n")).cast("binary")
+    first, second = event(F.col("event_type")), event(F.concat(F.lit(" ₹ "), "event_type"))
+    g, h, null = i % 7 * 1000, i % 11 * 1000, F.lit(None)
+    # The second line begins with the first chunk, up to one byte of the sign's three.
+    at_sign = F.octet_length(F.lit('data: {"choices":[{"delta":{"content":" ')) + 1
+    rows = F.array(
+        F.struct(F.lit(0).cast("long").alias("seq"), at(g).alias("arrived_at"), F.concat(first, F.substring(second, F.lit(1), at_sign)).alias("chunk"), null.cast("string").alias("error")),
+        F.struct(F.lit(1).cast("long").alias("seq"), at(g + h).alias("arrived_at"), F.substring(second, at_sign + 1, F.octet_length(second)).alias("chunk"), null.cast("string").alias("error")),
+        F.struct(F.lit(2).cast("long").alias("seq"), at(g + h + 100).alias("arrived_at"), null.cast("binary").alias("chunk"), F.when(i % 5 == 0, _cat("broken ", i)).alias("error")),
+    )
+    sent = e.select(user.alias("session_id"), i.alias("request_id"), F.explode(rows).alias("x")).select("session_id", "request_id", "x.*")
+    return sse.ended(asked, sent, *_LIMITS).select("request_id", "status", "answer", "error", F.unix_millis("ended_at").alias("ended_ms"))
+
+
+@_query("SELECT doc_id, length(regexp_replace(substring(text, 1, (doc_id % 9)::INTEGER), '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g')) >= 5 AS asks FROM documents")
+def client_gate(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    return d.select("doc_id", documents.may_ask(F.substring("text", F.lit(1), (F.col("doc_id") % 9).cast("int"))).alias("asks"))
+
+
+@_query("""SELECT 'lineitem' AS name, l_orderkey::VARCHAR || '/' || l_partkey AS key, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT 'conversations', text, count(*) FROM conversations GROUP BY 1, 2 HAVING count(*) > 1 OR text IS NULL
+UNION ALL SELECT 'labels', doc_id::VARCHAR, count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY 1, 2
+UNION ALL SELECT 'orders', o_orderkey::VARCHAR, count(*) FROM orders GROUP BY 1, 2 HAVING count(*) > 1""")
+def key_violations(spark, sf_dir):
+    """Rows that break a key: repeated ones, and references without a parent."""
+    read = lambda t: _read(spark, sf_dir, t)
+    row = lambda df, name, key: df.select(F.lit(name).alias("name"), key.alias("key"), "rows")
+    labelled = checks.missing_parents(read("labels"), read("documents").filter("lang = 'en'"), "doc_id", "doc_id")
+    return (
+        row(checks.repeated_keys(read("lineitem"), "l_orderkey", "l_partkey"), "lineitem", _cat(F.col("l_orderkey"), "/", F.col("l_partkey")))
+        .unionByName(row(checks.repeated_keys(read("conversations"), "text"), "conversations", F.col("text")))
+        .unionByName(row(labelled, "labels", F.col("doc_id").cast("string")))
+        .unionByName(row(checks.repeated_keys(read("orders"), "o_orderkey"), "orders", F.col("o_orderkey").cast("string")))
+    )
+
+
+@_query("SELECT doc_id, 36 AS fence_length, true AS apart, length(text)::BIGINT AS held FROM documents")
+def prompt_own_fence(spark, sf_dir):
+    """Each document between two copies of a fence of its own, which an embedded copy can't close."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text", prompts.new_fence().alias("fence"))
+    p = d.select("doc_id", "text", "fence", prompts.fenced(F.concat("text", F.lit("\n"), "fence"), F.lit("what now"), F.col("fence")).alias("p"))
+    parts = F.split("p", F.col("fence"))
+    held = F.length(F.get(parts, 1)) - 3 - len(prompts.REMOVED)
+    return p.select("doc_id", F.length("fence").alias("fence_length"), (F.size(parts) == 3).alias("apart"), held.cast("long").alias("held"))
+
+
+@_query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 500 ELSE 400 END AS status FROM events""")
+def body_status(spark, sf_dir):
+    """Bodies of every kind, parsed and routed: JSON's null ends in a 500, other bodies without fields in a 400."""
+    i = F.col("event_id")
+    body = F.when(i % 5 == 0, F.to_json(F.struct(_cat("what now, ", F.col("event_type")).alias("question")))).when(i % 5 == 1, F.lit(" null\n")).when(i % 5 == 2, F.lit("[1]")).when(i % 5 == 3, F.lit("{broken"))
+    parsed = files.parse_bodies(_read(spark, sf_dir, "events").select("event_id", body.alias("body")))
+    route = routing.chat_route(F.lit(True), F.col("body_ok"), F.col("question"), F.lit("local"), F.lit(None).cast("int"), F.col("body_null"))
+    return parsed.select("event_id", route["status"].alias("status"))

@@ -69,9 +69,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_bodies(bodies: DataFrame, col: str = "body") -> DataFrame:
-    """bodies with question, language, text and body_ok (false for JSON that can't be parsed or isn't an object)."""
+    """bodies, a table or a stream, with question, language, text, body_ok (false for JSON that can't be parsed or isn't an object) and
+    body_null (true for JSON's null)."""
     parsed = F.from_json(F.col(col), "question string, language string, text string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     whole = F.trim(F.col(col)).startswith("{")
-    out = bodies.withColumn("_p", parsed)
     ok = F.coalesce(whole & F.col("_p._corrupt").isNull(), F.lit(False))
-    return out.select(*bodies.columns, F.col("_p.question").alias("question"), F.col("_p.language").alias("language"), F.col("_p.text").alias("text"), ok.alias("body_ok"))
+    null = F.coalesce(F.regexp_replace(F.col(col), r"[ \t\r\n]", "") == "null", F.lit(False))
+    out = bodies.withColumn("_p", parsed)
+    return out.select("*", F.col("_p.question").alias("question"), F.col("_p.language").alias("language"), F.col("_p.text").alias("text"), ok.alias("body_ok"), null.alias("body_null")).drop("_p")
+
+
+def bodies_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A stream of request bodies, one for each line of the text files that arrive at path, parsed. A body that can't be parsed is a row, too."""
+    return parse_bodies(spark.readStream.options(**options).text(path).withColumnRenamed("value", "body"))

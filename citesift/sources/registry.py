@@ -94,16 +94,16 @@ ALIASES = {
     "LSAA": ["legal services authorities act", "legal services act", "lsaa"],
 }
 
-# Helplines (number, name, primary).
+# Helplines (number, name, primary); what each is for is in our words.
 HELPLINES = [
-    ("112", "National Emergency", True),
-    ("1091", "Women Helpline", True),
-    ("1930", "Cyber Financial Fraud", True),
-    ("15100", "NALSA Free Legal Aid", True),
-    ("1098", "Childline", False),
-    ("181", "Women Helpline (alternate)", False),
-    ("139", "Rail Madad", False),
-    ("14567", "Elderline", False),
+    ("112", "National Emergency", True, "Police, fire and ambulance, for danger that is there now."),
+    ("1091", "Women Helpline", True, "Police help for women in danger or under threat."),
+    ("1930", "Cyber Financial Fraud", True, "Report money lost to online fraud at once, so that banks can stop it."),
+    ("15100", "NALSA Free Legal Aid", True, "Free advice and lawyers for those who are entitled to legal services."),
+    ("1098", "Childline", False, "Help for children who are lost, hurt or made to work."),
+    ("181", "Women Helpline (alternate)", False, "Advice and shelter for women who face violence."),
+    ("139", "Rail Madad", False, "Complaints and security on trains, during the journey too."),
+    ("14567", "Elderline", False, "Advice and help for older people."),
 ]
 
 # Scenarios (id, label, helplines, key words in order).
@@ -156,7 +156,7 @@ def aliases(spark: SparkSession) -> DataFrame:
 
 
 def helplines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HELPLINES, "number string, name string, is_primary boolean")
+    return spark.createDataFrame(HELPLINES, "number string, name string, is_primary boolean, detail string")
 
 
 def scenarios(spark: SparkSession) -> DataFrame:
@@ -165,5 +165,6 @@ def scenarios(spark: SparkSession) -> DataFrame:
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    rows = [(*x, f"Write the whole answer in {x[1]}." + ("" if x[0] == "en" else " Names of acts and numbers of sections stay in English.")) for x in LANGUAGES]
+    script = {"hinglish": " Use Latin script."}
+    rows = [(*x, f"Write the whole answer in {x[1]}.{script.get(x[0], '')}" + ("" if x[0] == "en" else " Names of acts and numbers of sections stay in English.")) for x in LANGUAGES]
     return spark.createDataFrame(rows, "code string, name string, native_name string, tag string, directive string")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citesift.operators import citations, scenario
-from citesift.plans import registry
+from citesift.sources import registry
 
 CASES = [
     ("The officer wrote Section 85 BNS on the form.", ["BNS 85 verified"]),
@@ -97,7 +97,7 @@ def test_registry_is_consistent():
     assert all(p for a, _, _, p in registry.SECTIONS if a in ("BNS", "BNSS"))
     assert all(len(r[4]) > 40 for r in registry.section_rows()) and len({r[4] for r in registry.section_rows()}) == 52 and all(len(r[6]) > 30 for r in registry.act_rows())
     assert sum(len(x) for x in registry.ALIASES.values()) == 33
-    assert [n for n, _, primary in registry.HELPLINES if primary] == ["112", "1091", "1930", "15100"]
+    assert [n for n, _, primary, _ in registry.HELPLINES if primary] == ["112", "1091", "1930", "15100"]
     assert {n for s in registry.SCENARIOS for n in s[2]} <= {h[0] for h in registry.HELPLINES}
 
 
