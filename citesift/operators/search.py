@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import once
 from ..functions.text import js_trim
 from ..sources import registry
 
@@ -13,6 +16,7 @@ from ..sources import registry
 SHOWN = 25
 #: Characters of an index entry.
 GRAM = 3
+_POINT_BITS = 21
 
 
 def _needles(queries: DataFrame, query_col: str) -> DataFrame:
@@ -50,10 +54,30 @@ def result_line(acts: Column, sections: Column) -> Column:
     return F.concat(some(acts, "act"), F.lit(", "), some(sections, "section"))
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The distinct runs of so many characters in a text. The text is cut into characters once."""
-    runs = lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - size), lambda i: F.concat(*(F.get(cs, i + k) for k in range(size))))
-    return F.when(F.length(text) >= size, F.array_distinct(once(F.filter(F.split(text, ""), lambda c: c != ""), runs)))
+def gram_numbers(text: str, size: int) -> np.ndarray:
+    """The distinct runs of so many characters (GRAM at most) in a text as numbers, which tell runs of all sizes apart."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    n = len(points) - size + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    code = np.zeros(n, np.int64)
+    for k in range(size):
+        code = code << _POINT_BITS | points[k : k + n]
+    # Whole runs are numbers from 0, shorter ones lie below, each size in its own range.
+    return np.unique(code if size == GRAM else -1 - code - sum(1 << _POINT_BITS * k for k in range(1, size)))
+
+
+def _indexed(sizes: list[int] | None) -> Callable:
+    """For mapInArrow: (key, gram) for each distinct gram of a text, of all sizes, or of its own where none are given."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                grams = [np.concatenate([gram_numbers(t, k) for k in sizes or (min(len(t), GRAM),)]) for t in batch.column(1).to_pylist()]
+                of = pa.array(np.repeat(np.arange(batch.num_rows), [len(g) for g in grams]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.concatenate(grams))], ["key", "gram"])
+
+    return run
 
 
 def contained(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str, text_col: str = "text", needle_col: str = "needle") -> DataFrame:
@@ -61,17 +85,18 @@ def contained(texts: DataFrame, needles: DataFrame, text_id: str, needle_id: str
 
     Texts are indexed by their distinct trigrams (single characters and pairs for needles as short as that). Each distinct needle is
     looked up by the one of its grams that fewest texts have; a needle with a gram that no text has drops out; what the gram
-    finds is verified. An empty needle asks for nothing and finds nothing; null texts and needles have no rows."""
+    finds is verified. An empty needle asks for nothing and finds nothing; null texts and needles have no rows.
+    Ids of texts are unique; needles may repeat."""
     known = needles.select(F.col(needle_id).alias("_of"), F.col(needle_col).alias("_needle")).filter("_needle is not null")
     held = texts.select(F.col(text_id).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
     distinct = known.select("_needle").filter("_needle <> ''").distinct()
-    size = F.least(F.length("_needle"), F.lit(GRAM))
-    sizes = sorted(r[0] for r in distinct.select(size).distinct().collect())  # at most GRAM numbers
-    grams = F.concat(*(F.coalesce(_grams(F.col("_text"), k), F.array().cast("array<string>")) for k in sizes)) if sizes else F.array().cast("array<string>")
-    postings = held.select("_id", F.explode(grams).alias("_gram"))
+    sizes = sorted(r[0] for r in distinct.select(F.least(F.length("_needle"), F.lit(GRAM))).distinct().collect())  # at most GRAM numbers
+    if not sizes:
+        return known.select(F.col("_of").alias(needle_id)).join(held.select(F.col("_id").alias(text_id)), F.lit(False))
+    kind = held.schema["_id"].dataType.simpleString()
+    postings = held.mapInArrow(_indexed(sizes), f"key {kind}, gram long").toDF("_id", "_gram")
     often = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.coalesce(*(F.when(size == k, _grams(F.col("_needle"), k)) for k in sizes)) if sizes else F.array().cast("array<string>")
-    asked = distinct.select("_needle", F.explode(cut).alias("_gram")).join(often, "_gram", "left")
+    asked = distinct.select("_needle", F.col("_needle").alias("_cut")).mapInArrow(_indexed(None), "key string, gram long").toDF("_needle", "_gram").join(often, "_gram", "left")
     rarest = asked.groupBy("_needle").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_without")).filter("_without = 0")
     candidates = rarest.join(postings, "_gram").select("_needle", "_id")
     found = candidates.join(held, "_id").filter(F.contains("_text", "_needle")).select("_needle", "_id")
