@@ -11,14 +11,15 @@ ROWS = [
 #: Columns named as the operators name theirs inside.
 CLASHES = {
     "name": "clash", "level": "clash", "fp": 1, "size": 2, "_row": 3, "copies": 4, "_text": "own", "_lang": "own", "_key": 5, "_both": 6, "_copy": 7, "_score": 8, "_rejected": 9, "key": 10,
-    "rid": 11, "h": 12, "block": 13, "first": 14, "_input0": 15,
+    "rid": 11, "h": 12, "block": 13, "first": 14, "_input0": 15, "x.y": 16, "a b": 17, "c0": 18, "q`q": 19,
 }
 
 
 @pytest.fixture(scope="session")
 def docs(spark):
     rows = [(*r, 0, *CLASHES.values()) for r in ROWS]
-    extra = ", ".join(f"{name} {'string' if isinstance(value, str) else 'long'}" for name, value in CLASHES.items())
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    extra = ", ".join(f"{quoted(name)} {'string' if isinstance(value, str) else 'long'}" for name, value in CLASHES.items())
     return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(3)
 
 

@@ -57,6 +57,20 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, pair_group):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(want))
 
 
+def test_large_groups_lose_no_pair(spark):
+    """A block that 600 documents share, about 0.68 alike, and 60 pairs of 0.82 among them."""
+    rnd = random.Random(5)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    block = words(164)
+    texts = [block + words(37) for _ in range(480)]
+    for _ in range(60):
+        tail = words(37)
+        texts += [block + tail, block + tail[:18] + words(19)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert all(got[480 + 2 * k + 1] == 480 + 2 * k for k in range(60)) and len(set(got.values())) == 540
+
+
 def test_stage_drops_edited_copies(spark, sf_dir):
     texts = edited(random.Random(12))
     table = common.stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "edited")

@@ -16,7 +16,7 @@ from tests.test_queries import rows
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     assert rows(queries.queries()[name](spark, sf_dir).toPandas()) == rows(con.sql(queries.ORACLE_SQL[name]).df())
 
@@ -26,13 +26,19 @@ def test_stages_on_odd_rows(spark, docs, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         out = common.stage(stage(spark, at, sf_dir), name)
         if name != corpus_pipeline.STAGES[-1][0]:
-            assert out.columns == docs.columns and out.select(*CLASHES).distinct().collect() == [tuple(CLASHES.values())], name
+            assert out.columns == docs.columns and out.select(*("`" + c.replace("`", "``") + "`" for c in CLASHES)).distinct().collect() == [tuple(CLASHES.values())], name
         at = out
     empty = common.stage(docs.limit(0), "empty")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0, name
 
 
+def test_own_columns_are_refused(spark, docs, sf_dir):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        with pytest.raises(ValueError, match="use themselves"):
+            stage(spark, docs.withColumn(corpus_pipeline.KEY, docs.doc_id), sf_dir)
+
+
 def test_rows_keep_their_numbers_when_the_cores_change(spark, real):
     """Numbers are written with the table: other splits, as after the loss of an executor, don't move them."""
     table = common.stage(real.select("*", corpus_pipeline._row()), "numbered")
