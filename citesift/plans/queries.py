@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text as text_functions
 from ..operators import checks, citations, documents, limiter, prompts, routing, scenario, search, sse, strict, terms
 from ..sources import files, registry
+from ..sources.shared import shared_folder
+from ..streaming.requests import Delivery, answers_stream, deliver
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -560,13 +562,15 @@ def term_places(spark, sf_dir):
 _LIMITS = {"cloud": 3000, "local": 3000}, {"cloud": 4500, "local": 4500}
 
 
-@_query("""WITH r AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS t0, event_id % 7 * 1000 AS g, event_id % 11 * 1000 AS h, event_id % 5 = 0 AS bad, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS nxt FROM events),
+_ENDS_SQL = """WITH r AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS t0, event_id % 7 * 1000 AS g, event_id % 11 * 1000 AS h, event_id % 5 = 0 AS bad, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS nxt FROM events),
 s AS (SELECT *, CASE WHEN g > 3000 THEN 'setup' WHEN h > 4500 THEN 'idle' WHEN bad THEN 'error' ELSE 'done' END AS s0, CASE WHEN g > 3000 THEN t0 + 3000 WHEN h > 4500 THEN t0 + g + 4500 ELSE t0 + g + h + 100 END AS e0 FROM r)
 SELECT event_id AS request_id, CASE WHEN nxt <= e0 THEN 'cancelled' ELSE s0 END AS status, CASE WHEN nxt <= e0 OR s0 = 'setup' THEN NULL WHEN s0 = 'idle' THEN event_type ELSE event_type || ' ₹ ' || event_type END AS answer,
-  CASE WHEN s0 = 'error' AND NOT coalesce(nxt <= e0, false) THEN 'broken ' || event_id END AS error, CASE WHEN nxt <= e0 THEN nxt ELSE e0 END AS ended_ms FROM s""")
-def request_ends(spark, sf_dir):
-    """Every event as a request whose answer comes in two chunks, cut inside a character: how each ends, by both timeouts, errors and later requests of the user."""
-    e = _read(spark, sf_dir, "events").withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp")))
+  CASE WHEN s0 = 'error' AND NOT coalesce(nxt <= e0, false) THEN 'broken ' || event_id END AS error, CASE WHEN nxt <= e0 THEN nxt ELSE e0 END AS ended_ms FROM s"""
+
+
+def _asked_and_sent(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every event, of a table or a stream, as a request whose answer comes in two chunks, cut inside a character."""
+    e = e.withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp")))
     i, user = F.col("event_id"), F.col("user_id").cast("string")
     at = lambda ms: F.timestamp_millis(F.col("_t") + ms)
     asked = e.select(user.alias("session_id"), i.alias("request_id"), at(F.lit(0)).alias("requested_at"), F.lit("openai").alias("provider"))
@@ -581,7 +585,37 @@ def request_ends(spark, sf_dir):
         F.struct(F.lit(2).cast("long").alias("seq"), at(g + h + 100).alias("arrived_at"), null.cast("binary").alias("chunk"), F.when(i % 5 == 0, _cat("broken ", i)).alias("error")),
     )
     sent = e.select(user.alias("session_id"), i.alias("request_id"), F.explode(rows).alias("x")).select("session_id", "request_id", "x.*")
-    return sse.ended(asked, sent, *_LIMITS).select("request_id", "status", "answer", "error", F.unix_millis("ended_at").alias("ended_ms"))
+    return asked, sent
+
+
+@_query(_ENDS_SQL)
+def request_ends(spark, sf_dir):
+    """How each request ends, by both timeouts, errors and later requests of the user."""
+    ends = sse.ended(*_asked_and_sent(_read(spark, sf_dir, "events")), *_LIMITS)
+    return ends.select("request_id", "status", "answer", "error", F.unix_millis("ended_at").alias("ended_ms"))
+
+
+@_query(f"""WITH e AS ({_ENDS_SQL}) SELECT request_id, status, answer, error, NULL AS line FROM e WHERE status IN ('done', 'idle', 'error')
+UNION ALL SELECT request_id, NULL, NULL, NULL, '[openai] ' || CASE status WHEN 'idle' THEN 'no chunk came in time; the answer was closed' WHEN 'setup' THEN 'no first chunk came in time' ELSE 'the stream broke off: ' || error END
+FROM e WHERE status IN ('idle', 'setup', 'error')""")
+def request_stream(spark, sf_dir):
+    """The same requests as a stream, delivered to a table of answers and one of log lines. A later row of nobody's moves the watermark behind them."""
+    path = f"{sf_dir}/events.parquet"
+    # A pattern, as a stream's path that is none must be a folder.
+    stream = lambda: spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    asked, sent = _asked_and_sent(stream())
+    later = stream().filter("event_id % 50 = 0").select(F.lit(None).cast("string").alias("session_id"), (-1 - F.col("event_id")).alias("request_id"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("requested_at"), F.lit("openai").alias("provider"))
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    to, was = shared_folder(spark, "requests"), spark.conf.get(name, None)
+    spark.conf.set(name, store)  # the store that keyed state of this kind needs, while this stream runs
+    try:
+        deliver(answers_stream(asked.unionByName(later), sent, "1 minute", *_LIMITS), Delivery(f"{to}/answers", f"{to}/log"), f"{to}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    answers = spark.read.parquet(f"{to}/answers").select("request_id", "status", "answer", "error", null("line"))
+    log = spark.read.parquet(f"{to}/log").select("request_id", null("status"), null("answer"), null("error"), "line")
+    return answers.unionByName(log).filter("request_id >= 0")
 
 
 @_query("SELECT doc_id, length(regexp_replace(substring(text, 1, (doc_id % 9)::INTEGER), '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g')) >= 5 AS asks FROM documents")

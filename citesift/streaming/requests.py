@@ -5,12 +5,14 @@ reached it, as nothing that arrives later can change it any more."""
 
 from __future__ import annotations
 
+import codecs
 import json
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -63,8 +65,6 @@ class Decoder:
 
     def finish(self) -> str:
         """The text of a last line without an end. Bytes of a character that never came whole are dropped."""
-        import codecs
-
         last, self.line = codecs.getincrementaldecoder("utf-8")("replace").decode(self.line), b""
         return self._shown(last)
 
@@ -126,54 +126,71 @@ class Answers(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.requests = handle.getMapState("requests", "request_id long", _State.SCHEMA)
+        self.asked = handle.getMapState("asked", "request_id long", "asked_ms long")
         self.parts = handle.getMapState("parts", "request_id long, n long", "text string")
         #: Rows that came before those in front of them.
         self.ahead = handle.getMapState("ahead", "request_id long, place long", "kind string, at_ms long, chunk binary, error string, provider string")
+        #: The requests that each timer is for.
+        self.due = handle.getMapState("due", "due_ms long", "requests array<bigint>")
 
     def _limit(self, s: _State) -> int:
         return (self.idle_ms if s.started else self.setup_ms)["local" if s.provider == "local" else "cloud"]
 
-    def _all(self) -> dict[int, _State]:
-        return {request[0]: _State(*value) for request, value in self.requests.iterator()}
+    def _load(self, request: int) -> _State | None:
+        return _State(*self.requests.getValue((request,))) if self.requests.containsKey((request,)) else None
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self._all()
-        before = {request: s.row() for request, s in known.items()}
+        known: dict[int, _State] = {}
+        before: dict[int, tuple | None] = {}
         decoders: dict[int, Decoder] = {}
+        order: list[tuple[int, int]] | None = None
+
+        def state(request: int) -> _State:
+            if request not in known:
+                found = self._load(request)
+                before[request] = found and found.row()
+                known[request] = found or _State()
+            return known[request]
+
         for row in rows:
-            at = _ms(row.arrived_at)
-            s = known.setdefault(row.request_id, _State(last_ms=at))
+            at, request = _ms(row.arrived_at), row.request_id
+            s = state(request)
+            if before[request] is None and not s.next:
+                s.last_ms = max(s.last_ms, at)
             place = 0 if row.kind == "request" else row.seq + 1
             if s.gone or s.status or place < s.next:
                 continue
-            decoder = decoders.setdefault(row.request_id, Decoder(s.provider, bytes(s.line or b""), s.held or ""))
+            decoder = decoders.setdefault(request, Decoder(s.provider, bytes(s.line or b""), s.held or ""))
             event = (row.kind, at, row.chunk, row.error, row.provider)
             if place > s.next:
-                if not self.ahead.containsKey((row.request_id, place)):
-                    self.ahead.updateValue((row.request_id, place), event)
+                if not self.ahead.containsKey((request, place)):
+                    self.ahead.updateValue((request, place), event)
                 continue
             if row.kind == "request":
-                self._follow(known, row.request_id, at)
-            self._take(row.request_id, s, decoder, event)
-            while not s.status and self.ahead.containsKey((row.request_id, s.next)):
-                at_hand = (row.request_id, s.next)
-                self._take(row.request_id, s, decoder, self.ahead.getValue(at_hand))
+                order = sorted((value[0], x[0]) for x, value in self.asked.iterator()) if order is None else order
+                self._follow(order, state, request, at)
+            self._take(request, s, decoder, event)
+            while not s.status and self.ahead.containsKey((request, s.next)):
+                at_hand = (request, s.next)
+                self._take(request, s, decoder, self.ahead.getValue(at_hand))
                 self.ahead.removeKey(at_hand)
         for request, decoder in decoders.items():
             known[request].line, known[request].held = decoder.line, decoder.held
         self._save(known, before)
         yield from ()
 
-    def _follow(self, known: dict[int, _State], request: int, at: int) -> None:
+    def _follow(self, order: list[tuple[int, int]], state: Callable[[int], _State], request: int, at: int) -> None:
         """The request ends the one before it in the session, and the one after ends it; requests may come in any order."""
-        others = sorted((s.asked_ms, i) for i, s in known.items() if s.asked_ms is not None)
-        known[request].asked_ms = at
-        earlier = [x for x in others if x < (at, request)]
-        if earlier:
-            s = known[earlier[-1][1]]
+        place = bisect(order, (at, request))
+        order.insert(place, (at, request))
+        self.asked.updateValue((request,), (at,))
+        if place:
+            s = state(order[place - 1][1])
             s.cancel_ms = at if s.cancel_ms is None else min(s.cancel_ms, at)
-        if len(earlier) < len(others):
-            known[request].cancel_ms = others[len(earlier)][0]
+        s = state(request)
+        s.asked_ms = at
+        if place + 1 < len(order):
+            s.cancel_ms = order[place + 1][0]
 
     def _take(self, request: int, s: _State, decoder: Decoder, event: tuple) -> None:
         """The next row of a request, in order."""
@@ -195,10 +212,10 @@ class Answers(StatefulProcessor):
                 self.parts.updateValue((request, s.parts), (text,))
                 s.parts += 1
 
-    def _save(self, known: dict[int, _State], before: dict[int, tuple]) -> None:
+    def _save(self, known: dict[int, _State], before: dict[int, tuple | None]) -> None:
         """Write back the states that changed, and set the timer of each for what comes next: its end, if that is known, else its time limit."""
         for request, s in known.items():
-            if before.get(request) == s.row() or s.gone:
+            if before[request] == s.row() or s.gone:
                 continue
             if s.status:
                 due = s.end_ms
@@ -206,31 +223,44 @@ class Answers(StatefulProcessor):
                 due = s.last_ms + self.linger_ms
             else:
                 due = s.last_ms + self._limit(s) + 1
-            s.timer_ms = due if s.cancel_ms is None else min(due, s.cancel_ms)
+            self._wait(request, s, due if s.cancel_ms is None else min(due, s.cancel_ms))
             self.requests.updateValue((request,), s.row())
-        old, new = {x[_TIMER] for x in before.values()} - {None}, {s.timer_ms for s in known.values()} - {None}
-        for due in old - new:
-            self.handle.deleteTimer(due)
-        for due in new - old:
+
+    def _wait(self, request: int, s: _State, due: int) -> None:
+        """Move a request's timer; requests of a session may share one."""
+        if s.timer_ms == due:
+            return
+        if s.timer_ms is not None and self.due.containsKey((s.timer_ms,)):
+            others = [x for x in self.due.getValue((s.timer_ms,))[0] if x != request]
+            if others:
+                self.due.updateValue((s.timer_ms,), (others,))
+            else:
+                self.due.removeKey((s.timer_ms,))
+                self.handle.deleteTimer(s.timer_ms)
+        here = list(self.due.getValue((due,))[0]) if self.due.containsKey((due,)) else []
+        if not here:
             self.handle.registerTimer(due)
+        self.due.updateValue((due,), ([*here, request],))
+        s.timer_ms = due
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, known = expiredTimerInfo.getExpiryTimeInMs(), self._all()
-        before = {request: s.row() for request, s in known.items()}
-        for request in sorted(r for r, s in known.items() if s.timer_ms is not None and s.timer_ms <= now):
-            s = known[request]
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.due.containsKey((now,)):
+            return
+        ended = sorted(self.due.getValue((now,))[0])
+        self.due.removeKey((now,))
+        for request in ended:
+            s = self._load(request)
             if s.gone:
                 self.requests.removeKey((request,))
-                del known[request]
+                if self.asked.containsKey((request,)):
+                    self.asked.removeKey((request,))
                 continue
             yield self._end(key[0], request, s)
-            # A finished id stays for a while, so that what comes late doesn't open it again; a latest request's, so that it is known whom it followed.
-            due = max(s.end_ms, s.timer_ms) + self.linger_ms
-            known[request] = _State(asked_ms=s.asked_ms, gone=True, timer_ms=due)
-            self.requests.updateValue((request,), known[request].row())
-        old, new = {x[_TIMER] for x in before.values()} - {None}, {s.timer_ms for s in known.values()} - {None}
-        for due in new - old:
-            self.handle.registerTimer(due)
+            # A finished id stays for a while, so that what comes late doesn't open it again and what it followed is known.
+            gone = _State(asked_ms=s.asked_ms, gone=True)
+            self._wait(request, gone, max(s.end_ms, now) + self.linger_ms)
+            self.requests.updateValue((request,), gone.row())
 
     def _end(self, session: str, request: int, s: _State) -> Row:
         """The row of a request whose end the watermark has reached. What the state holds of it goes."""
@@ -255,9 +285,6 @@ class Answers(StatefulProcessor):
         pass
 
 
-_TIMER = list(_State.__dataclass_fields__).index("timer_ms")
-
-
 def answers_stream(requests: DataFrame, chunks: DataFrame, lateness: str = "10 seconds", setup_ms: dict[str, int] = SETUP_MS, idle_ms: dict[str, int] = IDLE_MS, linger_ms: int | None = None) -> DataFrame:
     """(session_id, request_id, provider, status, answer, error, chunks, ended_at): one row for each request when it has ended.
 
