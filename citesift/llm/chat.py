@@ -3,34 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers in a slice whose running sums are taken one by one; the sums of the slices follow.
-_SLICE = 256
-
-
-def _with(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f names it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
-def running_starts(lengths: Column) -> Column:
-    """Where each of an array's pieces starts if they follow each other: the sums of the lengths before it."""
-    def follow(first: Column, xs: Column) -> Column:
-        return F.aggregate(xs, F.array(first), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
-
-    def slices(xs: Column) -> Column:
-        n = F.ceil(F.size(xs) / F.lit(_SLICE)).cast("int")
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(xs, k * _SLICE + 1, F.lit(_SLICE)))).otherwise(F.array().cast("array<array<bigint>>"))
-
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-    bases = lambda parts: follow(F.lit(0).cast("long"), F.transform(parts, total))
-    whole = lambda parts: _with(bases(parts), lambda b: F.flatten(F.transform(parts, lambda p, k: F.slice(follow(F.get(b, k), p), F.lit(1), F.size(p)))))
-    return _with(slices(lengths.cast("array<bigint>")), whole)
+from ..functions.arrays import once, running_starts
 
 
 @dataclass(frozen=True)
@@ -84,9 +62,9 @@ def _blocks(turns: Column, t: Template) -> Column:
             parts = F.transform(F.slice(turns, start + 1, after - start), lambda x: t.escape(x["text"]))
             return F.struct(t.escape(F.coalesce(role, F.lit(""))).alias("role"), learn(role).alias("learn"), parts.alias("parts"))
 
-        return _with(starts, lambda s: F.transform(s, lambda at, k: block(at, F.coalesce(F.get(s, k + 1), F.size(turns)))))
+        return once(starts, lambda s: F.transform(s, lambda at, k: block(at, F.coalesce(F.get(s, k + 1), F.size(turns)))))
 
-    return _with(turns, merged)
+    return once(turns, merged)
 
 
 def _written(blocks: Column, t: Template) -> Column:
@@ -112,10 +90,10 @@ def _written(blocks: Column, t: Template) -> Column:
             ))
             return F.transform(F.filter(places, lambda p: p["learn"]), lambda p: F.struct(*(p[k].alias(k) for k in ("start", "length", "byte_start", "byte_length"))))
 
-        return _with(F.struct(starts(F.length).alias("chars"), starts(F.octet_length).alias("bytes")), placed)
+        return once(F.struct(starts(F.length).alias("chars"), starts(F.octet_length).alias("bytes")), placed)
 
     text = F.array_join(F.transform(blocks, lambda b: F.concat(head(b), F.array_join(b["parts"], t.part), F.lit(t.end))), "")
-    return F.struct(text.alias("formatted"), _with(F.flatten(F.transform(blocks, pieces)), spans).alias("loss"))
+    return F.struct(text.alias("formatted"), once(F.flatten(F.transform(blocks, pieces)), spans).alias("loss"))
 
 
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: Template = TEMPLATE) -> DataFrame:
@@ -128,7 +106,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     row of the result, so it is gathered whole and must fit a row (2 GB), however its turns were spread."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gathered = turns.groupBy(F.col(id_col).alias(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    out = _with(_blocks(F.col("turns"), template), lambda b: _written(b, template))
+    out = once(_blocks(F.col("turns"), template), lambda b: _written(b, template))
     return gathered.select(id_col, out.alias("out")).select(id_col, "out.formatted", "out.loss")
 
 
@@ -142,13 +120,13 @@ def parse_turns(formatted: Column, template: Template = TEMPLATE) -> Column:
         role = t.unescape(F.get(halves, 0))
         return F.transform(cut(F.get(halves, 1), t.part), lambda p: F.struct(role.alias("role"), t.unescape(p).alias("text")))
 
-    return _with(cut(formatted, t.start), lambda blocks: F.flatten(F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), turns)))
+    return once(cut(formatted, t.start), lambda blocks: F.flatten(F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), turns)))
 
 
 def learnt_texts(formatted: Column, loss: Column, template: Template = TEMPLATE) -> Column:
     """The texts under the loss mask, as they were before they were escaped. They are cut out by bytes, so a long text isn't counted through for each."""
     cut = lambda b: F.transform(loss, lambda s: F.substring(b, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")).cast("string"))
-    return F.transform(_with(formatted.cast("binary"), cut), template.unescape)
+    return F.transform(once(formatted.cast("binary"), cut), template.unescape)
 
 
 def digests(chats: DataFrame, id_col: str = "conv_id", template: Template = TEMPLATE) -> DataFrame:
