@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, discard, stage
 
 #: Bytes of text that a worker aligns at a time, and units that it remembers.
-BATCH_BYTES, REMEMBERED = 4 << 20, 250_000
+BATCH_BYTES, REMEMBERED = 2 << 20, 120_000
 #: Groups of documents that a step works on at a time.
 BATCH_GROUPS = 1 << 20
 #: A group is looked up by broadcast if it has more than one in so many of all documents' groups; fewer groups than that can. Longer keys are joined.
