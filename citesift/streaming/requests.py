@@ -89,10 +89,15 @@ def _at(ms: int) -> datetime:
 ANSWER = "session_id string, request_id long, provider string, status string, answer string, error string, chunks long, ended_at timestamp"
 
 
+#: A row that came before those in front of it: its place, and what _take gets of it.
+_EVENT = "place: long, kind: string, at_ms: long, chunk: binary, error: string, provider: string"
+
+
 @dataclass
 class _State:
     """What the state says of a request between two batches."""
 
+    request_id: int
     provider: str | None = None
     asked_ms: int | None = None
     next: int = 0
@@ -103,96 +108,103 @@ class _State:
     error: str | None = None
     end_ms: int = 0
     gone: bool = False
-    timer_ms: int | None = None
-    parts: int = 0
+    due_ms: int = 0
     line: bytes = b""
     held: str = ""
+    parts: list[str] = field(default_factory=list)
+    ahead: dict[int, tuple] = field(default_factory=dict)
 
     SCHEMA = (
-        "provider string, asked_ms long, next long, started boolean, last_ms long, cancel_ms long, status string, error string, end_ms long, gone boolean, timer_ms long,"
-        " parts long, line binary, held string"
+        "request_id long, provider string, asked_ms long, next long, started boolean, last_ms long, cancel_ms long, status string, error string, end_ms long, gone boolean,"
+        f" due_ms long, line binary, held string, parts array<string>, ahead array<struct<{_EVENT}>>"
     )
 
     def row(self) -> tuple:
-        return tuple(getattr(self, f) for f in self.__dataclass_fields__)
+        *plain, ahead = (getattr(self, f) for f in self.__dataclass_fields__)
+        return *plain, [(place, *event) for place, event in ahead.items()]
+
+    @classmethod
+    def of(cls, row: tuple) -> _State:
+        *plain, line, held, parts, ahead = row
+        return cls(*plain, bytes(line or b""), held or "", list(parts or ()), {x[0]: tuple(x[1:]) for x in ahead or ()})
 
 
 class Answers(StatefulProcessor):
-    """One answer for each request of a session. See answers_stream for the rules."""
+    """One answer for each request of a session. See answers_stream for the rules.
+
+    A session's open requests are one list, read and written once for a batch, with one timer, at the earliest time for which one
+    of them waits: a call for each row or request takes longer than all else. Of those that have ended the ids stay for a while."""
 
     def __init__(self, setup_ms: dict[str, int], idle_ms: dict[str, int], linger_ms: int):
         self.setup_ms, self.idle_ms, self.linger_ms = setup_ms, idle_ms, linger_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.requests = handle.getMapState("requests", "request_id long", _State.SCHEMA)
-        self.asked = handle.getMapState("asked", "request_id long", "asked_ms long")
-        self.parts = handle.getMapState("parts", "request_id long, n long", "text string")
-        #: Rows that came before those in front of them.
-        self.ahead = handle.getMapState("ahead", "request_id long, place long", "kind string, at_ms long, chunk binary, error string, provider string")
-        #: The requests that each timer is for.
-        self.due = handle.getMapState("due", "due_ms long", "requests array<bigint>")
+        self.requests = handle.getListState("requests", _State.SCHEMA)
+        self.gone = handle.getMapState("gone", "request_id long", "asked_ms long, due_ms long")
+        self.timer = handle.getValueState("timer", "timer_ms long")
 
     def _limit(self, s: _State) -> int:
         return (self.idle_ms if s.started else self.setup_ms)["local" if s.provider == "local" else "cloud"]
 
-    def _load(self, request: int) -> _State | None:
-        return _State(*self.requests.getValue((request,))) if self.requests.containsKey((request,)) else None
+    def _load(self) -> dict[int, _State]:
+        found = {s.request_id: s for s in map(_State.of, self.requests.get())}
+        return found | {request: _State(request, asked_ms=asked, gone=True, due_ms=due) for (request,), (asked, due) in self.gone.iterator()}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known: dict[int, _State] = {}
-        before: dict[int, tuple | None] = {}
+        known = self._load()
+        order = sorted((s.asked_ms, s.request_id) for s in known.values() if s.asked_ms is not None)
+        fresh: set[int] = set()
         decoders: dict[int, Decoder] = {}
-        order: list[tuple[int, int]] | None = None
-
-        def state(request: int) -> _State:
-            if request not in known:
-                found = self._load(request)
-                before[request] = found and found.row()
-                known[request] = found or _State()
-            return known[request]
-
+        changed: set[int] = set()
         for row in rows:
             at, request = _ms(row.arrived_at), row.request_id
-            s = state(request)
-            if before[request] is None and not s.next:
+            s = known.get(request)
+            if s is None:
+                s = known[request] = _State(request)
+                fresh.add(request)
+                changed.add(request)
+            if request in fresh and not s.next:
                 s.last_ms = max(s.last_ms, at)
             place = 0 if row.kind == "request" else row.seq + 1
             if s.gone or s.status or place < s.next:
                 continue
-            decoder = decoders.setdefault(request, Decoder(s.provider, bytes(s.line or b""), s.held or ""))
+            changed.add(request)
             event = (row.kind, at, row.chunk, row.error, row.provider)
             if place > s.next:
-                if not self.ahead.containsKey((request, place)):
-                    self.ahead.updateValue((request, place), event)
+                s.ahead.setdefault(place, event)
                 continue
             if row.kind == "request":
-                order = sorted((value[0], x[0]) for x, value in self.asked.iterator()) if order is None else order
-                self._follow(order, state, request, at)
-            self._take(request, s, decoder, event)
-            while not s.status and self.ahead.containsKey((request, s.next)):
-                at_hand = (request, s.next)
-                self._take(request, s, decoder, self.ahead.getValue(at_hand))
-                self.ahead.removeKey(at_hand)
+                changed |= self._follow(order, known, request, at)
+            decoder = decoders.get(request)
+            if decoder is None:
+                decoder = decoders[request] = Decoder(s.provider, s.line, s.held)
+            self._take(s, decoder, event)
+            while not s.status and s.next in s.ahead:
+                self._take(s, decoder, s.ahead.pop(s.next))
         for request, decoder in decoders.items():
             known[request].line, known[request].held = decoder.line, decoder.held
-        self._save(known, before)
+        for request in changed:
+            self._wait(known[request])
+        if changed:
+            self._save(known)
         yield from ()
 
-    def _follow(self, order: list[tuple[int, int]], state: Callable[[int], _State], request: int, at: int) -> None:
-        """The request ends the one before it in the session, and the one after ends it; requests may come in any order."""
+    def _follow(self, order: list[tuple[int, int]], known: dict[int, _State], request: int, at: int) -> set[int]:
+        """The request ends the one before it in the session, and the one after ends it; requests may come in any order. Returns those that change."""
         place = bisect(order, (at, request))
         order.insert(place, (at, request))
-        self.asked.updateValue((request,), (at,))
-        if place:
-            s = state(order[place - 1][1])
-            s.cancel_ms = at if s.cancel_ms is None else min(s.cancel_ms, at)
-        s = state(request)
+        s = known[request]
         s.asked_ms = at
         if place + 1 < len(order):
             s.cancel_ms = order[place + 1][0]
+        if not place:
+            return {request}
+        before = known[order[place - 1][1]]
+        before.cancel_ms = at if before.cancel_ms is None else min(before.cancel_ms, at)
+        return {request, before.request_id}
 
-    def _take(self, request: int, s: _State, decoder: Decoder, event: tuple) -> None:
+    def _take(self, s: _State, decoder: Decoder, event: tuple) -> None:
         """The next row of a request, in order."""
         kind, at, chunk, error, provider = event
         s.next += 1
@@ -209,77 +221,69 @@ class Answers(StatefulProcessor):
             s.started, s.last_ms = True, max(s.last_ms, at)
             text = decoder.feed(bytes(chunk))
             if text:
-                self.parts.updateValue((request, s.parts), (text,))
-                s.parts += 1
+                s.parts.append(text)
 
-    def _save(self, known: dict[int, _State], before: dict[int, tuple | None]) -> None:
-        """Write back the states that changed, and set the timer of each for what comes next: its end, if that is known, else its time limit."""
-        for request, s in known.items():
-            if before[request] == s.row() or s.gone:
-                continue
-            if s.status:
-                due = s.end_ms
-            elif s.asked_ms is None:  # chunks of a request that isn't known
-                due = s.last_ms + self.linger_ms
-            else:
-                due = s.last_ms + self._limit(s) + 1
-            self._wait(request, s, due if s.cancel_ms is None else min(due, s.cancel_ms))
-            self.requests.updateValue((request,), s.row())
-
-    def _wait(self, request: int, s: _State, due: int) -> None:
-        """Move a request's timer; requests of a session may share one."""
-        if s.timer_ms == due:
+    def _wait(self, s: _State) -> None:
+        """Set what a request waits for: its end, if that is known, else its time limit."""
+        if s.gone:
             return
-        if s.timer_ms is not None and self.due.containsKey((s.timer_ms,)):
-            others = [x for x in self.due.getValue((s.timer_ms,))[0] if x != request]
-            if others:
-                self.due.updateValue((s.timer_ms,), (others,))
-            else:
-                self.due.removeKey((s.timer_ms,))
-                self.handle.deleteTimer(s.timer_ms)
-        here = list(self.due.getValue((due,))[0]) if self.due.containsKey((due,)) else []
-        if not here:
+        if s.status:
+            due = s.end_ms
+        elif s.asked_ms is None:  # chunks of a request that isn't known
+            due = s.last_ms + self.linger_ms
+        else:
+            due = s.last_ms + self._limit(s) + 1
+        s.due_ms = due if s.cancel_ms is None else min(due, s.cancel_ms)
+
+    def _save(self, known: dict[int, _State], fired: bool = False) -> None:
+        """Write the open requests back, and move the timer to the earliest time that a request waits for. fired: it has just gone off."""
+        rows = [s.row() for s in known.values() if not s.gone]
+        self.requests.put(rows) if rows else self.requests.clear()
+        was = None if fired else self.timer.get()
+        due = min((s.due_ms for s in known.values()), default=None)
+        if was and was[0] == due:
+            return
+        if was:
+            self.handle.deleteTimer(was[0])
+        if due is None:
+            self.timer.clear()
+        else:
             self.handle.registerTimer(due)
-        self.due.updateValue((due,), ([*here, request],))
-        s.timer_ms = due
+            self.timer.update((due,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.due.containsKey((now,)):
-            return
-        ended = sorted(self.due.getValue((now,))[0])
-        self.due.removeKey((now,))
-        for request in ended:
-            s = self._load(request)
+        known = self._load()
+        # All that the watermark has passed, as timers of each would go off in this batch.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        for s in sorted((s for s in known.values() if s.due_ms <= now), key=lambda s: (s.due_ms, s.request_id)):
             if s.gone:
-                self.requests.removeKey((request,))
-                if self.asked.containsKey((request,)):
-                    self.asked.removeKey((request,))
+                self.gone.removeKey((s.request_id,))
+                del known[s.request_id]
                 continue
-            yield self._end(key[0], request, s)
+            yield self._end(key[0], s)
             # A finished id stays for a while, so that what comes late doesn't open it again and what it followed is known.
-            gone = _State(asked_ms=s.asked_ms, gone=True)
-            self._wait(request, gone, max(s.end_ms, now) + self.linger_ms)
-            self.requests.updateValue((request,), gone.row())
+            until = max(s.end_ms, s.due_ms) + self.linger_ms
+            if until <= now:
+                del known[s.request_id]
+            else:
+                known[s.request_id] = _State(s.request_id, asked_ms=s.asked_ms, gone=True, due_ms=until)
+                self.gone.updateValue((s.request_id,), (s.asked_ms, until))
+        self._save(known, fired=True)
 
-    def _end(self, session: str, request: int, s: _State) -> Row:
-        """The row of a request whose end the watermark has reached. What the state holds of it goes."""
+    def _end(self, session: str, s: _State) -> Row:
+        """The row of a request whose end the watermark has reached."""
         if s.asked_ms is None:
-            s.status, s.end_ms = ORPHAN, s.timer_ms
+            s.status, s.end_ms = ORPHAN, s.due_ms
         elif not s.status:
             s.status, s.end_ms = (IDLE if s.started else SETUP), s.last_ms + self._limit(s)
         if s.cancel_ms is not None and s.cancel_ms <= s.end_ms:
             s.status, s.error, s.end_ms = CANCELLED, None, s.cancel_ms
         answer = None
         if s.status in ANSWERED:
-            answer = "".join(self.parts.getValue((request, n))[0] for n in range(s.parts))
+            answer = "".join(s.parts)
             if s.status != ERROR:  # the line that an error cut off isn't shown
-                answer += Decoder(s.provider, bytes(s.line or b""), s.held or "").finish()
-        for n in range(s.parts):
-            self.parts.removeKey((request, n))
-        for at_hand in [x for x in self.ahead.keys() if x[0] == request]:
-            self.ahead.removeKey(at_hand)
-        return Row(session_id=session, request_id=request, provider=s.provider, status=s.status, answer=answer, error=s.error, chunks=max(s.next - 1, 0), ended_at=_at(s.end_ms))
+                answer += Decoder(s.provider, s.line, s.held).finish()
+        return Row(session_id=session, request_id=s.request_id, provider=s.provider, status=s.status, answer=answer, error=s.error, chunks=max(s.next - 1, 0), ended_at=_at(s.end_ms))
 
     def close(self) -> None:
         pass

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from citesift.operators import citations, limiter, sse
@@ -228,3 +229,71 @@ def test_older_streams_end_their_state(spark, tmp_path):
         left = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
         assert left[-1] <= (1 if name == "lines" else 3), (name, left)  # of request 2 alone, with its timer
     assert finished_stream
+
+
+def test_a_session_is_read_and_written_once_for_a_batch():
+    """State calls don't grow with a session's rows: each is a round trip between Python and Spark."""
+    calls = Counter()
+
+    class Store:
+        def __init__(self):
+            self.rows, self.timers = {}, set()
+
+        def getListState(self, name, *_):
+            return self._state(name, lambda: [*self.rows.get(name, ())])
+
+        def getValueState(self, name, *_):
+            return self._state(name, lambda: self.rows.get(name))
+
+        def getMapState(self, name, *_):
+            return self._state(name, lambda: None)
+
+        def registerTimer(self, at_ms):
+            calls["timer"] += 1
+            self.timers.add(at_ms)
+
+        def deleteTimer(self, at_ms):
+            calls["timer"] += 1
+            self.timers.discard(at_ms)
+
+        def _state(store, name, get):
+            class State:
+                def get(self):
+                    calls["get"] += 1
+                    return get()
+
+                def put(self, value):
+                    calls["put"] += 1
+                    store.rows[name] = value
+
+                update = put
+
+                def iterator(self):
+                    calls["get"] += 1
+                    return iter(())
+
+                def __getattr__(self, call):
+                    raise AssertionError(f"{call} for each entry")
+
+                def clear(self):
+                    calls["clear"] += 1
+                    store.rows.pop(name, None)
+
+            return State()
+
+    class Timer:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    Event = lambda request, kind, seq, ms, chunk, provider: Row(request_id=request, kind=kind, seq=seq, arrived_at=at(ms), chunk=chunk, error=None, provider=provider)
+    line = b"data: " + event("openai", "hi").encode() + b"\n"
+    rows = [x for i in range(300) for x in (Event(i, "chunk", 1, 20_000 * i + 20, None, None), Event(i, "chunk", 0, 20_000 * i + 10, line, None), Event(i, "request", None, 20_000 * i, None, "openai"))]
+    store, answers = Store(), rq.Answers(SETUP, IDLE, 60_000)
+    answers.init(store)
+    for half in (rows[:450], rows[450:]):
+        assert not list(answers.handleInputRows(("s",), iter(half), None))
+    assert len(store.timers) == 1
+    end = int(at(20_000 * 310).timestamp() * 1000)
+    ended = list(answers.handleExpiredTimer(("s",), Timer(end), Timer(store.timers.pop())))
+    assert [(r.request_id, r.status, r.answer, r.chunks) for r in ended] == [(i, "done", "hi", 1) for i in range(300)]
+    assert sum(calls.values()) <= 25 and not store.rows and not store.timers
