@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citesift.llm import bpe, common, exact_dedup, minhash, mixing, toxicity
+from citesift.llm import bpe, common, exact_dedup, minhash, mixing, simhash, toxicity
+from citesift.llm.components import components
 
 
 #: The column that numbers the rows of a table, and others that the stages add and drop again. A table that brings one of the others is refused.
@@ -65,11 +66,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates, which share 0.8 or more of their five-word shingles: that
-    of the smallest id (null last), then of the least hash of the row. Texts of fewer than five words are near copies if their words are equal."""
+    """One row of each class of near-duplicates: that of the smallest id (null last), then of the least hash of the row. Two
+    rows are linked if their SimHash fingerprints differ in simhash.MAX_BITS bits or fewer, as op9 finds them, or if they share 0.8 or more of their
+    five-word shingles, which fingerprints don't show. Texts of fewer than five words are near copies if their words are equal."""
     rows = _numbered(docs)
-    classes = minhash.near_duplicates(_keyed(rows), id_col=KEY)
-    return _without(rows, classes.filter("not first").select(F.col("doc_id").alias("_gone"))).select(*_columns(docs))
+    keyed = _keyed(rows)
+    found = [module.near_duplicates(keyed, id_col=KEY).filter("not first").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for module in (simhash, minhash)]
+    # Rows of one class by either way, each with the first of that class; classes of both that share a row are one.
+    linked = common.stage(found[0].unionByName(found[1]), "near-rows")
+    roots = components(linked.select(F.col("a.row").alias("u"), F.col("b.row").alias("v")))
+    keys = linked.select("a").unionByName(linked.select(F.col("b").alias("a"))).distinct()
+    classed = common.stage(keys.join(roots.hint("merge"), F.col("a.row") == F.col("node")).select("a", "root"), "near-classes")
+    least = classed.groupBy("root").agg(F.min("a").alias("first"))
+    gone = classed.join(least.hint("merge"), "root").filter(F.col("a.row") != F.col("first.row"))
+    return _without(rows, gone.select(F.col("a").alias("_gone"))).select(*_columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,7 +98,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("minhash_near_dedup", drop_near_copies), ("mix_sources", mix), ("byte_bpe", encode),
+    ("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash_near_dedup", drop_near_copies), ("mix_sources", mix), ("byte_bpe", encode),
 ]
 #: The classifier and the shingle sets can't be expressed in SQL; tests hold run() against brute force.
 ORACLE_SQL = None

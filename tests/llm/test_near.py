@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from citesift.llm import bpe, common, exact_dedup, minhash, mixing
+from citesift.llm import bpe, common, exact_dedup, minhash, mixing, simhash
 
 
 def shingles(t, k=5):
@@ -78,6 +78,27 @@ def test_stage_drops_edited_copies(spark, sf_dir):
     assert got == Counter(set(classes(texts)))
 
 
+def test_stage_drops_what_fingerprints_link(spark, sf_dir):
+    """a and b differ in two bits at most and share less than 0.8 of their shingles; c shares more with b alone."""
+    rnd = random.Random(21)
+    alike = lambda x, y: len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+    far = lambda x, y: (simhash.fingerprint(x.encode()) ^ simhash.fingerprint(y.encode())).bit_count()
+    a = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+
+    def changed(t, n):
+        t = list(t)
+        for at in rnd.sample(range(0, 200, 10), n):
+            t[at] = f"new{rnd.randrange(10**6)}"
+        return t
+    b = next(t for t in (changed(a, 5) for _ in range(20_000)) if far(" ".join(a), " ".join(t)) <= simhash.MAX_BITS)
+    c = next(t for t in (changed(b, 3) for _ in range(20_000)) if alike(" ".join(b), " ".join(t)) >= 0.8 and far(" ".join(b), " ".join(t)) > simhash.MAX_BITS and far(" ".join(a), " ".join(t)) > simhash.MAX_BITS)
+    a, b, c = map(" ".join, (a, b, c))
+    assert alike(a, b) < 0.8 and alike(a, c) < 0.8
+    for texts in ([a, b], [a, b, c], [c, a, b]):
+        table = common.stage(spark.createDataFrame([*enumerate([*texts, "something else altogether"])], "doc_id long, text string"), "bits")
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, sf_dir).collect()) == [0, len(texts)]
+
+
 @pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix])
 def test_stages_hold_when_scans_are_cut_anew(spark, sf_dir, monkeypatch, stage):
     """The splits of a written table change between two plans of a stage, as when an executor is lost or added."""
