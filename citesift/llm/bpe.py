@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, text_bytes
 
 #: Transitions and words held in memory before they are built anew.
-MAX_TRANSITIONS, MAX_WORDS = 600_000, 300_000
+MAX_TRANSITIONS, MAX_WORDS = 400_000, 80_000
 #: Places of a piece that wait at most, before the sure tokens are emitted; well above the longest token.
 MAX_HELD = 4096
 _NEVER = 1 << 60
@@ -344,6 +344,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     key = zlib.crc32(repr(sorted(ranks.value.items())).encode())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what an earlier step's batches left in this worker
         encoder = _encoder(ranks.value, key, pattern)
         tokens, names = encoder.transducer.tokens, {rank: str(rank) for rank in ranks.value.values()}
         for batch in batches_of(it, "_text", 4 << 20):
