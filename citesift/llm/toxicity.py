@@ -1,7 +1,8 @@
-"""Toxicity: a convolutional classifier over hashed word embeddings, trained in numpy."""
+"""Toxicity: a convolutional classifier over hashed word embeddings, trained in numpy by tasks whose weights are averaged."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,22 +11,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, byte_views, text_bytes, word_hashes
+from .common import batches_of, byte_views, discard, stage, text_bytes, word_hashes
 
 #: Embedding slots (as bits of the hash), size of an embedding, widths of the filters and filters of each width.
 SLOT_BITS, DIM, WIDTHS, FILTERS = 22, 8, (1, 2, 3), 8
 #: A word is the sum of its own embedding and those of its first bytes, so that unseen forms of a stem are known.
 PREFIXES = (4, 6)
-#: Bounds of the training sample: documents of each label, and words of a document. A longer one is represented by runs of
-#: RUN words spread evenly over its whole length.
-SAMPLE_ROWS, SAMPLE_WORDS, RUN = 6000, 5000, 500
+#: What one training task holds, about: documents, and bytes of their texts. More of them are more tasks.
+TASK_DOCS, TASK_BYTES = 4000, 16 << 20
 #: Slots that fewer training documents have stay neutral.
 MIN_DOCS = 4
-#: Passes over the sample, as many as make STEPS steps of BATCH documents, EPOCHS at least.
-EPOCHS, STEPS, BATCH, RATE, SEED = 6, 800, 64, 0.05, 11
+#: Passes over all documents, as many as make STEPS steps of BATCH documents in all tasks, EPOCHS at least; the tasks' weights are averaged ROUNDS times.
+EPOCHS, STEPS, BATCH, RATE, SEED, ROUNDS = 6, 800, 64, 0.05, 11, 6
 #: Share of a language's clean calibration documents that may lie above its threshold.
 FALSE_SHARE = 0.002
 MIN_CLEAN = 20
+#: Steps of a threshold for one unit of the score's log odds.
+FINE = 256
 _PAD = max(WIDTHS) - 1
 
 
@@ -40,6 +42,10 @@ class ToxicityModel:
     out: np.ndarray
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
+    # Sums of squared gradients: of the embeddings, the filters, biases and output weights, and the output's bias.
+    emb_g: np.ndarray | None = None
+    sums: list[np.ndarray] = field(default_factory=list)
+    bias_g: float = 1e-6
 
 
 def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +93,9 @@ def scores(model: ToxicityModel, words: np.ndarray, offsets: np.ndarray) -> np.n
     return 1 / (1 + np.exp(-(h @ model.out + model.out_bias).astype(np.float64)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> ToxicityModel:
-    """Fit the classifier to slot arrays by AdaGrad on the weighted log loss. Each pooled maximum passes its gradient to its window."""
+def untrained(used: np.ndarray) -> ToxicityModel:
+    """Random weights, with an embedding for each slot of used."""
     rng = np.random.default_rng(SEED)
-    seen = np.zeros(1 << SLOT_BITS, np.int32)
-    for t in texts:
-        seen[np.unique(t)] += 1
-    used = np.flatnonzero(seen >= MIN_DOCS)
     rows = np.zeros(1 << SLOT_BITS, np.int32)
     rows[used] = np.arange(1, len(used) + 1)
     model = ToxicityModel(
@@ -102,16 +104,21 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> T
         rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0,
     )
     model.emb[0] = 0
-    if not texts:
-        return model
-    emb_g = np.full(len(model.emb), 1e-6, np.float32)
+    model.emb_g = np.full(len(model.emb), 1e-6, np.float32)
+    model.sums = [np.full_like(p, 1e-6) for p in (*model.filters, *model.biases, model.out)]
+    return model
+
+
+def train(model: ToxicityModel, texts: list[np.ndarray], labels: np.ndarray, epochs: range, of: int, seed: int) -> np.ndarray:
+    """Some of all the epochs over slot arrays, in place, by AdaGrad on the log loss. Each pooled maximum passes its gradient to
+    its window. Returns the embeddings that changed."""
+    rng = np.random.default_rng((SEED, seed))
+    touched = np.zeros(len(model.emb), bool)
+    emb_g, sums, bias_g = model.emb_g, model.sums, model.bias_g
     params = [*model.filters, *model.biases, model.out]
-    sums = [np.full_like(p, 1e-6) for p in params]
-    bias_g = 1e-6
-    epochs = max(EPOCHS, -(-STEPS * BATCH // len(texts)))
-    for epoch in range(epochs):
+    for epoch in epochs:
         order = rng.permutation(len(texts))
-        rate = RATE * (1 - epoch / epochs)
+        rate = RATE * (1 - epoch / of)
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
             offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in pick])])
@@ -124,9 +131,9 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> T
                 best.append(arg)
                 pooled.append(z[arg, np.arange(FILTERS)])
             h = np.maximum(np.concatenate(pooled, axis=1), 0)
-            y, w = labels[pick], weights[pick]
+            y = labels[pick]
             p = 1 / (1 + np.exp(-(h @ model.out + model.out_bias)))
-            d = ((p - y) * w / w.sum()).astype(np.float32)
+            d = ((p - y) / len(pick)).astype(np.float32)
             grads_out, gb = h.T @ d, float(d.sum())
             dh = d[:, None] * model.out * (h > 0)
             grads_f, grads_b, hit, hit_g = [], [], [], []
@@ -154,72 +161,134 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> T
             emb_g[uniq] += (grad * grad).sum(axis=1)
             model.emb[uniq] -= rate * grad / np.sqrt(emb_g[uniq])[:, None]
             model.emb[0] = 0
-    return model
+            touched[uniq] = True
+    model.bias_g = float(bias_g)
+    touched[0] = False
+    return np.flatnonzero(touched)
+
+
+def calibrate(clean: dict[str, dict[int, int]]) -> dict[str, float]:
+    """For each language the lowest threshold, 0.5 at least, at or above which no more than FALSE_SHARE of clean documents lie.
+    Languages with fewer than MIN_CLEAN of them take the threshold of all together. clean: for each language the number of documents by the
+    log odds of their scores, in FINE steps for a unit."""
+    def at(counts: dict[int, int]) -> float:
+        left, limit = FALSE_SHARE * sum(counts.values()), 0
+        for odds in sorted((x for x in counts if x >= 0), reverse=True):
+            left -= counts[odds]
+            if left < 0:
+                limit = odds + 1
+                break
+        return 1 / (1 + float(np.exp(-limit / FINE)))
+
+    pooled: dict[int, int] = {}
+    for counts in clean.values():
+        for odds, n in counts.items():
+            pooled[odds] = pooled.get(odds, 0) + n
+    return {x: at(counts if sum(counts.values()) >= MIN_CLEAN else pooled) for x, counts in clean.items()}
+
+
+def _used_slots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts have each slot."""
+    seen = np.zeros(1 << SLOT_BITS, np.int32)
+    for batch in batches_of(it, "_text", 2 << 20):
+        words, offs = slots(*byte_views(batch.column("_text")))
+        for a, b in zip(offs, offs[1:]):
+            seen[np.unique(words[a:b])] += 1
+    held = np.flatnonzero(seen)
+    for at in range(0, len(held), 100_000):
+        part = held[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part].astype(np.int64))], names=["slot", "n"])
 
 
-def calibrate(score: np.ndarray, toxic: np.ndarray, lang: list[str | None]) -> dict[str, float]:
-    """For each language the lowest threshold, 0.5 at least, above which no more than FALSE_SHARE of clean documents lie.
-    Languages with fewer than MIN_CLEAN of them take the threshold of all together."""
-    langs = np.array([x or "" for x in lang], dtype=object)
-    at = lambda clean: max(0.5, float(np.quantile(clean, 1 - FALSE_SHARE))) if len(clean) else 0.5
-    pooled = at(score[~toxic])
-    found = {}
-    for x in sorted(set(langs)):
-        clean = score[(langs == x) & ~toxic]
-        found[x] = at(clean) if len(clean) >= MIN_CLEAN else pooled
-    return found
+def _flat(model: ToxicityModel) -> np.ndarray:
+    """Weights other than embeddings, and their sums, as one array."""
+    return np.concatenate([np.ravel(x) for x in (*model.filters, *model.biases, model.out, *model.sums, model.out_bias, model.bias_g)]).astype(np.float64)
 
 
-def spread(words: np.ndarray) -> np.ndarray:
-    """At most SAMPLE_WORDS words, in runs from all over the text."""
-    if len(words) <= SAMPLE_WORDS:
-        return words
-    starts = np.linspace(0, len(words) - RUN, SAMPLE_WORDS // RUN).astype(int)
-    return np.concatenate([words[a : a + RUN] for a in starts])
+def _unflatten(model: ToxicityModel, flat: np.ndarray) -> None:
+    at = 0
+    for x in (*model.filters, *model.biases, model.out, *model.sums):
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    model.out_bias, model.bias_g = map(float, flat[at:])
 
 
-def _sampled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches_of(it, "_text", 2 << 20):
-        words, offs = slots(*byte_views(batch.column("_text")))
-        parts = [spread(words[a:b]).ravel() for a, b in zip(offs, offs[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), batch.column("h"), pa.array(parts, pa.list_(pa.int32()))], names=["toxic", "lang", "h", "words"])
+_CHANGED = [f"e{k}" for k in range(DIM)] + ["g"]
+
+
+def _trainer(sent, epochs: range, of: int, tasks: int):
+    """For mapInArrow: trains on a task's documents from the weights sent. Rows from 0: changed embeddings, with their sums; below 0: other weights, one in each."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt: dict[int, tuple[list, list]] = {}
+        for batch in batches_of(it, "_text", 2 << 20):
+            words, offs = slots(*byte_views(batch.column("_text")))
+            for task, toxic, a, b in zip(batch.column("task").to_pylist(), batch.column("toxic").to_pylist(), offs, offs[1:]):
+                texts, labels = dealt.setdefault(task, ([], []))
+                texts.append(words[a:b])
+                labels.append(toxic)
+        for task, (texts, labels) in dealt.items():
+            model = pickle.loads(pickle.dumps(sent.value))
+            changed = train(model, texts, np.array(labels, np.float32), epochs, of, task * of + epochs.start)
+            flat = _flat(model)
+            values = np.zeros((len(changed) + len(flat), DIM + 1))
+            values[: len(changed), :DIM], values[: len(changed), DIM], values[len(changed) :, 0] = model.emb[changed], model.emb_g[changed], flat
+            row = np.concatenate([changed, -1 - np.arange(len(flat))])
+            for at in range(0, len(row), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(row[part]), *(pa.array(np.ascontiguousarray(values[part, k])) for k in range(DIM + 1))], names=["row", *_CHANGED])
+    return run
+
+
+def _odds(sent):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(it, "_text", 2 << 20):
+            s = np.clip(scores(sent.value, *slots(*byte_views(batch.column("_text")))), 1e-15, 1 - 1e-15)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(np.floor(np.log(s / (1 - s)) * FINE).astype(np.int64))], names=["lang", "odds"])
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ToxicityModel:
-    """Learn from labelled documents where use holds.
+    """Learn from all labelled documents where use holds, and their whole texts.
 
-    At most about SAMPLE_ROWS documents of each label are taken, by a hash of the id; weights restore the share of the
-    labels. A fifth of them sets the thresholds. Where an id has several labels, toxic wins; null labels don't count.
+    By a hash of the id a fifth of them sets the thresholds, and the others are dealt to tasks of about TASK_DOCS documents. Each task trains on its own from the same
+    weights; the weights are averaged, an embedding's over the tasks that changed it, and sent out again, ROUNDS times. The driver gets
+    weights and counts only. Where an id has several labels, toxic wins; null labels don't count.
     Without labelled documents every score is that of the untrained weights with thresholds of 0.5.
     """
-    hashed = F.xxhash64(F.lit(SEED), F.col("id").cast("string"))
+    spark = docs.sparkSession
     tagged = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    tagged = tagged.withColumn("h", hashed)
-    share = {r.toxic: r.n for r in tagged.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    part = {k: min(1.0, SAMPLE_ROWS / n) for k, n in share.items()}
-    unit = (F.col("h").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30)))
-    cond = F.lit(False)
-    for k, p in part.items():
-        cond = cond | ((F.col("toxic") == k) & (unit < p))
-    # The sample is bounded by SAMPLE_ROWS ids of each label.
-    picked = F.broadcast(tagged.filter(cond))
-    base = docs.filter(use).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_bytes(text_col).alias("_text"))
-    rows = base.join(picked, "id").select("toxic", "lang", "h", "_text").mapInArrow(_sampled, "toxic int, lang string, h long, words array<int>")
-    got = rows.toArrow().combine_chunks()
-    column = got["words"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat, cuts = column.values.to_numpy().reshape(-1, 1 + len(PREFIXES)), column.offsets.to_numpy() // (1 + len(PREFIXES))
-    hashes, langs, labelled = got["h"].to_numpy(), got["lang"].to_pylist(), got["toxic"].to_numpy()
-    order = np.lexsort((np.diff(cuts), hashes))
-    texts = [flat[cuts[i] : cuts[i + 1]] for i in order]
-    toxic, langs = labelled[order] > 0, [langs[i] for i in order]
-    kept = (hashes[order] >> 40 & 1023) >= 205
-    weights = np.array([1 / part[int(x)] for x in labelled[order]])
-    model = train([t for t, k in zip(texts, kept) if k], toxic[kept].astype(np.float32), weights[kept])
-    if not kept.all():
-        held = [t for t, k in zip(texts, kept) if not k]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in held])])
-        score = scores(model, np.concatenate(held), offsets)
-        model.thresholds = calibrate(score, toxic[~kept], [x for x, k in zip(langs, kept) if not k])
+    base = docs.filter(use).select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_bytes(text_col).alias("_text"))
+    hashed = F.xxhash64(F.lit(SEED), F.col("id").cast("string"), "_text")
+    rows = stage(base.join(tagged, "id").select(F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "lang", hashed.alias("h"), "_text"), "labelled")
+    kept = F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(1023)) >= 205
+    learnt, held = rows.filter(kept), rows.filter(~kept)
+    n, size = learnt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    used = learnt.select("_text").mapInArrow(_used_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS).select("slot").toArrow()
+    model = untrained(np.sort(used.column("slot").to_numpy()))
+    tasks = max(1, -(-n // TASK_DOCS), -(-size // TASK_BYTES))
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(n, 1))) if n else 0
+    dealt = learnt.select("toxic", "_text", F.pmod("h", F.lit(tasks)).cast("int").alias("task")).repartitionById(tasks, F.col("task")).sortWithinPartitions("task", F.xxhash64("_text"), "toxic")
+    for k in range(ROUNDS if n else 0):
+        part = range(epochs * k // ROUNDS, epochs * (k + 1) // ROUNDS)
+        sent = spark.sparkContext.broadcast(model)
+        found = dealt.mapInArrow(_trainer(sent, part, epochs, tasks), f"row long, {', '.join(f'{c} double' for c in _CHANGED)}")
+        got = found.groupBy("row").agg(*(F.avg(c).alias(c) for c in _CHANGED)).toArrow()
+        row, values = got.column("row").to_numpy(), np.stack([got.column(c).to_numpy() for c in _CHANGED], axis=1)
+        model = pickle.loads(pickle.dumps(model))
+        emb = row >= 0
+        model.emb[row[emb]], model.emb_g[row[emb]] = values[emb, :DIM], values[emb, DIM]
+        order = np.argsort(-row[~emb])
+        _unflatten(model, values[~emb][order, 0])
+        sent.unpersist()
+    model.emb_g, model.sums = None, []
+    sent = spark.sparkContext.broadcast(model)
+    clean: dict[str, dict[int, int]] = {}
+    for r in held.filter("toxic = 0").select("lang", "_text").mapInArrow(_odds(sent), "lang string, odds long").groupBy("lang", "odds").agg(F.count(F.lit(1)).alias("n")).collect():
+        clean.setdefault(r.lang, {})[r.odds] = r.n
+    sent.unpersist()
+    discard(rows)
+    if clean and n:
+        model.thresholds = calibrate(clean)
     return model
 
 

@@ -58,6 +58,17 @@ def test_toxicity_learns_and_leaves_clean_alone(spark, docs):
     assert set(odd.columns) == {*docs.columns, "_score", "_rejected"}
 
 
+def test_toxicity_learns_from_all_tasks_and_whole_texts(spark, monkeypatch):
+    """Words in the middle of texts of 40 000 are learnt, and the documents are dealt to several tasks."""
+    texts, labels = _toxic_docs(spark)
+    monkeypatch.setattr(toxicity, "TASK_DOCS", 200, raising=False)
+    monkeypatch.setattr(toxicity, "STEPS", 200)
+    long = texts.withColumn("text", F.when(F.col("doc_id") % 30 == 0, F.concat("text", F.lit(" "), F.repeat(F.lit("abc "), 20_000), F.expr("array_join(transform(sequence(1, 400), i -> concat('late', i)), ' ')"), F.repeat(F.lit(" abc"), 20_000))).otherwise(F.col("text")))
+    model = toxicity.fit(long, labels, common.crc_bucket() != 0)
+    words, _ = toxicity.slots(np.frombuffer(b" ".join(b"late%d" % i for i in range(1, 401)), np.uint8), np.array([0, sum(len(b"late%d " % i) for i in range(1, 401)) - 1]))
+    assert (model.rows[words] > 0).all()
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, common.crc_bucket() != 0)
