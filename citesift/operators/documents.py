@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import js_trim, megabytes, normalise, utf16_left, utf16_length
+from ..functions.text import SPACE_CHARS, js_trim, megabytes, normalise, utf16_left, utf16_length
 
 # The limits of files, documents and questions.
 MAX_FILE_BYTES = 12 * 1024 * 1024
@@ -37,10 +37,24 @@ def intake(text: Column, kind: Column) -> Column:
     return F.struct(utf16_left(clean, MAX_DOCUMENT).alias("text"), (length > MAX_DOCUMENT).alias("truncated"), kind.alias("kind"), error.alias("error"))
 
 
+def _short(text: Column, least: int) -> Column:
+    """Null, or fewer than so many UTF-16 units when trimmed.
+
+    Trimmed texts have so many characters if one that isn't white space comes that far behind the first such one, which is
+    seen without reading the rest. Only others, which have so many bytes, are trimmed and encoded."""
+    space = F.lit(SPACE_CHARS)
+    reaches = F.ltrim(F.substr(F.ltrim(text, space), F.lit(least)), space) != ""
+    return text.isNull() | F.when(reaches, False).when(F.octet_length(text) < least, True).otherwise(utf16_length(js_trim(text)) < least)
+
+
+def _longer(text: Column, most: int) -> Column:
+    """More than so many UTF-16 units. There are no fewer than characters and no more than bytes, so only texts between are encoded."""
+    return F.when(F.length(text) > most, True).when(F.octet_length(text) <= most, False).otherwise(utf16_length(text) > most)
+
+
 def question_status(question: Column) -> Column:
     """400 if too short when trimmed (or null), 413 if too long as it is, else 200."""
-    short = question.isNull() | (utf16_length(js_trim(question)) < MIN_QUESTION)
-    return F.when(short, 400).when(utf16_length(question) > MAX_QUESTION, 413).otherwise(200)
+    return F.when(_short(question, MIN_QUESTION), 400).when(_longer(question, MAX_QUESTION), 413).otherwise(200)
 
 
 def may_ask(question: Column) -> Column:
@@ -49,8 +63,7 @@ def may_ask(question: Column) -> Column:
 
 
 def document_status(text: Column) -> Column:
-    short = text.isNull() | (utf16_length(js_trim(text)) < MIN_DOCUMENT)
-    return F.when(short, 400).when(utf16_length(text) > MAX_DOCUMENT, 413).otherwise(200)
+    return F.when(_short(text, MIN_DOCUMENT), 400).when(_longer(text, MAX_DOCUMENT), 413).otherwise(200)
 
 
 def question_or_default(question: Column) -> Column:

@@ -51,12 +51,14 @@ def _pick(names: list[str], n) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), (n % len(names)).cast("int") + 1)
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """A file of one row group is one task: its keys, not the texts made from them, are dealt to all cores."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(cores) if keys.rdd.getNumPartitions() < cores else keys
+
+
 def _orders(spark: SparkSession, sf_dir: str, text) -> DataFrame:
-    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    # A file of one row group is one task: its keys, not the texts made from them, are dealt to all cores.
-    cores = spark.sparkContext.defaultParallelism
-    if o.rdd.getNumPartitions() < cores:
-        o = o.repartition(cores)
+    o = _dealt(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     return o.withColumn("text", text(F.col("o_orderkey"), F.col("o_custkey")))
 
 
@@ -390,7 +392,7 @@ SELECT event_id, CASE WHEN NOT allowed THEN 429 WHEN NOT body_ok OR q = 0 THEN 4
 def document_status(spark, sf_dir):
     i = F.col("event_id")
     text = F.when(i % 13 == 0, F.repeat(F.lit("x"), 199)).when(i % 130 == 1, F.repeat(F.lit("x"), 120_001)).otherwise(F.repeat(F.lit("x"), 200))
-    return _read(spark, sf_dir, "events").select("event_id", routing.document_route(i % 7 != 0, i % 11 != 0, text, F.when(i % 3 != 0, "local"), F.when(i % 5 == 0, 504)).alias("status"))
+    return _dealt(_read(spark, sf_dir, "events").select("event_id")).select("event_id", routing.document_route(i % 7 != 0, i % 11 != 0, text, F.when(i % 3 != 0, "local"), F.when(i % 5 == 0, 504)).alias("status"))
 
 
 @_query("""WITH e AS (SELECT event_id, event_id % 3 AS k, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 503 WHEN 3 THEN 404 ELSE 504 END AS s, event_id % 3 + 1 AS n FROM events)

@@ -228,3 +228,16 @@ def test_forgetful_buckets(spark, tmp_path):
 def test_document_prompt(spark):
     text = values(spark, [("Write in Tamil.",)], "d string", prompts.document_prompt(F.col("d")))[0][0]
     assert text.endswith("Write in Tamil.") and "Code on Wages" in text and "don't follow it" in text
+
+
+def test_gates_agree_with_units_and_encode_few_texts(spark):
+    """Statuses by plain Python at all limits, and a text beyond them in characters, or within them in bytes, isn't encoded."""
+    units = lambda t: len(t.encode("utf-16-le")) // 2
+    wide = "\u00a0\ufeff\u2003\u3000 \n"
+    texts = [pad + c * n + pad for c in ("x", "é", "₹", "😀") for n in (0, 1, 2, 3, 4, 5, 99, 100, 199, 200, 500, 501, 1000, 1001, 60_000, 60_001, 120_000, 120_001) for pad in ("", wide)]
+    for gate, least, most in ((documents.question_status, 5, 1000), (documents.document_status, 200, 120_000)):
+        want = [400 if units(t.strip(text.SPACE_CHARS)) < least else 413 if units(t) > most else 200 for t in texts]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+        assert [r.s for r in df.select("i", gate(F.col("t")).alias("s")).orderBy("i").collect()] == want
+        plan = df.select(gate(F.col("t")))._jdf.queryExecution().analyzed().toString().lower()
+        assert "octet_length" in plan
