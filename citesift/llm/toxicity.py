@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ _PAD = max(WIDTHS) - 1
 class ToxicityModel:
     """Weights, and the score above which a document of a language counts as toxic."""
 
-    rows: np.ndarray  # slot to row of the embeddings; 0 is neutral
+    used: np.ndarray  # slots that have an embedding, in order: row 1 and on; row 0 is neutral
     emb: np.ndarray
     filters: list[np.ndarray]
     biases: list[np.ndarray]
@@ -47,6 +48,16 @@ class ToxicityModel:
     sums: list[np.ndarray] = field(default_factory=list)
     bias_g: float = 1e-6
 
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """Slot to row of the embeddings. Each process makes it for itself, as it is larger than most models."""
+        rows = np.zeros(1 << SLOT_BITS, np.int32)
+        rows[self.used] = np.arange(1, len(self.used) + 1)
+        return rows
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}
+
 
 def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots of every word (words x 1 + prefixes) and the word offsets of the texts."""
@@ -96,10 +107,8 @@ def scores(model: ToxicityModel, words: np.ndarray, offsets: np.ndarray) -> np.n
 def untrained(used: np.ndarray) -> ToxicityModel:
     """Random weights, with an embedding for each slot of used."""
     rng = np.random.default_rng(SEED)
-    rows = np.zeros(1 << SLOT_BITS, np.int32)
-    rows[used] = np.arange(1, len(used) + 1)
     model = ToxicityModel(
-        rows, rng.normal(0, 0.1, (len(used) + 1, DIM)).astype(np.float32),
+        used.astype(np.int32), rng.normal(0, 0.1, (len(used) + 1, DIM)).astype(np.float32),
         [rng.normal(0, 0.3, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
         rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0,
     )
@@ -259,12 +268,14 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id",
     tagged = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     base = docs.filter(use).select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_bytes(text_col).alias("_text"))
     hashed = F.xxhash64(F.lit(SEED), F.col("id").cast("string"), "_text")
-    rows = stage(base.join(tagged, "id").select(F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "lang", hashed.alias("h"), "_text"), "labelled")
+    rows = stage(base.join(tagged.hint("merge"), "id").select(F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "lang", hashed.alias("h"), "_text"), "labelled")
     kept = F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(1023)) >= 205
     learnt, held = rows.filter(kept), rows.filter(~kept)
     n, size = learnt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
-    used = learnt.select("_text").mapInArrow(_used_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS).select("slot").toArrow()
-    model = untrained(np.sort(used.column("slot").to_numpy()))
+    counted = learnt.select("_text").mapInArrow(_used_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    used = stage(counted.select(F.col("slot").cast("int")), "slots")  # written, so that shuffle files go, as those of each round do
+    model = untrained(np.sort(used.toArrow().column("slot").to_numpy()))
+    discard(used)
     tasks = max(1, -(-n // TASK_DOCS), -(-size // TASK_BYTES))
     epochs = max(EPOCHS, -(-STEPS * BATCH // max(n, 1))) if n else 0
     dealt = learnt.select("toxic", "_text", F.pmod("h", F.lit(tasks)).cast("int").alias("task")).repartitionById(tasks, F.col("task")).sortWithinPartitions("task", F.xxhash64("_text"), "toxic")
@@ -272,20 +283,23 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id",
         part = range(epochs * k // ROUNDS, epochs * (k + 1) // ROUNDS)
         sent = spark.sparkContext.broadcast(model)
         found = dealt.mapInArrow(_trainer(sent, part, epochs, tasks), f"row long, {', '.join(f'{c} double' for c in _CHANGED)}")
-        got = found.groupBy("row").agg(*(F.avg(c).alias(c) for c in _CHANGED)).toArrow()
-        row, values = got.column("row").to_numpy(), np.stack([got.column(c).to_numpy() for c in _CHANGED], axis=1)
-        model = pickle.loads(pickle.dumps(model))
-        emb = row >= 0
-        model.emb[row[emb]], model.emb_g[row[emb]] = values[emb, :DIM], values[emb, DIM]
-        order = np.argsort(-row[~emb])
-        _unflatten(model, values[~emb][order, 0])
-        sent.unpersist()
+        mean = stage(found.groupBy("row").agg(*(F.avg(c).alias(c) for c in _CHANGED)), "weights")
+        got = mean.filter("row >= 0").select(F.col("row").cast("int"), *(F.col(c).cast("float") for c in _CHANGED)).toArrow()
+        row = got.column("row").to_numpy()
+        for j, c in enumerate(_CHANGED[:DIM]):
+            model.emb[row, j] = got.column(c).to_numpy()
+        model.emb_g[row] = got.column(_CHANGED[DIM]).to_numpy()
+        other = mean.filter("row < 0").select("row", _CHANGED[0]).toArrow()
+        _unflatten(model, other.column(_CHANGED[0]).to_numpy()[np.argsort(-other.column("row").to_numpy())])
+        del got, other
+        sent.destroy()
+        discard(mean)
     model.emb_g, model.sums = None, []
     sent = spark.sparkContext.broadcast(model)
     clean: dict[str, dict[int, int]] = {}
     for r in held.filter("toxic = 0").select("lang", "_text").mapInArrow(_odds(sent), "lang string, odds long").groupBy("lang", "odds").agg(F.count(F.lit(1)).alias("n")).collect():
         clean.setdefault(r.lang, {})[r.odds] = r.n
-    sent.unpersist()
+    sent.destroy()
     discard(rows)
     if clean and n:
         model.thresholds = calibrate(clean)

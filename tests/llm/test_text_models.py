@@ -1,10 +1,12 @@
 """Classifiers, language models, quality rules, mixing, BPE and WARC."""
 
 import math
+import pickle
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -69,6 +71,22 @@ def test_toxicity_learns_from_all_tasks_and_whole_texts(spark, monkeypatch):
     assert (model.rows[words] > 0).all()
 
 
+def test_toxicity_leaves_no_shuffle_files_and_sends_small_models(spark, monkeypatch):
+    """Each round's shuffle files go when its weights are written, and a model is sent without its table of slots."""
+    assert len(pickle.dumps(toxicity.untrained(np.arange(10)))) < 1 << 20
+
+    def held() -> int:
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return sum(f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data"))
+
+    texts, labels = _toxic_docs(spark)
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    size = texts.agg(F.sum(F.length("text"))).first()[0]
+    before = held()
+    model = toxicity.fit(texts, labels, common.crc_bucket() != 0)
+    assert len(model.used) and held() - before < size
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, common.crc_bucket() != 0)
