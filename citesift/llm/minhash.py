@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, byte_views, discard, mix, stage, text_bytes, word_hashes
 from .components import components
+from .simhash import by_least
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.9996 at 0.8.
@@ -193,11 +194,8 @@ def links(fps: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Classes of documents whose shingle sets have a Jaccard similarity of similarity or more, directly or through others.
-
-    Returns for each input row: doc_id, component_id (smallest id of the class, itself included), first (this row's id is
-    that). Null and wordless texts are one class. Sets are of 64-bit hashes; equal ones are searched once."""
+def _searched(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, fp), the distinct sets (fp, least id) and the links between these."""
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_text"))
     rows = stage(slim.mapInArrow(_sketcher(shingle_words), f"doc_id {kind}, fp long, size long, bands array<long>"), "sketches")
@@ -208,10 +206,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = slim.withColumn("_at", F.xxhash64("doc_id")).join(ids.hint("merge"), "_at", "left_semi").select("_text")
         return texts.mapInArrow(_setter(shingle_words), "fp long, set array<long>").join(wanted.hint("merge"), "fp", "left_semi").dropDuplicates(["fp"])
 
-    roots = components(links(fps.select("fp", "size", "bands"), sets_of, similarity))
+    return rows.select("doc_id", "fp"), fps, links(fps.select("fp", "size", "bands"), sets_of, similarity)
+
+
+def id_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (u, v) of ids whose components are the classes of near_duplicates, as simhash.id_links gives them."""
+    rows, fps, linked = _searched(docs, id_col, text_col, shingle_words, similarity)
+    copies = rows.join(fps.select("fp", "least").hint("merge"), "fp").filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    return copies.unionByName(by_least(linked, fps))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Classes of documents whose shingle sets have a Jaccard similarity of similarity or more, directly or through others.
+
+    Returns for each input row: doc_id, component_id (smallest id of the class, itself included), first (this row's id is
+    that). Null and wordless texts are one class. Sets are of 64-bit hashes; equal ones are searched once."""
+    rows, fps, linked = _searched(docs, id_col, text_col, shingle_words, similarity)
+    roots = components(linked)
     classed = stage(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
     discard(fps)
     ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classed.join(ids.hint("merge"), "root").select("fp", "component_id")
-    out = rows.select("doc_id", "fp").join(by_fp.hint("merge"), "fp")
+    out = rows.join(by_fp.hint("merge"), "fp")
     return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))

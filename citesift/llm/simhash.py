@@ -85,6 +85,22 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def id_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (u, v) of ids whose components are the classes of near_duplicates, for callers that join further links to them: each row
+    with the least id of its fingerprint, and the least ids of fingerprints that link. A row alone has no pair. Null ids aren't served."""
+    rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
+    copies = rows.join(fps.hint("merge"), "fp").filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    return copies.unionByName(by_least(links(fps.select("fp")), fps))
+
+
+def by_least(linked: DataFrame, fps: DataFrame) -> DataFrame:
+    """The links u, v of fingerprints as links of their least ids."""
+    for x in "uv":
+        linked = linked.join(fps.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_id")).hint("merge"), x)
+    return linked.select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose SimHash fingerprints link at MAX_BITS or fewer, directly or through others.
 

@@ -71,11 +71,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     five-word shingles, which fingerprints don't show. Texts of fewer than five words are near copies if their words are equal."""
     rows = _numbered(docs)
     keyed = _keyed(rows)
-    found = [module.near_duplicates(keyed, id_col=KEY).filter("not first").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for module in (simhash, minhash)]
-    # Rows of one class by either way, each with the first of that class; classes of both that share a row are one.
-    linked = common.stage(found[0].unionByName(found[1]), "near-rows")
-    roots = components(linked.select(F.col("a.row").alias("u"), F.col("b.row").alias("v")))
-    keys = linked.select("a").unionByName(linked.select(F.col("b").alias("a"))).distinct()
+    # Links of either way are searched for components once, so classes of both that share a row are one.
+    linked = common.stage(simhash.id_links(keyed, id_col=KEY).unionByName(minhash.id_links(keyed, id_col=KEY)), "near-rows")
+    roots = components(linked.select(F.col("u.row").alias("u"), F.col("v.row").alias("v")))
+    keys = linked.select(F.col("u").alias("a")).unionByName(linked.select(F.col("v").alias("a"))).distinct()
     classed = common.stage(keys.join(roots.hint("merge"), F.col("a.row") == F.col("node")).select("a", "root"), "near-classes")
     least = classed.groupBy("root").agg(F.min("a").alias("first"))
     gone = classed.join(least.hint("merge"), "root").filter(F.col("a.row") != F.col("first.row"))

@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from citesift.llm import bpe, common, exact_dedup, minhash, mixing, simhash
+from citesift.llm import bpe, common, components, exact_dedup, minhash, mixing, simhash
 
 
 def shingles(t, k=5):
@@ -156,3 +156,15 @@ def test_stages_after_the_classifier_equal_brute_force(spark, sf_dir):
                 taken += copies * words[i]
         assert abs(taken - target) < max(words.values())
     assert not got
+
+
+def test_stage_searches_components_once(spark, sf_dir, monkeypatch):
+    """The links of both ways are one table for the components; minhash searches its stars' besides."""
+    runs = []
+    counted = lambda links: runs.append(1) or components.components(links)
+    for module in (corpus_pipeline, simhash, minhash):
+        monkeypatch.setattr(module, "components", counted)
+    texts = edited(random.Random(12))[:40]
+    table = common.stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "edited")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, sf_dir).collect())
+    assert got == sorted(set(classes(texts))) and len(runs) <= 2
