@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from citesift.functions import text
-from citesift.operators import citations, documents, limiter, prompts, routing, scenario, search, sse
+from citesift.operators import checks, citations, documents, limiter, prompts, routing, scenario, search, sse
 from citesift.sources import files
 from citesift.streaming.state import finished_stream, idle_timeout_stream, lines_stream, rate_limit_stream, strip_reasoning_stream, strip_step, write_answers
 
@@ -241,3 +241,17 @@ def test_gates_agree_with_units_and_encode_few_texts(spark):
         assert [r.s for r in df.select("i", gate(F.col("t")).alias("s")).orderBy("i").collect()] == want
         plan = df.select(gate(F.col("t")))._jdf.queryExecution().analyzed().toString().lower()
         assert "octet_length" in plan
+
+
+def test_keys_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    """More keys are more tasks, with the same counts for a key of very many rows, nulls and strings."""
+    monkeypatch.setattr(checks, "TASK_BYTES", 20_000)
+    keys = [(i % 700 if i > 900 else 5, None if i % 97 == 0 else f"k{i % 3}") for i in range(2000)]
+    rows = spark.createDataFrame(keys, "a long, b string")
+    got = checks.repeated_keys(rows, "a", "b")
+    counts = {k: keys.count(k) for k in set(keys)}
+    assert {(r.a, r.b): r.rows for r in got.collect()} == {k: n for k, n in counts.items() if n > 1 or k[1] is None}
+    assert got.rdd.getNumPartitions() >= 13
+    lost = checks.missing_parents(rows, spark.range(6, 690), "a", "id")
+    asked = [a for a, _ in keys if not 6 <= a < 690]
+    assert {r.a: r.rows for r in lost.collect()} == {a: asked.count(a) for a in set(asked)}
