@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, text_bytes
+from .common import batches_of, text_bytes, worker_cache
 
 #: Transitions and words held in memory before they are built anew.
 MAX_TRANSITIONS, MAX_WORDS = 400_000, 80_000
@@ -288,7 +288,7 @@ def decode_stream(ids: Iterable[int], tokens: dict[int, bytes], step: int = 4096
     yield stream.close()
 
 
-_ENCODERS: dict[tuple[int, int, str], Encoder] = {}
+_ENCODERS: dict[tuple[int, int, str], Encoder] = worker_cache("bpe")
 
 
 def _encoder(ranks: dict[bytes, int], key: int, pattern: str) -> Encoder:
@@ -312,7 +312,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, key, pattern)
-        for batch in batches_of(it, "_text", 4 << 20):
+        for batch in batches_of(it, "_text", 1 << 20, "bpe"):
             ids = [encoder.encode(t.decode("utf-8", "replace")) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -338,16 +338,15 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     The ids digest is that of decimal ids joined by commas; the decoded digest that of the bytes, which equal the
     text's. Null texts count as empty: no tokens, digests of nothing. Repeated rows give repeated rows, an empty table
-    none. Texts are taken whole, however long; a batch holds about 4 MB of them or a single longer one. Only the id and
+    none. Texts are taken whole, however long; a batch holds about 1 MB of them or a single longer one. Only the id and
     text columns are read, so further columns may have any name."""
     ranks = _ranks_column(docs.sparkSession, path)
     key = zlib.crc32(repr(sorted(ranks.value.items())).encode())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what an earlier step's batches left in this worker
         encoder = _encoder(ranks.value, key, pattern)
         tokens, names = encoder.transducer.tokens, {rank: str(rank) for rank in ranks.value.values()}
-        for batch in batches_of(it, "_text", 4 << 20):
+        for batch in batches_of(it, "_text", 1 << 20, "bpe"):
             n, a, b = [], [], []
             for data in batch.column("_text").to_pylist():
                 ids = encoder.encode(data.decode("utf-8", "replace"))

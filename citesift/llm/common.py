@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes after which a batch for Python ends in steps that gain nothing from larger ones, as Spark and the worker each hold a batch whole.
+SMALL_BATCH = 2 << 20
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
@@ -37,17 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def small_batches(spark: SparkSession):
+    """Batches for Python of SMALL_BATCH bytes in what is run inside."""
+    return _setting(spark, _BATCH_BYTES, str(SMALL_BATCH))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage at a table that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # Shuffle files go as soon as the table is written: nothing reads them again.
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
@@ -168,8 +185,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]
     return mix(hashes), np.searchsorted(starts, offsets), *(mix(h ^ np.uint64(k % 256)) for k, h in zip(prefixes, heads))
 
 
-def batches_of(it: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts take about limit bytes at most (one row at least), so that memory stays bounded."""
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What tasks of one step keep in their Python worker for the next ones, until tasks of another step run there."""
+    return _CACHES.setdefault(name, {})
+
+
+def tidy(keep: str = "") -> None:
+    """Drop what other steps' tasks have left in this Python worker: their caches, and memory they freed that the system hasn't got back."""
+    stale = [cache for name, cache in _CACHES.items() if name != keep and cache]
+    for cache in stale:
+        cache.clear()
+    if stale:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def batches_of(it: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts take about limit bytes at most (one row at least), so that memory stays bounded.
+    keep: the name of the step's own worker_cache; others are emptied."""
+    tidy(keep)
     for batch in it:
         if batch.num_rows == 0:
             continue

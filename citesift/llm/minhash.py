@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, byte_views, discard, mix, stage, text_bytes, word_hashes
+from .common import batches_of, byte_views, discard, mix, small_batches, stage, text_bytes, word_hashes
 from .components import components
 from .simhash import by_least
 
@@ -23,6 +23,8 @@ PAIR_GROUP = 16
 SKETCH = 1 << 18
 #: Words of 64 bits that a set's shingles are folded into by parity: differing bits of two sets are no more than their differing shingles.
 FOLD_WORDS = 16
+#: Bytes of texts that are cut into shingles at once: their arrays take about 25 times as much.
+TEXT_BYTES = 512 << 10
 _EMPTY = np.uint64(0x5EED_0FAE_3E77_0001)
 _CODES = np.random.default_rng(9).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,7 +67,7 @@ def band_hashes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _sketcher(shingle_words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(it, "_text", 4 << 20):
+        for batch in batches_of(it, "_text", TEXT_BYTES):
             h, offs = shingle_sets(*byte_views(batch.column("_text")), shingle_words)
             bands = band_hashes(h, offs).view(np.int64).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(offs), dtype=np.int32) * BANDS), pa.array(bands))
@@ -75,7 +77,7 @@ def _sketcher(shingle_words: int):
 
 def _setter(shingle_words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(it, "_text", 4 << 20):
+        for batch in batches_of(it, "_text", TEXT_BYTES):
             h, offs = shingle_sets(*byte_views(batch.column("_text")), shingle_words)
             yield pa.RecordBatch.from_arrays([pa.array(set_hashes(h, offs).view(np.int64)), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(h.view(np.int64)))], names=["fp", "set"])
     return run
@@ -146,7 +148,8 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
     counts = np.zeros(SKETCH, np.int64)
     counts[often.column("bucket").to_numpy()] = often.column("n").to_numpy()
     words = [f"w{k}" for k in range(FOLD_WORDS)]
-    rare = stage(rows.mapInArrow(_prefixer(spark.sparkContext.broadcast(counts), similarity), f"fp long, size long, root long, h long, {', '.join(f'{w} long' for w in words)}"), "rare-shingles")
+    with small_batches(spark):
+        rare = stage(rows.mapInArrow(_prefixer(spark.sparkContext.broadcast(counts), similarity), f"fp long, size long, root long, h long, {', '.join(f'{w} long' for w in words)}"), "rare-shingles")
     by_root = rare.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
     main = by_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("h", "main")
     parted = stage(rare.join(main.hint("merge"), "h"), "parted-shingles")
@@ -179,7 +182,8 @@ def links(fps: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
     signed = fps.select("fp", "size", F.explode("bands").alias("sig"))
     groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stage(signed.join(groups.hint("merge"), "sig"), "bands")
-    sets = stage(sets_of(shared.select("fp").distinct()), "sets")
+    with small_batches(fps.sparkSession):
+        sets = stage(sets_of(shared.select("fp").distinct()), "sets")
     linked = stage(_verified(_stars(shared, "sig"), sets, similarity), "star-links")
     roots = components(linked)
     labelled = shared.join(roots.hint("merge"), shared.fp == roots.node, "left").select("sig", "n", "fp", "size", F.coalesce("root", "fp").alias("root"))
@@ -198,7 +202,8 @@ def _searched(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, s
     """The rows (doc_id, fp), the distinct sets (fp, least id) and the links between these."""
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_text"))
-    rows = stage(slim.mapInArrow(_sketcher(shingle_words), f"doc_id {kind}, fp long, size long, bands array<long>"), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = stage(slim.mapInArrow(_sketcher(shingle_words), f"doc_id {kind}, fp long, size long, bands array<long>"), "sketches")
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct-sets")
 
     def sets_of(wanted: DataFrame) -> DataFrame:

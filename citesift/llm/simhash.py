@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, stage, text_bytes
+from .common import batches_of, discard, small_batches, stage, text_bytes
 from .components import components
 
 #: Fingerprints link at this many differing bits or fewer; two segments then leave one with a single differing bit at most.
@@ -41,7 +41,7 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches_of(it, "_text"):
+    for batch in batches_of(it, "_text", 1 << 20):
         fp = np.array([fingerprint(t) for t in batch.column("_text").to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
@@ -88,7 +88,8 @@ def links(fps: DataFrame) -> DataFrame:
 def id_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (u, v) of ids whose components are the classes of near_duplicates, for callers that join further links to them: each row
     with the least id of its fingerprint, and the least ids of fingerprints that link. A row alone has no pair. Null ids aren't served."""
-    rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     copies = rows.join(fps.hint("merge"), "fp").filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     return copies.unionByName(by_least(links(fps.select("fp")), fps))
@@ -107,7 +108,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns for each input row: doc_id, fingerprint (16 hex digits), component_id (smallest id of the class, itself
     included; null ids are ignored unless there are no others), first (this row's id is that). Copies share a fingerprint, which is indexed once.
     """
-    rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     roots = components(links(fps.select("fp")))
     classed = stage(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")

@@ -93,7 +93,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token count and the digests of ids and decoded bytes of each document, with its source. Null counts as empty."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(docs.withColumn(KEY, F.struct("doc_id", "source")), path, public_tokenizers.PATTERN, id_col=KEY).select("doc_id.doc_id", "doc_id.source", "n_tokens", "ids_sha256", "decoded_sha256")
+    found = bpe.digests(docs.withColumn(KEY, F.struct("doc_id", "source")), path, public_tokenizers.PATTERN, id_col=KEY)
+    with common.small_batches(spark):
+        return common.stage(found.select("doc_id.doc_id", "doc_id.source", "n_tokens", "ids_sha256", "decoded_sha256"), "encoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -108,5 +110,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = common.stage(stage(spark, docs, sf_dir).drop(ROW).select("*", _row()), name)
-    name, stage = STAGES[-1]
-    return common.stage(stage(spark, docs, sf_dir), name)
+    _, stage = STAGES[-1]
+    return stage(spark, docs, sf_dir)
