@@ -8,19 +8,24 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, text_bytes, worker_cache
+from .common import batches_of, byte_views, text_bytes, worker_cache
 
 #: Transitions and words held in memory before they are built anew.
 MAX_TRANSITIONS, MAX_WORDS = 400_000, 80_000
 #: Places of a piece that wait at most, before the sure tokens are emitted; well above the longest token.
 MAX_HELD = 4096
+#: Longest piece in characters that is remembered and led through the transducer beside others; bytes of such pieces at a time.
+MAX_WORD, TOGETHER_BYTES = 64, 1 << 18
+#: Places of the array in front of the transitions' dictionary, as a power of two.
+_PLACES = 20
 _NEVER = 1 << 60
 
 
@@ -67,6 +72,9 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
+        self.lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
         # The trie of tokens: node << 8 | byte gives the next node; inner nodes have children.
         self.trie: dict[int, int] = {}
         self.ends: list[int] = [-1]
@@ -95,6 +103,9 @@ class Transducer:
         self.closed: list[int] = [-1]
         #: state << 8 | byte to the next state.
         self.delta: dict[int, int] = {}
+        #: Transitions met last, one at each place: the key, and next state << 32 | token closed there.
+        self.met = np.full(1 << _PLACES, -1, np.int64)
+        self.met_to = np.zeros(1 << _PLACES, np.int64)
 
     def _edges(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
         """Parts that stand at the token's right and at its left edge while merges rebuild it, each with the rank of
@@ -120,26 +131,31 @@ class Transducer:
         if known is None:
             if len(self.fits) > MAX_TRANSITIONS // 2:
                 self.fits.clear()
-            rank, known = self.ranks.get, True
-            for x, x_until in self._edges(a)[0]:
-                for y, y_until in self._edges(b)[1]:
-                    r = rank(x + y, _NEVER)
-                    if r < x_until and r <= y_until and r != _NEVER:
-                        known = False
-            self.fits[a << 32 | b] = known
+            known = self.fits[a << 32 | b] = self._apart(self._edges(a)[0], self._edges(b)[1])
         return known
 
+    def _apart(self, right: list[tuple[bytes, int]], left: list[tuple[bytes, int]]) -> bool:
+        rank = self.ranks.get
+        for x, x_until in right:
+            for y, y_until in left:
+                r = rank(x + y)
+                if r is not None and r < x_until and r <= y_until:
+                    return False
+        return True
+
     def _step(self, state: int, byte: int) -> int:
         moved, closed = [], -1
+        child, inner, ends = self.trie.get, self.inner, self.ends
         for hypothesis in self.states[state]:
-            to = self.trie.get(hypothesis >> 32 << 8 | byte)
+            to = child(hypothesis >> 32 << 8 | byte)
             if to is not None:
                 before = hypothesis & 0xFFFFFFFF
-                if self.inner[to]:
+                if inner[to]:
                     moved.append(to << 32 | before)
-                end = self.ends[to]
-                if end >= 0 and closed < 0 and self.follows(before - 1, end):
-                    closed = end
+                if closed < 0:
+                    end = ends[to]
+                    if end >= 0 and self.follows(before - 1, end):
+                        closed = end
         if closed < 0:
             raise ValueError("the vocabulary lacks a single byte")
         moved.append(closed + 1)
@@ -192,6 +208,57 @@ class Transducer:
                 del tokens[:sure]
         return (*out, *self._back(tokens, len(tokens))[::-1])
 
+    def _moved(self, keys: np.ndarray) -> np.ndarray:
+        """next state << 32 | token closed there, for each state << 8 | byte."""
+        place = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PLACES)).view(np.int64)
+        to = self.met_to[place]
+        new = np.flatnonzero(self.met[place] != keys)
+        if len(new):
+            distinct, which = np.unique(keys[new], return_inverse=True)
+            known, closed, found = self.delta.get, self.closed, []
+            for key in distinct.tolist():
+                state = known(key)
+                state = self._step(key >> 8, key & 255) if state is None else state
+                found.append(state << 32 | closed[state])
+            to[new] = np.array(found, np.int64)[which]
+            self.met[place[new]], self.met_to[place[new]] = keys[new], to[new]
+        return to
+
+    def encode_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces, one after the other, and each piece's number of them. No piece is empty.
+
+        All pieces go through the transducer side by side, a byte of each at a time, the longest first in order, so
+        that those with a byte left are at the front."""
+        if len(self.delta) > MAX_TRANSITIONS:
+            self.reset()
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        first, falling = starts[order], -sizes[order]
+        closed, state = np.zeros(len(data), np.int64), np.zeros(len(pieces), np.int64)
+        for at in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(falling, -at, side="left"))
+            places = first[:n] + at
+            to = self._moved(state[:n] << 8 | data[places])
+            closed[places] = to & 0xFFFFFFFF
+            state = to >> 32
+        # From every piece's end back to its start: the tokens that stay.
+        stays = np.zeros(len(data), bool)
+        starts, ends = starts.copy(), starts + sizes
+        while len(ends):
+            stays[ends - 1] = True
+            ends = ends - self.lengths[closed[ends - 1]]
+            left = ends > starts
+            starts, ends = starts[left], ends[left]
+        whole = {k: self.ranks[p] for k, p in enumerate(pieces) if p in self.ranks}
+        firsts = np.cumsum(sizes) - sizes
+        for k, rank in whole.items():
+            at, end = int(firsts[k]), int(firsts[k] + sizes[k])
+            stays[at:end], closed[end - 1] = False, rank
+            stays[end - 1] = True
+        return closed[stays].astype(np.int32), np.add.reduceat(stays, firsts, dtype=np.int64) if len(firsts) else sizes
+
 
 def latin_pattern(pattern: str) -> re.Pattern | None:
     """The pattern with the letters, numbers and white space among the first 256 characters written out, so that the
@@ -215,14 +282,19 @@ def latin_pattern(pattern: str) -> re.Pattern | None:
 
 
 class Encoder:
-    """Texts to token ids: pieces by the pattern, each through the transducer; frequent pieces are remembered."""
+    """Texts to token ids: pieces by the pattern, each distinct one through the transducer; those met are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.any_pieces = regex.compile(pattern).findall
         latin = latin_pattern(pattern)
         self.latin_pieces = latin.findall if latin else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: A piece's number; the tokens of number k begin at starts[k] of all tokens and end at starts[k + 1].
+        self.known: dict[str, int] = {}
+        self.starts, self.tokens = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def pieces(self, text: str) -> list[str]:
         if self.latin_pieces:
@@ -233,17 +305,45 @@ class Encoder:
             return self.latin_pieces(text)
         return self.any_pieces(text)
 
-    def _of(self, piece: str) -> tuple[int, ...]:
-        found = self.transducer.encode(piece.encode())
-        if len(piece) <= 64:
-            if len(self.known) >= MAX_WORDS:
-                self.known.clear()
-            self.known[piece] = found
-        return found
+    def _add(self, pieces: list[str], tokens: np.ndarray, counts: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.starts = np.append(self.starts, len(self.tokens) + np.cumsum(counts))
+        self.tokens = np.append(self.tokens, tokens)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the tokens of new pieces, at most MAX_WORD characters each, in parts of bounded size."""
+        data = [p.encode() for p in pieces]
+        part = (np.cumsum(np.fromiter(map(len, data), np.int64, len(data))) - 1) // TOGETHER_BYTES
+        at = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist() if len(part) else []
+        for s, e in zip(at, at[1:]):
+            self._add(pieces[s:e], *self.transducer.encode_together(data[s:e]))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the n + 1 offsets of the texts in them."""
+        if len(self.known) > MAX_WORDS:
+            self.forget()
+        cut = [self.pieces(t) for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        long = [p for p in new if len(p) > MAX_WORD]
+        self._learn(list(new.difference(long)) if long else list(new))
+        if long:
+            found = [self.transducer.encode(p.encode()) for p in long]
+            before = self.starts, self.tokens
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(long, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts)
+        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n_pieces.sum()))
+        starts, sizes = self.starts[numbers], np.diff(self.starts)[numbers]
+        ends = np.append(0, np.cumsum(sizes))
+        ids = self.tokens[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
+        if long:
+            for p in long:
+                del self.known[p]
+            self.starts, self.tokens = before
+        return ids, ends[np.append(0, np.cumsum(n_pieces))]
 
     def encode(self, text: str) -> list[int]:
-        known, of = self.known.get, self._of
-        return list(chain.from_iterable([known(p) or of(p) for p in self.pieces(text)]))
+        return self.encode_all([text])[0].tolist()
 
 
 class Utf8Stream:
@@ -280,6 +380,21 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+def decode_bytes(data: memoryview, step: int = 1 << 16) -> Iterator[str]:
+    """The text of tokens' joined bytes, piece by piece."""
+    stream = Utf8Stream()
+    for at in range(0, len(data), step):
+        yield stream.feed(bytes(data[at : at + step]))
+    yield stream.close()
+
+
+def _joined(values: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> Iterator[memoryview]:
+    """The joined bytes of the ids' values between offsets."""
+    data, ends = byte_views(values.take(pa.array(ids)))
+    view = memoryview(data)
+    return (view[s:e] for s, e in pairwise(ends[offsets].tolist()))
+
+
 def decode_stream(ids: Iterable[int], tokens: dict[int, bytes], step: int = 4096) -> Iterator[str]:
     """The text of token ids, piece by piece, without waiting for the end."""
     stream, ids = Utf8Stream(), iter(ids)
@@ -313,8 +428,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, key, pattern)
         for batch in batches_of(it, "_text", 1 << 20, "bpe"):
-            ids = [encoder.encode(t.decode("utf-8", "replace")) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, offsets = encoder.encode_all([t.decode("utf-8", "replace") for t in batch.column("_text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_text"))
     return slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
@@ -345,15 +460,16 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, key, pattern)
-        tokens, names = encoder.transducer.tokens, {rank: str(rank) for rank in ranks.value.values()}
+        ids_of = range(max(encoder.transducer.tokens, default=-1) + 1)
+        names = pa.array([f"{i},".encode() for i in ids_of], pa.large_binary())
+        tokens = pa.array([encoder.transducer.tokens.get(i, b"") for i in ids_of], pa.large_binary())
         for batch in batches_of(it, "_text", 1 << 20, "bpe"):
-            n, a, b = [], [], []
-            for data in batch.column("_text").to_pylist():
-                ids = encoder.encode(data.decode("utf-8", "replace"))
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+            ids, at = encoder.encode_all([t.decode("utf-8", "replace") for t in batch.column("_text").to_pylist()])
+            n, a, b = np.diff(at), [], []
+            for name, data in zip(_joined(names, ids, at), _joined(tokens, ids, at)):
+                a.append(hashlib.sha256(name[:-1]).hexdigest())
                 done = hashlib.sha256()
-                for text in decode_stream(ids, tokens):
+                for text in decode_bytes(data):
                     done.update(text.encode())
                 b.append(done.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -229,6 +229,33 @@ def test_long_pieces_and_resets(coder, monkeypatch):
         assert ours.encode(t) == theirs.encode_ordinary(t)
 
 
+@given(st.lists(st.text(min_size=1, max_size=20) | st.sampled_from(["ab", " the", "unzählige", "日本語", "\0"]), max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_pieces_together_and_alone_have_the_same_tokens(coder, pieces):
+    data = [p.encode() for p in pieces]
+    tokens, counts = coder[0].transducer.encode_together(data)
+    ends = np.cumsum(counts).tolist()
+    assert [tuple(tokens[s:e].tolist()) for s, e in zip([0, *ends], ends)] == [coder[0].transducer.encode(d) for d in data]
+
+
+def test_words_of_a_batch_go_through_the_transducer_together(coder, monkeypatch):
+    """Rare words cost no walk of their own, byte by byte; only pieces too long to remember do."""
+    ours, theirs = coder
+    alone, encode = [], ours.transducer.encode
+    monkeypatch.setattr(ours.transducer, "encode", lambda piece: alone.append(piece) or encode(piece))
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choices("abcdeéß語", k=rnd.randint(1, 12))) for _ in range(50)) for _ in range(40)] + ["", "=" * 100 + " " + "z" * 90, "x"]
+    for _ in range(2):
+        ids, at = ours.encode_all(texts)
+        assert [ids[s:e].tolist() for s, e in zip(at, at[1:])] == [theirs.encode_ordinary(t) for t in texts]
+    assert set(alone) == {b"=" * 100, b" " + b"z" * 90} and max(map(len, ours.known)) <= bpe.MAX_WORD
+    monkeypatch.setattr(bpe, "MAX_TRANSITIONS", 50)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 5)
+    monkeypatch.setattr(bpe, "TOGETHER_BYTES", 20)
+    for t in texts:
+        assert ours.encode(t) == theirs.encode_ordinary(t)
+
+
 @given(st.lists(st.binary(max_size=4), max_size=12))
 def test_utf8_stream(parts):
     s = bpe.Utf8Stream()
