@@ -7,7 +7,7 @@ import os
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, stage
+from .common import batches_of, byte_views, discard, stage
 
 #: Bytes of text that a worker aligns at a time, and units that it remembers.
 BATCH_BYTES, REMEMBERED = 4 << 20, 250_000
+#: Units that tokenizer A gets as one text.
+UNITS_TOGETHER = 64
 #: Groups of documents that a step works on at a time.
 BATCH_GROUPS = 1 << 20
 #: A group is looked up by broadcast if it has more than one in so many of all documents' groups; fewer groups than that can. Longer keys are joined.
@@ -48,6 +50,31 @@ def key_ids(key: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids[:n].astype(np.int64), ids[n:].astype(np.int64)
 
 
+def _plain(c: str) -> bool:
+    """Not white space; characters that some tables count as white space and others don't are kept away from cuts."""
+    return c != "" and not c.isspace() and c not in "\u180e\u200b\ufeff"
+
+
+def _joined(values: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids' values as joined bytes, and the n + 1 offsets of the ids in them."""
+    return byte_views(values.take(pa.array(ids)))
+
+
+def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct row of numbers, and for each row the number of the place. Columns are packed into one number while they
+    fit, and the packed ones numbered anew when they don't."""
+    wide = max(1, int(rows.max(initial=0)).bit_length())
+    held = np.zeros(len(rows), np.int64)
+    used = 0
+    for column in rows.T:
+        if used + wide > 62:
+            held = np.unique(held, return_inverse=True)[1]
+            used = max(1, len(rows).bit_length())
+        held, used = held << wide | column, used + wide
+    _, places, which = np.unique(held, return_index=True, return_inverse=True)
+    return places, which
+
+
 class Aligner:
     """Both tokenizers, and what they make of the units met so far.
 
@@ -69,51 +96,76 @@ class Aligner:
         self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes, default=0) + 1, np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
         for i, x in self.a_bytes.items():
             self.a_sizes[i] = len(x)
+        self.a_values, self.b_values = (pa.array(x, pa.large_binary()) for x in ([self.a_bytes.get(i, b"") for i in range(len(self.a_sizes))], self.b_bytes))
         self.cuts = type(self.a.pre_tokenizer).__name__ == "ByteLevel" and not any("▁" in p.lstrip("▁") for p in pieces)
         self.forget()
 
     def forget(self) -> None:
         self.units: dict[str, int] = {}
-        self.unit_groups: list[list[int]] = []
-        self.unit_text: list[str] = []
+        #: The groups of unit number k are at unit_at[k] to unit_at[k + 1] of the codes.
+        self.unit_at, self.unit_codes = np.zeros(1, np.int64), np.zeros(0, np.int32)
         #: A tokens, B tokens, links, and whether the bytes differ from the text.
-        self.unit_sizes: list[tuple[int, int, int, bool]] = []
+        self.unit_sizes = np.zeros((0, 4), np.int64)
         self.groups: dict[bytes, int] = {}
         self.group_keys: list[bytes] = []
         self.group_text: list[str] = []
 
+    @property
+    def unit_text(self) -> list[str]:
+        """The groups of every unit, by name."""
+        codes, text = self.unit_codes.tolist(), self.group_text
+        return [";".join([text[c] for c in codes[s:e]]) for s, e in pairwise(self.unit_at.tolist())]
+
     def learn(self, units: list[str]) -> None:
         """Tokenize and group new units, each without the space before it."""
         if not units:
             return
+        together = [_plain(u[:1]) and _plain(u[-1:]) for u in units] if self.cuts else [False] * len(units)
+        units = [u for u, t in zip(units, together) if t] + [u for u, t in zip(units, together) if not t]
         whole = [f" {u}" for u in units]
-        a = [x.ids for x in self.a.encode_batch(whole, add_special_tokens=False)]
+        text = pa.array(whole, pa.large_string())
+        data, ends = byte_views(text)
+        text_sizes = np.diff(ends)
+        a_ids, a_counts = self._a_tokens(whole, text_sizes, sum(together))
         b = self.b.encode(units, num_threads=1)
-        texts = [w.encode() for w in whole]
-        sizes = np.array([(len(x), len(y), len(t)) for x, y, t in zip(a, b, texts)], np.int64)
-        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64, int(n)) for x, n in ((a, sizes[:, 0].sum()), (b, sizes[:, 1].sum())))
-        good = self._same(a_ids, sizes[:, 0], self.a_bytes, self.a_sizes, texts) & self._same(b_ids, sizes[:, 1], self.b_bytes, self.b_sizes, texts)
-        a_ids, b_ids = a_ids[np.repeat(good, sizes[:, 0])], b_ids[np.repeat(good, sizes[:, 1])]
-        codes, per_unit, links = self._grouped(a_ids, b_ids, np.where(good, sizes[:, 2], 0))
-        at = np.concatenate([[0], np.cumsum(per_unit)]).tolist()
-        flat, text = codes.tolist(), self.group_text
-        first = len(self.unit_groups)
-        for k, (unit, s, e) in enumerate(zip(units, at, at[1:])):
-            self.units[unit] = first + k
-            held = flat[s:e]
-            self.unit_groups.append(held)
-            self.unit_text.append(";".join([text[c] for c in held]))
-        sizes = np.where(good[:, None], sizes, 0)
-        self.unit_sizes += zip(sizes[:, 0].tolist(), sizes[:, 1].tolist(), links.tolist(), (~good).tolist())
+        b_counts = np.fromiter(map(len, b), np.int64, len(b))
+        b_ids = np.fromiter(chain.from_iterable(b), np.int64, int(b_counts.sum()))
+        good = self._same(a_ids, a_counts, self.a_values, self.a_sizes, data, text_sizes) & self._same(b_ids, b_counts, self.b_values, self.b_sizes, data, text_sizes)
+        a_ids, b_ids = a_ids[np.repeat(good, a_counts)], b_ids[np.repeat(good, b_counts)]
+        codes, per_unit, links = self._grouped(a_ids, b_ids, np.where(good, text_sizes, 0))
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units))))
+        self.unit_at = np.append(self.unit_at, len(self.unit_codes) + np.cumsum(per_unit))
+        self.unit_codes = np.append(self.unit_codes, codes.astype(np.int32))
+        self.unit_sizes = np.concatenate([self.unit_sizes, np.stack([np.where(good, a_counts, 0), np.where(good, b_counts, 0), links, ~good], axis=1)])
+
+    def _a_tokens(self, whole: list[str], sizes: np.ndarray, n_plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """A's tokens of all units, one after the other, and each unit's number of them. Of the first n_plain units, which begin and end with
+        plain characters, many make one text, as no token goes across; if one does, or bytes differ, its units are taken one by one."""
+        bounds = [*range(0, n_plain, UNITS_TOGETHER), *range(n_plain, len(whole) + 1)]
+        texts = ["".join(whole[s:e]) for s, e in pairwise(bounds)]
+        ids, counts = self._a_encoded(texts)
+        at = np.append(0, np.cumsum(sizes))
+        token_ends = np.cumsum(self.a_sizes[ids])
+        have, want = np.append(0, token_ends)[np.append(0, np.cumsum(counts))], at[np.array(bounds)]
+        if np.array_equal(have, want):
+            last = np.searchsorted(token_ends, at[1:])
+            if len(token_ends) and np.array_equal(token_ends[np.minimum(last, len(token_ends) - 1)], at[1:]):
+                return ids, np.diff(np.append(0, last + 1))
+        return self._a_encoded(whole)
+
+    def _a_encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
 
     @staticmethod
-    def _same(ids: np.ndarray, counts: np.ndarray, token_bytes: dict | list, token_sizes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    def _same(ids: np.ndarray, counts: np.ndarray, values: pa.Array, token_sizes: np.ndarray, data: np.ndarray, text_sizes: np.ndarray) -> np.ndarray:
         """Whether the joined bytes of each unit's tokens are its text."""
         at = np.concatenate([[0], np.cumsum(counts)])
-        sizes = np.concatenate([[0], np.cumsum(token_sizes[ids])])[at]
-        fits = np.diff(sizes) == np.array([len(t) for t in texts])
-        joined, text = (np.frombuffer(b"".join(x), np.uint8) for x in (map(token_bytes.__getitem__, ids[np.repeat(fits, counts)].tolist()), [t for t, f in zip(texts, fits.tolist()) if f]))
-        wrong = np.searchsorted(np.cumsum(np.diff(sizes)[fits]), np.flatnonzero(joined != text), side="right")
+        sizes = np.diff(np.concatenate([[0], np.cumsum(token_sizes[ids])])[at])
+        fits = sizes == text_sizes
+        joined, text = _joined(values, ids[np.repeat(fits, counts)])[0], data[np.repeat(fits, text_sizes)]
+        wrong = np.searchsorted(np.cumsum(sizes[fits]), np.flatnonzero(joined != text), side="right")
         fits[np.flatnonzero(fits)[np.unique(wrong)]] = False
         return fits
 
@@ -127,13 +179,16 @@ class Aligner:
         of = np.searchsorted(np.cumsum(text_sizes), both)
         per_unit, links = np.bincount(of, minlength=len(text_sizes)), np.bincount(of, n_a * n_b, len(text_sizes)).astype(np.int64)
         codes = np.zeros(len(both), np.int64)
-        # Groups of one token each are most; they are told apart as numbers, the others by their names.
-        single = (n_a == 1) & (n_b == 1)
-        pairs, which = np.unique(a[a_last[single]] << 32 | b[b_last[single]], return_inverse=True)
-        codes[single] = np.array([self._code([p >> 32], [p & 0xFFFFFFFF]) for p in pairs.tolist()], np.int64)[which]
-        rest = np.flatnonzero(~single)
-        a_list, b_list = a.tolist(), b.tolist()
-        codes[rest] = [self._code(a_list[s : e + 1], b_list[u : v + 1]) for s, e, u, v in zip(*(x[rest].tolist() for x in (a_first, a_last, b_first, b_last)))]
+        # Groups of few tokens are most; those of one shape are told apart as rows of numbers, the others by their names.
+        shape = np.where((n_a < 16) & (n_b < 16), n_a << 4 | n_b, 0)
+        for kind in np.unique(shape).tolist():
+            here = np.flatnonzero(shape == kind)
+            if kind:
+                rows = np.concatenate([a[a_first[here, None] + np.arange(kind >> 4)], b[b_first[here, None] + np.arange(kind & 15)]], axis=1)
+                places, which = _distinct_rows(rows)
+                codes[here] = np.array([self._code(r[: kind >> 4], r[kind >> 4 :]) for r in rows[places].tolist()], np.int64)[which]
+            else:
+                codes[here] = [self._code(a[s : e + 1].tolist(), b[u : v + 1].tolist()) for s, e, u, v in zip(*(x[here].tolist() for x in (a_first, a_last, b_first, b_last)))]
         return codes, per_unit, links
 
     def _code(self, a: list[int], b: list[int]) -> int:
@@ -153,9 +208,8 @@ class Aligner:
         split = pc.split_pattern(texts, " ")
         offsets, words = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
         offsets, codes, names = offsets - offsets[0], words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-        # Characters that some tables count as white space and others don't are kept away from cuts.
         heads, tails = [w[:1] for w in names], [w[-1:] for w in names]
-        plain = {c: c != "" and not c.isspace() and c not in "\u180e\u200b\ufeff" for c in {*heads, *tails}}
+        plain = {c: _plain(c) for c in {*heads, *tails}}
         opens, closes = np.array([plain[c] for c in heads], bool), np.array([plain[c] for c in tails], bool)
         first = np.zeros(len(codes), bool)
         first[offsets[:-1]] = True
@@ -199,25 +253,23 @@ def _aligned(aligner: Aligner, batch: pa.RecordBatch) -> pa.RecordBatch:
     at = at.copy()
     empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
     used, units = np.unique(units, return_inverse=True)
-    found = [aligner.units.get(names[u]) for u in used.tolist()]
-    aligner.learn([names[u] for u, f in zip(used.tolist(), found) if f is None])
-    ids = [aligner.units[names[u]] for u in used.tolist()]
-    sizes = np.array([aligner.unit_sizes[i] for i in ids], np.int64).reshape(-1, 4)
-    groups = [aligner.unit_groups[i] for i in ids]
-    n_groups = np.array([len(g) for g in groups], np.int64)
-    flat = np.fromiter(chain.from_iterable(groups), np.int64, int(n_groups.sum()))
+    used = [names[u] for u in used.tolist()]
+    aligner.learn([u for u in used if u not in aligner.units])
+    ids = np.fromiter(map(aligner.units.__getitem__, used), np.int64, len(used))
+    sizes, first, n_groups = aligner.unit_sizes[ids], aligner.unit_at[ids], np.diff(aligner.unit_at)[ids]
     bad = (_per_text(sizes[units, 3], at) > 0) | empty
     # Every text's groups, with how often each occurs in it.
     text_of = np.repeat(np.arange(n), np.diff(at))
     kept = ~bad[text_of]
-    occurrences = flat[_spread((np.cumsum(n_groups) - n_groups)[units[kept]], n_groups[units[kept]])]
+    occurrences = aligner.unit_codes[_spread(first[units[kept]], n_groups[units[kept]])].astype(np.int64)
     pairs, often = np.unique(np.repeat(text_of[kept], n_groups[units[kept]]) << 32 | occurrences, return_counts=True)
     codes, which = np.unique(pairs & 0xFFFFFFFF, return_inverse=True)
     offsets = np.searchsorted(pairs >> 32, np.arange(n + 1))
     keys = pa.array([aligner.group_keys[c] for c in codes.tolist()], pa.binary()).take(pa.array(which, pa.int64()))
-    strings, order = [aligner.unit_text[i] for i in ids], units.tolist()
-    shas = ["" if b else hashlib.sha256(";".join([strings[u] for u in order[s:e]]).encode()).hexdigest() for b, s, e in zip(bad.tolist(), at[:-1].tolist(), at[1:].tolist())]
     counts = [np.where(bad, 0, _per_text(x[units], at)) for x in (sizes[:, 0], sizes[:, 1], n_groups, sizes[:, 2])]
+    named, ends = _joined(pa.array([f"{t};".encode() for t in aligner.group_text], pa.large_binary()), occurrences)
+    ends, view = ends[np.append(0, np.cumsum(counts[2]))].tolist(), memoryview(named)
+    shas = ["" if b else hashlib.sha256(view[s : e - 1]).hexdigest() for b, s, e in zip(bad.tolist(), ends, ends[1:])]
     lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
     return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), *map(pa.array, counts), pa.array(shas, pa.string()), lists(keys), lists(pa.array(often, pa.int32()))], names=[
         "_row", "_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "keys", "often"])

@@ -118,6 +118,32 @@ def test_units_have_the_tokens_of_texts(plain, text):
     assert (joined if not any(ALIGNER.unit_sizes[i][3] for i in ids) else "") == expected or not text
 
 
+def test_units_are_tokenized_together_as_alone():
+    """New words cost no text of their own, and have the same groups; if tokens of a joined text go across, units are taken one by one."""
+    rng = random.Random(2)
+    units = list(dict.fromkeys("".join(rng.choices("abcsté'.1語\u0301%-", k=rng.randint(1, 9))) for _ in range(500)))
+    units += ["", " x", "x ", "\n", "tab\t", "'s", "a\n\nb", "\u200b", "x" * 3000, "<|endoftext|>"]
+    together, alone, crossed = (alignment.Aligner(*PATHS) for _ in range(3))
+    given, encoded = [], together._a_encoded
+    together._a_encoded = lambda texts: given.append(len(texts)) or encoded(texts)
+    crossed._a_encoded = lambda texts: encoded([t + " more" * (t.count(" ") > 9) for t in texts])
+    together.learn(units)
+    crossed.learn(units)
+    for u in units:
+        alone.learn([u])
+    assert sum(given) < len(units) / 10
+    found = [{u: (x.unit_text[i], tuple(x.unit_sizes[i].tolist())) for u, i in x.units.items()} for x in (together, alone, crossed)]
+    assert found[0] == found[1] == found[2] and list(alone.units) == units
+
+
+@given(st.lists(st.lists(st.integers(0, 2**20), min_size=5, max_size=5), max_size=20).map(lambda rows: rows + rows[::2]))
+def test_distinct_rows(rows):
+    import numpy as np
+    found = np.array(rows, np.int64).reshape(-1, 5)
+    places, which = alignment._distinct_rows(found)
+    assert found[places][which].tolist() == rows and len(places) == len(set(map(tuple, rows)))
+
+
 def test_keys_keep_ids():
     for a, b in (([1], [2]), ([65535] * 254, [0]), ([1] * 300, [2] * 70_000), ([70_000], [1])):
         x, y = alignment.key_ids(alignment.group_key(a, b))
